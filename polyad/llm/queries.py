@@ -21,17 +21,53 @@ def op2_bitplane(spark, sf_dir):
     return bitplane_query(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_license(spark, sf_dir):
+    from .license import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op5_separator(spark, sf_dir):
+    from .separator import separator_query
+
+    return separator_query(spark, _table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark, sf_dir):
+    from .simhash import simhash_query
+
+    return simhash_query(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark, sf_dir):
     from .urlfilter import url_query
 
     return url_query(_table(spark, sf_dir, "pages"))
 
 
+def op8_perplexity(spark, sf_dir):
+    from .perplexity import quality_query
+
+    return quality_query(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark, sf_dir):
+    from .decontam import find_items
+
+    return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_packing(spark, sf_dir):
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import urlfilter, warc
+    from . import license, urlfilter, warc
 
-    return {"op1_warc": warc.SQL, "op7_url_filter": urlfilter.SQL}
+    return {"op1_warc": warc.SQL, "op4_license": license.SQL, "op7_url_filter": urlfilter.SQL}
