@@ -21,6 +21,12 @@ def op2_bitplane(spark, sf_dir):
     return bitplane_query(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_cotrain(spark, sf_dir):
+    from .cotrain import quality_query
+
+    return quality_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_license(spark, sf_dir):
     from .license import scan_licenses
 
