@@ -16,7 +16,7 @@ however large the benchmark is; usual benchmarks are one block. Memory is bounde
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -206,7 +206,7 @@ class Finder:
                 out.append((rows[piece], item_id, found[0], starts[piece] + found[1], starts[piece] + found[2], t))
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = ITEM_BLOCK) -> list[list[tuple[int | None, bytes]]]:
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = ITEM_BLOCK) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items in blocks of about block_bytes; a block is fetched only when it is that small."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), text_bytes(text_col).alias("text")).where(F.length("text") > 0)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -236,16 +236,21 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def holds_item(items: list[tuple[int | None, bytes]], q: int = Q, rate: float = RATE):
+    """A function of a binary column: whether the text holds one of the items."""
+
+    @F.pandas_udf("boolean")
+    def holds(parts: pd.Series) -> pd.Series:
+        finder, flags, texts = Finder(items, q, rate), np.zeros(len(parts), bool), [bytes(t) for t in parts]
+        for a, b in small_batches(pa.array(texts, pa.binary()), CHUNK):
+            flags[[a + h[0] for h in finder.find(texts[a:b])]] = True
+        return pd.Series(flags)
+
+    return holds
+
+
 def clean_of(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
     """The rows of docs whose text holds no benchmark item; columns as they are."""
     for items in item_blocks(benchmark):
-
-        @F.pandas_udf("boolean")
-        def holds(parts: pd.Series, items=items) -> pd.Series:
-            finder, flags, texts = Finder(items, q, rate), np.zeros(len(parts), bool), [bytes(t) for t in parts]
-            for a, b in small_batches(pa.array(texts, pa.binary()), CHUNK):
-                flags[[a + h[0] for h in finder.find(texts[a:b])]] = True
-            return pd.Series(flags)
-
-        docs = docs.where(~holds(text_bytes(text_col)))
+        docs = docs.where(~holds_item(items, q, rate)(text_bytes(text_col)))
     return docs

@@ -23,14 +23,16 @@ shuffles 14 rows of 17 bytes for each distinct fingerprint. Each star step's tab
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_bytes
 
 SEED, SHINGLE, BITS = 42, 3, 3
 CHUNK = 1 << 15
+HOT = 1000
 SETS = [(a, b, c, a ^ b ^ c) for a in range(8) for b in range(a + 1, 8) for c in range(b + 1, 8) if a ^ b ^ c > c]
 
 
@@ -59,15 +61,12 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of each row."""
+def fingerprint_column(text_col: str = "text", size: int = SHINGLE) -> Column:
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(bytes(t), size) for t in texts], dtype="int64")
 
-    def apply(batches):
-        for batch in batches:
-            fp = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(apply, "doc_id long, fp long")
+    return fp(text_bytes(text_col))
 
 
 def forest(fps: np.ndarray, bits: int = BITS, least: int = 8 - BITS) -> list[tuple[int, int]]:
@@ -132,16 +131,41 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, fp, component_id of each row: documents whose fingerprints are linked by chains of at most `bits` differing bits."""
-    marked = materialise(fingerprints(docs, id_col, text_col, size), "simhash")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+def classes(marked: DataFrame, bits: int = BITS, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
+    """fp, component_id, the representative's fingerprint (rep_fp) and the number of rows n for each distinct fingerprint of the rows in marked."""
+    rank = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).cast("long").alias("id"), F.col(fp_col).alias("fp"))
+    nodes = materialise(marked.groupBy(F.col(fp_col).alias("fp")).agg(F.min(rank).alias("least"), F.count("*").alias("n")), "simhash-nodes")
     member = components(links(nodes.select("fp"), bits), "simhash-links")
     linked = nodes.join(member, nodes["fp"] == member["node"])
-    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = linked.select("fp", "root").join(of_root, "root").select("fp", "component_id")
-    named = nodes.join(of_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    of_root = linked.groupBy("root").agg(F.min("least").alias("first"))
+    of_node = linked.select("fp", "root").join(of_root, "root").select("fp", "first")
+    first = F.coalesce("first", "least")
+    return nodes.join(of_node, "fp", "left").select("fp", first["id"].alias("component_id"), first["fp"].alias("rep_fp"), "n")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """doc_id, fp, component_id of each row: documents whose fingerprints are linked by chains of at most `bits` differing bits."""
+    marked = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(text_col, size).alias("fp")), "simhash")
+    named = materialise(classes(marked, bits).select("fp", "component_id", "n"), "simhash-classes")
+    # fingerprints of over a thousandth of all rows are fewer than a thousand: small whatever the input, and no task gathers their rows
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
+    near = marked.join(F.broadcast(named.where(hot).select("fp", "component_id", F.lit(True).alias("hot"))), "fp", "left")
+    cold = near.where("hot IS NULL").select("doc_id", "fp").join(named.where(~hot), "fp").select("doc_id", "fp", "component_id")
+    return cold.unionByName(near.where("hot").select("doc_id", "fp", "component_id"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of docs for each class of near duplicates: the one with the smallest id; columns as they are.
+
+    Rows are written once with their fingerprint, then shuffled once by id and fingerprint to meet the representatives'.
+    """
+    marked = materialise(docs.withColumn("__fp", fingerprint_column(text_col, size)), "simhash-rows")
+    reps = classes(marked, bits, id_col, "__fp").where("fp = rep_fp").select(F.col("component_id").alias("__id"), F.col("rep_fp").alias("__rep"))
+    kept = marked.join(reps, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__rep")), "left_semi")
+    # the same row given twice: one of them
+    once = Window.partitionBy(id_col, "__fp").orderBy(F.lit(1))
+    return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
