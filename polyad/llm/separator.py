@@ -21,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bitplane import sorted_by_id
 from .common import materialise, open_fs, shared_dir, small_batches, task_id
 from .tokens import BATCH, default_tokenizer, encoder
 
 END_ID, RANGE = 50256, 8 << 20
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, dtype: str = "<u2", partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Write documents in doc_id order as flat token files. Returns (files: file, n_bytes) and (order: file, ordinal, doc_id)."""
+def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, dtype: str = "<u2") -> tuple[DataFrame, DataFrame]:
+    """Write documents as flat token files, one for each scan task, in the order of the scan: texts are not shuffled.
+
+    Returns (files: file, n_bytes) and (order: file, ordinal, doc_id).
+    """
     tokenizer = tokenizer or default_tokenizer()
 
     def write(batches):
@@ -52,8 +54,8 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
             fs.move(f"{root}/{mine}", f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "ordinal": pa.array([None], pa.int64()), "doc_id": pa.array([None], pa.int64()), "n_bytes": [size]})
 
-    rows = sorted_by_id(docs, partitions=partitions).mapInArrow(write, "file string, ordinal long, doc_id long, n_bytes long")
-    rows = materialise(rows, "flat-order")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = materialise(texts.mapInArrow(write, "file string, ordinal long, doc_id long, n_bytes long"), "flat-order")
     return rows.where("n_bytes IS NOT NULL").select("file", "n_bytes"), rows.where("ordinal IS NOT NULL").select("file", "ordinal", "doc_id")
 
 
@@ -91,7 +93,7 @@ def scan_flat(files: DataFrame, path: str, end_id: int = END_ID, dtype: str = "<
 
 
 def separator_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens of each document, from flat files written in doc_id order."""
+    """doc_id, n_tokens of each document, from flat files."""
     path = shared_dir(spark, "flat")
     files, order = write_flat(docs, path)
     return order.join(scan_flat(files, path), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
