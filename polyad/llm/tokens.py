@@ -22,14 +22,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces that a Python worker remembers; later ones are encoded anew in each batch.
-MEMO = 200_000
+MEMO = 300_000
 #: Bytes of text that are encoded at once.
-BATCH = 8 << 20
-PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+BATCH = 12 << 20
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
-def _edge_is_open(c: str) -> bool:
-    return c.isspace() or unicodedata.category(c)[0] in "ZC"
+def _open_edges(words: pa.Array) -> np.ndarray:
+    """Words that are empty, or begin or end with white space or a control character."""
+    odd = np.zeros(len(words), bool)
+    for a, b in ((0, 1), (-1, None)):
+        edge = pc.utf8_slice_codeunits(words, a, b).dictionary_encode()
+        odd |= np.array([not c or c.isspace() or unicodedata.category(c)[0] in "ZC" for c in edge.dictionary.to_pylist()], bool)[np.asarray(edge.indices)]
+    return odd
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -50,42 +55,61 @@ class Encoder:
         if special_as_text:
             self.tokenizer.encode_special_tokens = True
         self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
-        self.most, self.memo = memo, {}
+        self.space, self.line_end = chr(self.alphabet[32]), self.whole(["\n"])[0]
+        self.most, self.memo, self.tails = memo, {"": {}, " ": {}}, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pre_token(self, s: str) -> bytes:
-        s = s.encode().decode("latin-1").translate(self.alphabet)
+        s = s.replace(" ", self.space) if s.isascii() else s.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece as bytes."""
-        found = list(map(self.memo.get, pieces))
-        heads: dict[str, bytes] = {}
+    def _plain(self, word: str, lead: str, new: dict[str, bytes]) -> bytes | None:
+        """Ids of letters with punctuation behind them; None for any other word."""
+        m = PLAIN(word)
+        if not m:
+            return None
+        head, tail = m.groups()
+        ids = self.memo[lead].get(head) or new.get(head)
+        if ids is None:
+            ids = new[head] = self._pre_token(lead + head)
+        if not tail:
+            return ids
+        end = self.tails.get(tail)
+        if end is None:
+            end = self._pre_token(tail)
+            if len(self.tails) < self.most:
+                self.tails[tail] = end
+        return ids + end
+
+    def pieces(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of each word with lead (a space or nothing) before it, as bytes."""
+        memo = self.memo[lead]
+        found = list(map(memo.get, words))
+        new: dict[str, bytes] = {}
+        first: dict[str, bytes] = {}
         rest = []
         for i, ids in enumerate(found):
             if ids is None:
-                if m := PLAIN(pieces[i]):
-                    head, tail = m.groups()
-                    ids = self.memo.get(head) or heads.get(head)
-                    if ids is None:
-                        ids = heads[head] = self._pre_token(head)
-                    if tail:
-                        end = self.memo.get(tail) or heads.get(tail)
-                        if end is None:
-                            end = heads[tail] = self._pre_token(tail)
-                        ids += end
-                    found[i] = ids
+                word = words[i]
+                if "\n" in word:  # a line end between other characters is a pre-token of its own
+                    head, *lines = word.split("\n")
+                    parts = [self._plain(head, lead, new), *(self._plain(x, "", first) for x in lines)]
+                    ids = None if None in parts else self.line_end.join(parts)
                 else:
+                    ids = self._plain(word, lead, new)
+                if ids is None:
                     rest.append(i)
+                else:
+                    found[i] = ids
         for a in range(0, len(rest), 20_000):
             part = rest[a : a + 20_000]
-            for i, ids in zip(part, self.whole([pieces[i] for i in part]), strict=True):
+            for i, ids in zip(part, self.whole([lead + words[i] for i in part]), strict=True):
                 found[i] = ids
-        if len(self.memo) < self.most:
-            self.memo.update(heads)
-            self.memo.update(zip(pieces, found, strict=True))
+        if len(memo) < self.most:
+            memo.update(new)
+            memo.update(zip(words, found, strict=True))
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,19 +122,18 @@ class Encoder:
         firsts, flat = firsts - firsts[0], split.flatten()
         coded = flat.dictionary_encode()
         words, key = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-        odd = np.fromiter((not w or _edge_is_open(w[0]) or _edge_is_open(w[-1]) for w in words), bool, len(words))
+        odd = _open_edges(coded.dictionary)
         odd_docs = np.flatnonzero(np.add.reduceat(odd[key], firsts[:-1], dtype=np.int64)).tolist()
-        # the first piece of a text has no leading space: a key of its own; 0 is for texts that are encoded whole
-        key = key * 2 + 2
-        key[firsts[:-1]] += 1
+        # the first piece of a text has no leading space: numbers of its own; the last number is for texts that are encoded whole
+        many = len(words)
+        key[firsts[:-1]] += many
         for i in odd_docs:
-            key[firsts[i] : firsts[i + 1]] = 0
-        there = np.zeros(2 * len(words) + 2, bool)
+            key[firsts[i] : firsts[i + 1]] = 2 * many
+        there = np.zeros(2 * many + 1, bool)
         there[key] = True
-        there[0] = True
-        distinct = np.flatnonzero(there)
         rank = np.cumsum(there) - 1
-        parts = [b"", *self.pieces([words[(k >> 1) - 1] if k & 1 else " " + words[(k >> 1) - 1] for k in distinct[1:].tolist()])]
+        after, first = np.flatnonzero(there[:many]), np.flatnonzero(there[many : 2 * many])
+        parts = self.pieces([words[k] for k in after.tolist()], " ") + self.pieces([words[k] for k in first.tolist()], "") + [b""] * int(there[-1])
         store = np.frombuffer(b"".join(parts), np.uint32)
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         start = np.cumsum(size) - size
