@@ -11,6 +11,13 @@ A list yields a spanning forest of its links (found by a search that takes every
 not all pairs; so its output is linear in its length, and so is its time where the members are close to each other. Links of
 different lists are joined into components by alternating large-star and small-star steps over tables.
 
+Fingerprints within 3 bits miss many near copies (texts that share 0.8 of their five-word shingles differ in ten bits and more). So
+`deduplicated` adds a second kind of fingerprint to the same index: a byte sketch of 128 positional bytes, byte k from the k-th
+min-hash of the five-word shingles. Two texts of similarity s agree at a position with probability s. Postings of four
+positions at a time give the pairs (12 keys: a pair at 0.8 is missed by all with probability 0.002), their shared positional
+bytes are tallied over all 128, and those that reach the count that stands for the similarity (less a standard deviation and a half)
+are linked.
+
 Defined cases: a null or empty text has fingerprint 0 and is linked like any other; texts of one or two words hash their
 whole word sequence; equal fingerprints are one node, whatever their number; a null doc_id keeps its row (the component id is
 the smallest non-null doc_id reachable, null if there is none); an empty table gives an empty result; very long texts are hashed
@@ -33,6 +40,9 @@ from .common import materialise, text_bytes
 SEED, SHINGLE, BITS = 42, 3, 3
 CHUNK = 1 << 15
 HOT = 1000
+#: The byte sketch: positions, words in a shingle, similarity, bytes in a key, keys.
+POSITIONS, WORDS, SIMILARITY, KEY, KEYS = 128, 5, 0.8, 4, 12
+WORD_MEMO = 300_000
 SETS = [(a, b, c, a ^ b ^ c) for a in range(8) for b in range(a + 1, 8) for c in range(b + 1, 8) if a ^ b ^ c > c]
 
 
@@ -69,25 +79,107 @@ def fingerprint_column(text_col: str = "text", size: int = SHINGLE) -> Column:
     return fp(text_bytes(text_col))
 
 
-def forest(fps: np.ndarray, bits: int = BITS, least: int = 8 - BITS) -> list[tuple[int, int]]:
-    """(member, root) edges that join what links within `bits` connect; one edge less than members per component."""
-    rest, out = np.unique(fps), []
+def _numbers(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_FLIP, _TIMES, _PLACE = _numbers(POSITIONS, 11).astype(np.uint32), _numbers(POSITIONS, 12).astype(np.uint32), _numbers(64, 13)
+_words: dict[bytes, int] = {}
+
+
+def sketch(text: bytes, size: int = WORDS) -> bytes | None:
+    """Positional bytes of the min-hashes of the text's word shingles (a shorter text is one shingle); None without words."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return None
+    if len(_words) > WORD_MEMO:
+        _words.clear()
+    for w in set(words).difference(_words):
+        _words[w] = xxh64_intdigest(w, SEED)
+    codes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    width = min(size, len(codes))
+    n = len(codes) - width + 1
+    h = np.zeros(n, np.uint64)
+    for j in range(width):
+        h += codes[j : j + n] * _PLACE[j]
+    h = (h ^ (h >> np.uint64(31))) * _PLACE[-1]
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(POSITIONS, np.iinfo(np.uint32).max, np.uint32)
+    for a in range(0, n, 512):
+        part = h[a : a + 512, None] ^ _FLIP
+        part *= _TIMES
+        np.minimum(least, part.min(0), out=least)
+    # the least values of long texts are small: mix before a byte is taken
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
+def marks_column(text_col: str = "text", size: int = SHINGLE) -> Column:
+    """Struct of fp and sketch."""
+
+    @F.pandas_udf("fp long, sketch binary")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        rows = [bytes(t) for t in texts]
+        return pd.DataFrame({"fp": pd.Series([fingerprint(t, size) for t in rows], dtype="int64"), "sketch": pd.Series([sketch(t) for t in rows], dtype=object)})
+
+    return marks(text_bytes(text_col))
+
+
+def spanning(names: np.ndarray, reaches) -> list[tuple[int, int]]:
+    """(member, root) edges over numbered members; reaches(i, rest) tells which of the members `rest` member i is linked to."""
+    rest, out = np.arange(len(names)), []
     while len(rest) > 1:
         root, queue = rest[0], [rest[0]]
         rest = rest[1:]
         while queue and len(rest):
-            x = rest ^ queue.pop()
-            shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-            near = shared >= least  # count filter, then verification
-            near[near] = np.bitwise_count(x[near]) <= bits
+            near = reaches(queue.pop(), rest)
             if near.any():
-                reached = rest[near]
-                out += [(r, int(root.view(np.int64))) for r in reached.view(np.int64).tolist()]
-                queue += list(reached)
+                out += [(r, int(names[root])) for r in names[rest[near]].tolist()]
+                queue += rest[near].tolist()
                 rest = rest[~near]
     return out
 
 
+def forest(fps: np.ndarray, bits: int = BITS, least: int = 8 - BITS) -> list[tuple[int, int]]:
+    """(member, root) edges that join what links within `bits` connect; one edge less than members per component."""
+    fps = np.unique(fps)
+
+    def reaches(i, rest):
+        x = fps[rest] ^ fps[i]
+        near = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= least  # count filter, then verification
+        near[near] = np.bitwise_count(x[near]) <= bits
+        return near
+
+    return spanning(fps.view(np.int64), reaches)
+
+
+def sketch_forest(names: np.ndarray, sketches: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The same for byte sketches (a row each) that agree in `least` positions or more."""
+    return spanning(names, lambda i, rest: (sketches[rest] == sketches[i]).sum(1) >= least)
+
+
+def sketch_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) over nodes (fp, sketch) whose sketches agree as much as texts of that similarity do."""
+    deviation = (similarity * (1 - similarity) / POSITIONS) ** 0.5
+    least = int(POSITIONS * (similarity - 1.5 * deviation))
+    keys = F.array(*[F.struct(F.lit(k).cast("byte").alias("set"), F.substring("sketch", KEY * k + 1, KEY).alias("key")) for k in range(KEYS)])
+    shared = nodes.where("sketch IS NOT NULL").select("fp", F.inline(keys)).groupBy("set", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    # only members of lists of two or more fetch their sketch
+    members = materialise(shared.select("set", "key", F.explode("fps").alias("fp")), "sketch-members")
+    lists = members.join(nodes.select("fp", "sketch"), "fp").groupBy("set", "key").agg(F.collect_list(F.struct("fp", "sketch")).alias("m")).select("m.fp", "m.sketch")
+
+    def apply(batches):
+        for batch in batches:
+            edges = []
+            for names, rows in zip(batch.column("fp"), batch.column("sketch"), strict=True):
+                table = np.frombuffer(b"".join(rows.as_py()), np.uint8).reshape(-1, POSITIONS)
+                edges += sketch_forest(np.asarray(names.values, dtype=np.int64), table, least)
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+
+    return lists.mapInArrow(apply, "a long, b long").distinct()
+
+
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """Edges (a, b), b < a in component order, over distinct fingerprints fp."""
     byte = lambda k: F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255))
@@ -131,11 +223,17 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def classes(marked: DataFrame, bits: int = BITS, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
-    """fp, component_id, the representative's fingerprint (rep_fp) and the number of rows n for each distinct fingerprint of the rows in marked."""
+def classes(marked: DataFrame, bits: int = BITS, id_col: str = "doc_id", fp_col: str = "fp", sketch_col: str | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    """With sketch_col, rows are linked by their sketches too: of equal fingerprints, one sketch stands for all.
+
+    Returns fp, component_id, the representative's fingerprint (rep_fp) and the number of rows n for each distinct fingerprint of the rows in marked."""
     rank = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).cast("long").alias("id"), F.col(fp_col).alias("fp"))
-    nodes = materialise(marked.groupBy(F.col(fp_col).alias("fp")).agg(F.min(rank).alias("least"), F.count("*").alias("n")), "simhash-nodes")
-    member = components(links(nodes.select("fp"), bits), "simhash-links")
+    sketches = [F.min(sketch_col).alias("sketch")] if sketch_col else []
+    nodes = materialise(marked.groupBy(F.col(fp_col).alias("fp")).agg(F.min(rank).alias("least"), F.count("*").alias("n"), *sketches), "simhash-nodes")
+    edges = links(nodes.select("fp"), bits)
+    if sketch_col:
+        edges = edges.unionByName(sketch_links(nodes.select("fp", "sketch"), similarity))
+    member = components(edges, "simhash-links")
     linked = nodes.join(member, nodes["fp"] == member["node"])
     of_root = linked.groupBy("root").agg(F.min("least").alias("first"))
     of_node = linked.select("fp", "root").join(of_root, "root").select("fp", "first")
@@ -155,17 +253,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return cold.unionByName(near.where("hot").select("doc_id", "fp", "component_id"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """One row of docs for each class of near duplicates: the one with the smallest id; columns as they are.
 
+    Near duplicates are linked by fingerprints within `bits`, or by sketches of a five-word similarity of `similarity`.
+
     Rows are written once with their fingerprint, then shuffled once by id and fingerprint to meet the representatives'.
     """
-    marked = materialise(docs.withColumn("__fp", fingerprint_column(text_col, size)), "simhash-rows")
-    reps = classes(marked, bits, id_col, "__fp").where("fp = rep_fp").select(F.col("component_id").alias("__id"), F.col("rep_fp").alias("__rep"))
-    kept = marked.join(reps, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__rep")), "left_semi")
+    id_ = F.col(id_col).cast("long")
+    # a key without nulls: one partitioning serves the join and the window
+    key = [F.coalesce(id_, F.lit(0).cast("long")).alias("__id"), id_.isNull().alias("__null")]
+    marked = materialise(docs.select("*", *key, marks_column(text_col, size).alias("__m")).select(*docs.columns, "__id", "__null", F.col("__m.fp").alias("__fp"), F.col("__m.sketch").alias("__sketch")), "simhash-rows")
+    reps = classes(marked, bits, id_col, "__fp", "__sketch", similarity).where("fp = rep_fp")
+    reps = reps.select(F.coalesce("component_id", F.lit(0).cast("long")).alias("__id"), F.col("component_id").isNull().alias("__null"), F.col("rep_fp").alias("__fp"))
+    names = ["__id", "__null", "__fp"]
     # the same row given twice: one of them
-    once = Window.partitionBy(id_col, "__fp").orderBy(F.lit(1))
-    return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    once = Window.partitionBy(*names).orderBy(F.lit(1))
+    return marked.drop("__sketch").join(reps, names, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
