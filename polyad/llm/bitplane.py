@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, open_fs, shared_dir, small_batches, task_id
+from .common import partitions as enough
 from .tokens import BATCH, default_tokenizer, encoder
 
 MAGIC, BLOCK = b"BPT1", 1 << 16
@@ -158,9 +159,8 @@ class Reader:
 
 def sorted_by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """(doc_id, text) in global doc_id order over the partitions; ties by text."""
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    return rows.repartitionByRange(partitions or enough(rows), "doc_id").sortWithinPartitions("doc_id", "text")
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, mode: str = "bit", block: int = BLOCK, partitions: int | None = None) -> DataFrame:

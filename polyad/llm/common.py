@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_dir  # noqa: F401
+
+
+#: A key that holds over one in HOT of all rows is hot; so there are fewer than HOT such keys, however large the input.
+HOT = 1000
+
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share (spark.checkpoint.dir).
+def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """left joined with right, which has one row for each key and the number of left's rows with it in `weight`.
 
-    Only where that setting is absent, as in tests in local mode, a temporary folder takes its place.
+    Rows of hot keys meet their few (under HOT) rows of right by a broadcast, so none of those keys is gathered in a
+    task; all other rows are joined by shuffle. left is read twice: give a stored table.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.gettempdir() + "/polyad"
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to shared storage once and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT > total
+    met = left.join(F.broadcast(right.where(hot).withColumn("__hot", F.lit(True))), key, "left")
+    cold = met.where("__hot IS NULL").select(*left.columns).join(right.where(~hot), key)
+    names = [key, *(c for c in left.columns if c != key), *(c for c in right.columns if c != key)]
+    return cold.select(*names).unionByName(met.where("__hot").select(*names))
+
+
+def partitions(df: DataFrame, each: int = 64 << 20) -> int:
+    """Shuffle partitions for df's rows: as configured, or more if the plan's estimated size gives over `each` bytes to one."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 20) if size < 1 << 60 else 1)
 
 
 def text_bytes(column: str | Column) -> Column:

@@ -35,11 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_bytes
+from .common import join_skewed, materialise, text_bytes
 
 SEED, SHINGLE, BITS = 42, 3, 3
 CHUNK = 1 << 15
-HOT = 1000
 #: The byte sketch: positions, words in a shingle, similarity, bytes in a key, keys.
 POSITIONS, WORDS, SIMILARITY, KEY, KEYS = 128, 5, 0.8, 4, 12
 WORD_MEMO = 300_000
@@ -245,12 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fp, component_id of each row: documents whose fingerprints are linked by chains of at most `bits` differing bits."""
     marked = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(text_col, size).alias("fp")), "simhash")
     named = materialise(classes(marked, bits).select("fp", "component_id", "n"), "simhash-classes")
-    # fingerprints of over a thousandth of all rows are fewer than a thousand: small whatever the input, and no task gathers their rows
-    total = named.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT > total
-    near = marked.join(F.broadcast(named.where(hot).select("fp", "component_id", F.lit(True).alias("hot"))), "fp", "left")
-    cold = near.where("hot IS NULL").select("doc_id", "fp").join(named.where(~hot), "fp").select("doc_id", "fp", "component_id")
-    return cold.unionByName(near.where("hot").select("doc_id", "fp", "component_id"))
+    return join_skewed(marked, named, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:

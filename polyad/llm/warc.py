@@ -3,7 +3,7 @@
 A payload is stored once under its SHA-256; every record's exact header stands in a table of its own with the digest as
 the link, and records come back through a join. Archive folder:
 
-* payloads/ (Parquet): digest BINARY (SHA-256), payload BINARY, payload_bytes, payload_sha1, response_id
+* payloads/ (Parquet): digest BINARY (SHA-256), payload BINARY, payload_bytes, payload_sha1, response_id, n (records)
 * headers/  (Parquet): page_id, digest, header STRING (the record's header block with its empty line)
 
 Of the records whose payloads are equal and have `min_revisit` bytes or more, the one with the largest id is the response
@@ -14,7 +14,7 @@ each time (equal ids share a type); where all ids of a group are null, all are r
 archive; control characters in a URL are percent-encoded, so that they can't end a header line.
 
 Scale: the payload bytes are shuffled once, after equal ones in a task have become one (partial aggregation), so a payload
-that a third of the rows share costs a row per task. The join back moves ids, digests and headers only. Both tables are
+that a third of the rows share costs a row per task. The join back moves ids, digests and headers only, and rows of such a payload meet its facts by a broadcast of bounded size. Both tables are
 committed by Spark's writer, so a lost executor costs only its own tasks.
 """
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_bytes
+from .common import join_skewed, materialise, shared_dir, text_bytes
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,13 +39,13 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", uri_col: st
     keyed = rows.select("*", F.unhex(F.sha2("payload", 256)).alias("digest"))
     (
         keyed.groupBy("digest")
-        .agg(F.first("payload").alias("payload"), F.max("page_id").alias("response_id"), F.min(F.length("payload")).alias("least"), F.max(F.length("payload")).alias("most"), F.min(F.sha1("payload")).alias("sha_least"), F.max(F.sha1("payload")).alias("sha_most"))
+        .agg(F.first("payload").alias("payload"), F.max("page_id").alias("response_id"), F.count("*").alias("n"), F.min(F.length("payload")).alias("least"), F.max(F.length("payload")).alias("most"), F.min(F.sha1("payload")).alias("sha_least"), F.max(F.sha1("payload")).alias("sha_most"))
         # two payloads under one digest would differ in length or in the second digest: stop rather than lose one
-        .select("digest", "payload", F.when((F.col("least") == F.col("most")) & (F.col("sha_least") == F.col("sha_most")), F.col("most").cast("long")).otherwise(F.raise_error(F.lit("digest collision"))).alias("payload_bytes"), F.col("sha_least").alias("payload_sha1"), "response_id")
+        .select("digest", "payload", F.when((F.col("least") == F.col("most")) & (F.col("sha_least") == F.col("sha_most")), F.col("most").cast("long")).otherwise(F.raise_error(F.lit("digest collision"))).alias("payload_bytes"), F.col("sha_least").alias("payload_sha1"), "response_id", "n")
         .write.option("compression", "zstd").parquet(f"{path}/payloads")
     )
-    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload_bytes", "payload_sha1", "response_id")
-    linked = keyed.select("page_id", "uri", "digest").join(stored, "digest")
+    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload_bytes", "payload_sha1", "response_id", "n")
+    linked = join_skewed(materialise(keyed.select("page_id", "uri", "digest"), "warc-links"), stored, "digest", "n")
     revisit = (F.col("payload_bytes") >= min_revisit) & ~F.coalesce(F.col("page_id") == F.col("response_id"), F.col("response_id").isNull())
     safe_uri = F.regexp_replace(F.regexp_replace(F.coalesce("uri", F.lit("")), "\r", "%0D"), "\n", "%0A")
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -66,22 +66,21 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", uri_col: st
     return path
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records of an archive: page_id, header, payload (whole, for revisits too), payload_bytes, payload_digest, record_type, refers_to.
 
     Each stored payload is checked against its SHA-256 on the way; a damaged one raises. Lengths and SHA-1 are computed
-    from the bytes that were read. A plan that doesn't select `payload` doesn't shuffle it.
+    from the bytes that were read. Without payloads, the join moves what was found about them instead of their bytes.
     """
-    payloads = spark.read.parquet(f"{path}/payloads").select("digest", "payload")
+    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload", "n")
     intact = F.unhex(F.sha2("payload", 256)) == F.col("digest")
-    facts = payloads.select("digest", "payload", F.when(intact, F.length("payload").cast("long")).otherwise(F.raise_error(F.lit("payload damaged"))).alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    size = F.when(intact, F.length("payload").cast("long")).otherwise(F.raise_error(F.lit("payload damaged")))
+    facts = stored.select("digest", "n", *(["payload"] if payloads else []), size.alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     field = lambda name: F.regexp_extract("header", rf"(?m)^{name}: (.*?)\r?$", 1)
     refers = F.regexp_extract("header", r"(?m)^WARC-Refers-To: <urn:page:(-?\d+)>\r?$", 1)
-    return (
-        spark.read.parquet(f"{path}/headers")
-        .join(facts, "digest")
-        .select("page_id", "header", "payload", "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"))
-    )
+    headers = spark.read.parquet(f"{path}/headers")
+    joined = headers.join(facts, "digest") if payloads else join_skewed(headers, materialise(facts, "warc-facts"), "digest", "n")
+    return joined.select("page_id", "header", *(["payload"] if payloads else []), "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"))
 
 
 def export_warc(spark: SparkSession, path: str, out: str, compression: str = "gzip") -> None:
@@ -109,7 +108,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def warc_query(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = write_archive(pages, shared_dir(spark, "warc"))
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archive(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

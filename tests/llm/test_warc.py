@@ -43,10 +43,12 @@ def test_payloads_are_stored_once_and_come_back(spark, pages, tmp_path):
 
 def test_damage_is_found(spark, pages, tmp_path):
     path = warc.write_archive(pages, f"{tmp_path}/a")
-    spark.read.parquet(f"{path}/payloads").selectExpr("digest", "cast(concat(cast(payload AS string), '!') AS binary) AS payload", "response_id").write.parquet(f"{tmp_path}/b/payloads")
+    spark.read.parquet(f"{path}/payloads").selectExpr("digest", "cast(concat(cast(payload AS string), '!') AS binary) AS payload", "response_id", "n").write.parquet(f"{tmp_path}/b/payloads")
     spark.read.parquet(f"{path}/headers").write.parquet(f"{tmp_path}/b/headers")
     with pytest.raises(Exception, match="payload damaged"):
-        warc.read_archive(spark, f"{tmp_path}/b").select("payload_bytes").collect()
+        warc.read_archive(spark, f"{tmp_path}/b", payloads=False).collect()
+    with pytest.raises(Exception, match="payload damaged"):
+        warc.read_archive(spark, f"{tmp_path}/b").collect()
 
 
 def test_exported_files_are_warc(spark, pages, tmp_path):
@@ -62,6 +64,15 @@ def test_exported_files_are_warc(spark, pages, tmp_path):
             assert block == b"" and fields["WARC-Refers-To"]
 
 
+def test_hot_payloads_are_joined_whole(spark, monkeypatch):
+    from polyad.llm import common
+
+    monkeypatch.setattr(common, "HOT", 4)  # payloads of over a quarter of the rows
+    rows = [(i, f"u{i}", ["hot" * 500, "cold" * 400, None][0 if i % 3 else i % 2 + 1]) for i in range(60)]
+    got = [tuple(r) for r in warc.warc_query(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
 def test_empty_table(spark, pages):
     assert warc.warc_query(spark, pages.limit(0)).count() == 0
 
