@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from math import prod
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,8 @@ from ..frame import TensorFrame
 from ..functions.index import l2_norm
 from ..storage import materialise
 from .relational import best, by_shrinkage, cluster, cluster_meta, cluster_sizes, factor_table, gather, mode_n_products, row_norms, small, unfold
-from .tucker import Tucker, converged, leading
+from .blocks import unfold_local
+from .tucker import LOCAL_CELLS, Tucker, converged, leading
 
 
 def slice_scores(t: TensorFrame, factors: Mapping[int, tuple[DataFrame, int]], mode: int) -> DataFrame:
@@ -93,6 +95,19 @@ def grams_by_cluster(cells: DataFrame, names: Sequence[str], mode: int, extents:
     return out
 
 
+def local_grams(cells: DataFrame, names: Sequence[str], mode: int, shapes: Mapping[int, tuple[int, ...]]) -> dict[int, np.ndarray]:
+    """The same from fetched cells, for projections whose extents are known to be small."""
+    rows = cells.toArrow()
+    owner, at, v = np.asarray(rows["cluster"]), [np.asarray(rows[c]) for c in names], np.asarray(rows["v"])
+    out = {}
+    for c, shape in shapes.items():
+        x, own = np.zeros(shape), owner == c
+        x[tuple(a[own] for a in at)] = v[own]
+        m = unfold_local(x, mode)
+        out[c] = m @ m.T
+    return out
+
+
 def fit_models(t: TensorFrame, members: DataFrame, k: int, mode: int, modes: Sequence[int], ranks: Sequence[int], max_iter: int, eps: float, before: Mapping[int, Tucker] | None = None) -> dict[int, Tucker]:
     """A Tucker model for each cluster by HOOI; an empty cluster keeps the one before.
 
@@ -114,7 +129,10 @@ def fit_models(t: TensorFrame, members: DataFrame, k: int, mode: int, modes: Seq
         for m in modes:
             active = cells.where(F.col("cluster").isin(sorted(going)))
             projected = products_by_cluster(active, names, {c: {o: bases[c][o] for o in modes if o != m} for c in going})
-            for c, g in grams_by_cluster(materialise(projected, "projected"), names, m, {c: metas[c].shape[m] for c in going}).items():
+            shapes = {c: tuple(rank[c][o] if o in rank[c] and o != m else e for o, e in enumerate(metas[c].shape)) for c in going}
+            small_enough = sum(map(prod, shapes.values())) <= LOCAL_CELLS
+            grams = local_grams(projected, names, m, shapes) if small_enough else grams_by_cluster(materialise(projected, "projected"), names, m, {c: metas[c].shape[m] for c in going})
+            for c, g in grams.items():
                 new = leading(g, rank[c][m])
                 done[c] &= converged(new, bases[c][m], eps)
                 bases[c][m] = new

@@ -15,6 +15,8 @@ from . import blocks, relational
 
 #: The largest Gram matrix that is fetched for its eigenvectors (rows).
 MOST_ROWS = 20_000
+#: Projections of at most so many cells (24 MB) are fetched whole, and their Gram matrix is made locally.
+LOCAL_CELLS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -33,9 +35,15 @@ def _products(t: TensorFrame | BlockFrame, factors: Mapping[int, np.ndarray]) ->
     return relational.mode_n_products(t, {m: (relational.factor_table(spark, b), b.shape[1]) for m, b in factors.items()})
 
 
-def gram_matrix(t: TensorFrame | BlockFrame, mode: int) -> np.ndarray:
-    """The mode-n Gram matrix as a local array: extent squared values, whatever the tensor's size."""
+def gram_matrix(t: TensorFrame | BlockFrame, mode: int, local: int = 0) -> np.ndarray:
+    """The mode-n Gram matrix as a local array: extent squared values, whatever the tensor's size.
+
+    local: a tensor of at most so many cells (by its extents) is fetched instead, which saves the join.
+    """
     n = t.meta.shape[mode]
+    if t.meta.size <= local:
+        m = blocks.unfold_local((t.to_cells() if isinstance(t, BlockFrame) else t).to_numpy(), mode)
+        return m @ m.T
     if n > MOST_ROWS:
         raise ValueError(f"mode {mode} has {n} slices; the Gram matrix of over {MOST_ROWS} is not fetched")
     cells = (blocks.gram if isinstance(t, BlockFrame) else relational.gram)(t, mode)
@@ -53,8 +61,8 @@ def leading(gram: np.ndarray, rank: int, pad: bool = False) -> np.ndarray:
     return np.hstack([out, np.zeros((len(out), rank - out.shape[1]))]) if pad and rank > out.shape[1] else out
 
 
-def extract_basis(t: TensorFrame | BlockFrame, mode: int, rank: int, pad: bool = False) -> np.ndarray:
-    return leading(gram_matrix(t, mode), rank, pad)
+def extract_basis(t: TensorFrame | BlockFrame, mode: int, rank: int, pad: bool = False, local: int = 0) -> np.ndarray:
+    return leading(gram_matrix(t, mode, local), rank, pad)
 
 
 def converged(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
@@ -85,8 +93,8 @@ def hooi(t: TensorFrame | BlockFrame, ranks: Sequence[int], modes: Sequence[int]
     """Tucker decomposition by alternating iteration.
 
     Per sweep and mode, the tensor is projected on all other bases and the basis becomes the leading eigenvectors of what
-    remains; it ends when every mode's basis has converged in a sweep. What reaches the driver is one Gram matrix
-    per mode and sweep. keep: write the input to shared storage first, since every sweep reads it once per mode.
+    remains; it ends when every mode's basis has converged in a sweep. What reaches the driver per mode and sweep is one Gram
+    matrix, or a projection of at most LOCAL_CELLS cells. keep: write the input to shared storage first, since every sweep reads it once per mode.
     """
     modes = list(modes) if modes is not None else list(range(t.meta.ndim))
     wanted = _checked(t, modes, ranks)
@@ -100,7 +108,7 @@ def hooi(t: TensorFrame | BlockFrame, ranks: Sequence[int], modes: Sequence[int]
         done = True
         for m in modes:
             projected = _products(t, {o: factors[o] for o in modes if o != m})
-            new = extract_basis(projected, m, wanted[m])
+            new = extract_basis(projected, m, wanted[m], local=LOCAL_CELLS)
             done &= converged(new, factors[m], eps)
             factors[m] = new
         if done:

@@ -33,10 +33,18 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return fs, inner.rstrip("/")
 
 
-def _files(path: str) -> list[str]:
+#: Bytes of small files that one read task takes together.
+TASK_BYTES = 32 << 20
+
+
+def _sizes(path: str) -> list[tuple[str, int]]:
     fs, root = open_fs(path)
     found = fs.get_file_info(pafs.FileSelector(root))
-    return sorted(f.path for f in found if f.type == pafs.FileType.File and f.base_name[:1] not in "._" and f.size)
+    return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and f.base_name[:1] not in "._" and f.size)
+
+
+def _files(path: str) -> list[str]:
+    return [f for f, _ in _sizes(path)]
 
 
 # codecs
@@ -102,8 +110,8 @@ def write_header(spark: SparkSession, path: str, meta: TensorMeta) -> None:
 
 
 @dataclass
-class BlockFile(InputPartition):
-    file: str
+class BlockFiles(InputPartition):
+    files: list[str]
 
 
 @dataclass
@@ -133,18 +141,29 @@ class TensorSource(DataSource):
 
 
 class TensorReader(DataSourceReader):
-    """A partition for each file: a block is what a task holds at a time."""
+    """Small files are read by one task up to TASK_BYTES; a file is what a task holds at a time."""
 
     def __init__(self, meta: TensorMeta, path: str):
         self.meta, self.path = meta, path
 
-    def partitions(self) -> list[BlockFile]:
-        return [BlockFile(f) for f in _files(f"{self.path}/block")]
+    def partitions(self) -> list[BlockFiles]:
+        out, held = [], TASK_BYTES
+        for file, size in _sizes(f"{self.path}/block"):
+            if held + size > TASK_BYTES:
+                out.append(BlockFiles([]))
+                held = 0
+            out[-1].files.append(file)
+            held += size
+        return out
+
+    def read(self, partition: BlockFiles) -> Iterator[pa.RecordBatch]:
+        for file in partition.files:
+            yield from self.blocks(file)
 
-    def read(self, partition: BlockFile) -> Iterator[pa.RecordBatch]:
+    def blocks(self, file: str) -> Iterator[pa.RecordBatch]:
         fs, _ = open_fs(self.path)
         names = block_modes(self.meta.ndim)
-        with fs.open_input_file(partition.file) as source:
+        with fs.open_input_file(file) as source:
             raw = source.read()
         for key, data in decode_blocks(raw, self.meta):
             yield pa.RecordBatch.from_arrays([*(pa.array([b], pa.int32()) for b in key), pa.array([data], pa.list_(pa.float64()))], [*names, "data"])
