@@ -22,9 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces that a Python worker remembers; later ones are encoded anew in each batch.
-MEMO = 300_000
+MEMO = 150_000
 #: Bytes of text that are encoded at once.
-BATCH = 12 << 20
+BATCH = 8 << 20
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
