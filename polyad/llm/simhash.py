@@ -41,7 +41,7 @@ SEED, SHINGLE, BITS = 42, 3, 3
 CHUNK = 1 << 15
 #: The byte sketch: positions, words in a shingle, similarity, bytes in a key, keys.
 POSITIONS, WORDS, SIMILARITY, KEY, KEYS = 128, 5, 0.8, 4, 12
-WORD_MEMO = 300_000
+WORD_MEMO = 100_000
 SETS = [(a, b, c, a ^ b ^ c) for a in range(8) for b in range(a + 1, 8) for c in range(b + 1, 8) if a ^ b ^ c > c]
 
 
@@ -205,10 +205,11 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     before = state(edges)
     for _ in range(rounds if before[0] else 0):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # stored, so that the join has an exchange of its own on either side, and a hub's rows can be dealt to several tasks
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large.where("a <> b").distinct(), name)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = materialise(small.where("a <> b").distinct(), name)
         after = state(edges)
