@@ -7,7 +7,8 @@ positions lie in exactly one such set, and the sets are closed under complement)
 list of one of 14 keys of 32 bits. Within a list the shared positional bytes of each pair are tallied, pairs with fewer
 than the guaranteed 5 are put aside, and the rest is verified by Hamming distance.
 
-A list yields a spanning forest of its links (found by a search that takes every member out of the rest as soon as it is reached),
+A list of over LIST members is cut into blocks, and each pair of blocks is a list of its own, so no task holds more and no pair is
+lost. A list yields a spanning forest of its links (found by a search that takes every member out of the rest as soon as it is reached),
 not all pairs; so its output is linear in its length, and so is its time where the members are close to each other. Links of
 different lists are joined into components by alternating large-star and small-star steps over tables.
 
@@ -42,6 +43,8 @@ CHUNK = 1 << 15
 #: The byte sketch: positions, words in a shingle, similarity, bytes in a key, keys.
 POSITIONS, WORDS, SIMILARITY, KEY, KEYS = 128, 5, 0.8, 4, 12
 WORD_MEMO = 100_000
+#: Most members of a posting list that are compared in one place.
+LIST = 1 << 16
 SETS = [(a, b, c, a ^ b ^ c) for a in range(8) for b in range(a + 1, 8) for c in range(b + 1, 8) if a ^ b ^ c > c]
 
 
@@ -163,10 +166,11 @@ def sketch_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     deviation = (similarity * (1 - similarity) / POSITIONS) ** 0.5
     least = int(POSITIONS * (similarity - 1.5 * deviation))
     keys = F.array(*[F.struct(F.lit(k).cast("byte").alias("set"), F.substring("sketch", KEY * k + 1, KEY).alias("key")) for k in range(KEYS)])
-    shared = nodes.where("sketch IS NOT NULL").select("fp", F.inline(keys)).groupBy("set", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    rows = nodes.where("sketch IS NOT NULL").select("fp", F.inline(keys))
     # only members of lists of two or more fetch their sketch
-    members = materialise(shared.select("set", "key", F.explode("fps").alias("fp")), "sketch-members")
-    lists = members.join(nodes.select("fp", "sketch"), "fp").groupBy("set", "key").agg(F.collect_list(F.struct("fp", "sketch")).alias("m")).select("m.fp", "m.sketch")
+    shared = rows.groupBy("set", "key").count().where("count > 1").drop("count")
+    members = materialise(rows.join(shared, ["set", "key"]), "sketch-members")
+    lists = postings(members.join(nodes.select("fp", "sketch"), "fp"), F.struct("fp", "sketch")).select("m.fp", "m.sketch")
 
     def apply(batches):
         for batch in batches:
@@ -179,19 +183,35 @@ def sketch_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return lists.mapInArrow(apply, "a long, b long").distinct()
 
 
+def postings(rows: DataFrame, member: Column) -> DataFrame:
+    """Lists m of the members of rows with equal set and key (columns set, key, fp and what member needs), of two or more.
+
+    A longer list comes as the lists of all pairs of its blocks.
+    """
+    keys = ["set", "key"]
+    long = materialise(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > LIST), "long-lists")
+    if not long.isEmpty():
+        blocks = F.ceil(F.col("__n") * 2 / LIST).cast("int")
+        own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+        rows = rows.join(long, keys, "left").withColumn("__pair", F.explode(F.coalesce(pairs, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
+        keys = [*keys, "__pair"]
+    return rows.groupBy(*keys).agg(F.collect_list(member).alias("m")).where(F.size("m") > 1).select("m")
+
+
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """Edges (a, b), b < a in component order, over distinct fingerprints fp."""
     byte = lambda k: F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255))
     key = lambda s: sum((F.shiftleft(byte(p), 8 * i) for i, p in enumerate(s)), F.lit(0).cast("long"))
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("set"), key(s).alias("key")) for i, s in enumerate(SETS)])
-    postings = nodes.select("fp", F.inline(keys)).groupBy("set", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    lists = postings(nodes.select("fp", F.inline(keys)), F.col("fp"))
 
     def apply(batches):
         for batch in batches:
-            edges = [e for fps in batch.column("fps") for e in forest(np.asarray(fps.values, dtype=np.int64).view(np.uint64), bits)]
+            edges = [e for fps in batch.column("m") for e in forest(np.asarray(fps.values, dtype=np.int64).view(np.uint64), bits)]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
-    return postings.mapInArrow(apply, "a long, b long").distinct()
+    return lists.mapInArrow(apply, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:

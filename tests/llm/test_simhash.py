@@ -59,8 +59,9 @@ def test_index_covers_every_pair_of_three_bits():
             assert any(all(k >> p & 1 for p in s) for s in sh.SETS)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_match_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "most"), [(0, 1 << 16), (1, 1 << 16), (2, 4)])
+def test_components_match_brute_force(spark, seed, most, monkeypatch):
+    monkeypatch.setattr(sh, "LIST", most)  # at 4, most lists are cut into blocks
     rng = random.Random(seed)
     fps = [rng.getrandbits(64) for _ in range(25)]
     for _ in range(120):  # chains and clusters at distances 0 to 5
@@ -104,7 +105,9 @@ def test_documents_table(spark, sf):
     assert got == {d: (f"{f:016x}", c) for (d, f), c in zip(rows, brute_components(rows), strict=True)}
 
 
-def test_sketches_link_near_copies_and_nothing_else(spark):
+@pytest.mark.parametrize("most", [1 << 16, 3])
+def test_sketches_link_near_copies_and_nothing_else(spark, most, monkeypatch):
+    monkeypatch.setattr(sh, "LIST", most)
     rng = random.Random(2)
     vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
     rows, source = [], {}
