@@ -15,9 +15,12 @@ different lists are joined into components by alternating large-star and small-s
 Fingerprints within 3 bits miss many near copies (texts that share 0.8 of their five-word shingles differ in ten bits and more). So
 `deduplicated` adds a second kind of fingerprint to the same index: a byte sketch of 128 positional bytes, byte k from the k-th
 min-hash of the five-word shingles. Two texts of similarity s agree at a position with probability s. Postings of four
-positions at a time give the pairs (12 keys: a pair at 0.8 is missed by all with probability 0.002), their shared positional
-bytes are tallied over all 128, and those that reach the count that stands for the similarity (less a standard deviation and a half)
-are linked.
+positions at a time (KEYS keys: a pair at 0.8 is missed by all with probability 3e-5) give the pairs, whose shared positional bytes are tallied
+over all 128. The tally only finds candidates (at 0.8 less DEVIATIONS standard deviations a pair is lost with probability 3e-4); a link is a pair
+whose shingle sets, made again from the two texts, have a Jaccard similarity of `similarity` or more. First a spanning forest of
+the pairs that are most likely links is verified. Then texts that still have candidates in another component meet again in
+their lists, with their texts, and candidates of different components are verified there. What a list gives is linear in its
+length in both; the comparisons in a list of texts that resemble each other a little less than `similarity` are all made.
 
 Defined cases: a null or empty text has fingerprint 0 and is linked like any other; texts of one or two words hash their
 whole word sequence; equal fingerprints are one node, whatever their number; a null doc_id keeps its row (the component id is
@@ -41,7 +44,9 @@ from .common import join_skewed, materialise, text_bytes
 SEED, SHINGLE, BITS = 42, 3, 3
 CHUNK = 1 << 15
 #: The byte sketch: positions, words in a shingle, similarity, bytes in a key, keys.
-POSITIONS, WORDS, SIMILARITY, KEY, KEYS = 128, 5, 0.8, 4, 12
+POSITIONS, WORDS, SIMILARITY, KEY, KEYS = 128, 5, 0.8, 4, 20
+#: Standard deviations of a tally at the similarity: candidates have so many less, pairs of the first round so many more.
+DEVIATIONS, SURE = 3.5, 1.0
 WORD_MEMO = 100_000
 #: Most members of a posting list that are compared in one place.
 LIST = 1 << 16
@@ -89,13 +94,13 @@ _FLIP, _TIMES, _PLACE = _numbers(POSITIONS, 11).astype(np.uint32), _numbers(POSI
 _words: dict[bytes, int] = {}
 
 
-def sketch(text: bytes, size: int = WORDS) -> bytes | None:
-    """Positional bytes of the min-hashes of the text's word shingles (a shorter text is one shingle); None without words."""
+def word_shingles(text: bytes, size: int = WORDS) -> np.ndarray:
+    """A 64-bit hash of each word shingle, repeats included (a shorter text is one shingle); none without words."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return None
+        return np.empty(0, np.uint64)
     if len(_words) > WORD_MEMO:
         _words.clear()
     for w in set(words).difference(_words):
@@ -106,8 +111,25 @@ def sketch(text: bytes, size: int = WORDS) -> bytes | None:
     h = np.zeros(n, np.uint64)
     for j in range(width):
         h += codes[j : j + n] * _PLACE[j]
-    h = (h ^ (h >> np.uint64(31))) * _PLACE[-1]
-    h = (h >> np.uint64(32)).astype(np.uint32)
+    return (h ^ (h >> np.uint64(31))) * _PLACE[-1]
+
+
+def similar(a: bytes, b: bytes) -> tuple[int, int]:
+    """Shared and all different word shingles of two texts: their quotient is the Jaccard similarity."""
+    x, y = np.unique(word_shingles(a)), np.unique(word_shingles(b))
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared, len(x) + len(y) - shared
+
+
+def sketch(text: bytes, size: int = WORDS) -> bytes | None:
+    """Positional bytes of the min-hashes of the text's word shingles (a shorter text is one shingle); None without words."""
+    return sketch_of(word_shingles(text, size))
+
+
+def sketch_of(h: np.ndarray) -> bytes | None:
+    if not len(h):
+        return None
+    h, n = (h >> np.uint64(32)).astype(np.uint32), len(h)
     least = np.full(POSITIONS, np.iinfo(np.uint32).max, np.uint32)
     for a in range(0, n, 512):
         part = h[a : a + 512, None] ^ _FLIP
@@ -118,12 +140,18 @@ def sketch(text: bytes, size: int = WORDS) -> bytes | None:
 
 
 def marks_column(text_col: str = "text", size: int = SHINGLE) -> Column:
-    """Struct of fp and sketch."""
+    """Struct of fp, sketch, and node: a 64-bit digest of the fingerprint and the set of word shingles."""
+    from xxhash import xxh64_intdigest
 
-    @F.pandas_udf("fp long, sketch binary")
+    @F.pandas_udf("fp long, sketch binary, node long")
     def marks(texts: pd.Series) -> pd.DataFrame:
-        rows = [bytes(t) for t in texts]
-        return pd.DataFrame({"fp": pd.Series([fingerprint(t, size) for t in rows], dtype="int64"), "sketch": pd.Series([sketch(t) for t in rows], dtype=object)})
+        fps, sketches, nodes = [], [], []
+        for t in texts:
+            hashes = word_shingles(bytes(t))
+            fps.append(fingerprint(bytes(t), size))
+            sketches.append(sketch_of(hashes))
+            nodes.append(xxh64_intdigest(np.unique(hashes).tobytes(), fps[-1] % 2**64) - (1 << 63))
+        return pd.DataFrame({"fp": pd.Series(fps, dtype="int64"), "sketch": pd.Series(sketches, dtype=object), "node": pd.Series(nodes, dtype="int64")})
 
     return marks(text_bytes(text_col))
 
@@ -156,42 +184,121 @@ def forest(fps: np.ndarray, bits: int = BITS, least: int = 8 - BITS) -> list[tup
     return spanning(fps.view(np.int64), reaches)
 
 
-def sketch_forest(names: np.ndarray, sketches: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """The same for byte sketches (a row each) that agree in `least` positions or more."""
-    return spanning(names, lambda i, rest: (sketches[rest] == sketches[i]).sum(1) >= least)
+def sketch_forest(sketches: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(member, neighbour) edges of a spanning forest of sketches (a row each) that agree in `least` positions or more."""
+    out, rest = [], np.arange(len(sketches))
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            near = (sketches[rest] == sketches[i]).sum(1) >= least
+            out += [(r, int(i)) for r in rest[near].tolist()]
+            queue += rest[near].tolist()
+            rest = rest[~near]
+    return out
 
 
-def sketch_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) over nodes (fp, sketch) whose sketches agree as much as texts of that similarity do."""
-    deviation = (similarity * (1 - similarity) / POSITIONS) ** 0.5
-    least = int(POSITIONS * (similarity - 1.5 * deviation))
-    keys = F.array(*[F.struct(F.lit(k).cast("byte").alias("set"), F.substring("sketch", KEY * k + 1, KEY).alias("key")) for k in range(KEYS)])
-    rows = nodes.where("sketch IS NOT NULL").select("fp", F.inline(keys))
-    # only members of lists of two or more fetch their sketch
-    shared = rows.groupBy("set", "key").count().where("count > 1").drop("count")
-    members = materialise(rows.join(shared, ["set", "key"]), "sketch-members")
-    lists = postings(members.join(nodes.select("fp", "sketch"), "fp"), F.struct("fp", "sketch")).select("m.fp", "m.sketch")
+def unsettled(sketches: np.ndarray, parts: np.ndarray, least: int) -> np.ndarray:
+    """Which sketches agree with one of another part in `least` positions or more."""
+    out = np.zeros(len(sketches), bool)
+    for i in range(len(sketches)) if (parts != parts[:1]).any() else ():
+        near = (parts != parts[i]) & ((sketches == sketches[i]).sum(1) >= least)
+        out[i] = near.any()
+    return out
+
+
+def part_links(sketches: np.ndarray, parts: np.ndarray, texts: list[bytes], least: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (pairs whose shingle sets are similar) that join different parts; none between parts that are joined already."""
+    parts, out, sets = parts.copy(), [], [np.unique(word_shingles(t)) for t in texts]
+    for i in range(len(texts) - 1):
+        other = i + 1 + np.flatnonzero(parts[i + 1 :] != parts[i])
+        for r in other[(sketches[other] == sketches[i]).sum(1) >= least].tolist():
+            if parts[r] != parts[i]:
+                shared = len(np.intersect1d(sets[i], sets[r], assume_unique=True))
+                if shared >= similarity * (len(sets[i]) + len(sets[r]) - shared):
+                    out.append((r, i))
+                    parts[parts == parts[r]] = parts[i]
+    return out
+
+
+def texts_of(used: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts (node, text) of the nodes in used, one for each."""
+    used = materialise(used.distinct(), "pair-nodes")
+    # a broadcast bit map of at most 2^20 words keeps most other texts out of the shuffle
+    word, bit = F.expr("shiftright(pmod(node, 67108864), 6)"), "cast(pmod(node, 64) as int)"
+    words = used.groupBy(word.alias("__word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("__bits"))
+    texts = texts.withColumn("__word", word).join(F.broadcast(words), "__word").where(f"shiftright(__bits, {bit}) & 1 = 1")
+    return materialise(texts.select("node", "text").dropDuplicates(["node"]).join(used, "node", "left_semi"), "pair-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of texts (node, text) whose word shingles have that Jaccard similarity or more."""
 
     def apply(batches):
         for batch in batches:
-            edges = []
-            for names, rows in zip(batch.column("fp"), batch.column("sketch"), strict=True):
-                table = np.frombuffer(b"".join(rows.as_py()), np.uint8).reshape(-1, POSITIONS)
-                edges += sketch_forest(np.asarray(names.values, dtype=np.int64), table, least)
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+            a, b, one, two = (batch.column(i) for i in range(4))
+            keep = []
+            for x, y in zip(one, two, strict=True):
+                shared, total = similar(x.as_py(), y.as_py())
+                keep.append(total > 0 and shared >= similarity * total)
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    return lists.mapInArrow(apply, "a long, b long").distinct()
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts)
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
+    return materialise(both.select("a", "b", "one", "two").mapInArrow(apply, "a long, b long"), "sketch-links")
 
 
-def postings(rows: DataFrame, member: Column) -> DataFrame:
+def sketch_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) over nodes (node, sketch) whose texts (node, text) have that similarity or more."""
+    deviation = (similarity * (1 - similarity) / POSITIONS) ** 0.5
+    least, sure = (int(POSITIONS * (similarity + d * deviation)) for d in (-DEVIATIONS, SURE))
+    keys = F.array(*[F.struct(F.lit(k).cast("byte").alias("set"), F.substring("sketch", KEY * k + 1, KEY).alias("key")) for k in range(KEYS)])
+    rows = nodes.where("sketch IS NOT NULL").select("node", F.inline(keys))
+    # only members of lists of two or more fetch their sketch
+    shared = rows.groupBy("set", "key").count().where("count > 1").drop("count")
+    members = materialise(rows.join(shared, ["set", "key"]), "sketch-members")
+
+    def over(rows: DataFrame, work, schema: str, most: int | None = None) -> DataFrame:
+        """What work(names, members) gives for each list, its members sorted by name: lists of the same members give the same."""
+        extra = [c for c in rows.columns if c not in ("node", "set", "key")]
+        lists = postings(rows.withColumnRenamed("node", "fp"), F.struct("fp", *extra), most).select("m.fp", *(f"m.{c}" for c in extra))
+
+        def apply(batches):
+            for batch in batches:
+                found = []
+                for i in range(batch.num_rows):
+                    names = np.asarray(batch.column("fp")[i].values, dtype=np.int64)
+                    order = np.argsort(names)
+                    table = np.frombuffer(b"".join(batch.column("sketch")[i].as_py()), np.uint8).reshape(-1, POSITIONS)[order]
+                    rest = {c: [v[o] for o in order] for c in extra if c != "sketch" for v in [batch.column(c)[i].as_py()]}
+                    found += work(names[order].tolist(), table, **rest)
+                columns = list(zip(*found, strict=True)) or [()] * len(schema.split(","))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in schema.split(", ")])
+
+        return lists.mapInArrow(apply, schema)
+
+    pairs = over(members.join(nodes.select("node", "sketch"), "node"), lambda names, t: [(names[i], names[j]) for i, j in sketch_forest(t, sure)], "a long, b long")
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    first = verified(materialise(pairs, "sketch-pairs"), texts, similarity)
+    member = components(first, "sketch-parts").withColumnRenamed("root", "part")
+    parts = nodes.select("node", "sketch").join(member, "node", "left").select("node", "sketch", F.coalesce("part", "node").alias("part"))
+    members = members.join(parts, "node")
+    left = over(members, lambda names, t, part: [(names[i],) for i in np.flatnonzero(unsettled(t, np.array(part), least))], "node long")
+    members = members.join(texts_of(left, texts), "node")
+    second = over(members, lambda names, t, part, text: [(names[i], names[j]) for i, j in part_links(t, np.array(part), text, least, similarity)], "a long, b long", max(2, LIST // 16))
+    return first.unionByName(materialise(second.distinct(), "sketch-links"))
+
+
+def postings(rows: DataFrame, member: Column, most: int | None = None) -> DataFrame:
     """Lists m of the members of rows with equal set and key (columns set, key, fp and what member needs), of two or more.
 
     A longer list comes as the lists of all pairs of its blocks.
     """
-    keys = ["set", "key"]
-    long = materialise(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > LIST), "long-lists")
+    keys, most = ["set", "key"], most or LIST
+    long = materialise(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most), "long-lists")
     if not long.isEmpty():
-        blocks = F.ceil(F.col("__n") * 2 / LIST).cast("int")
+        blocks = F.ceil(F.col("__n") * 2 / most).cast("int")
         own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
         rows = rows.join(long, keys, "left").withColumn("__pair", F.explode(F.coalesce(pairs, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
@@ -243,16 +350,20 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def classes(marked: DataFrame, bits: int = BITS, id_col: str = "doc_id", fp_col: str = "fp", sketch_col: str | None = None, similarity: float = SIMILARITY) -> DataFrame:
-    """With sketch_col, rows are linked by their sketches too: of equal fingerprints, one sketch stands for all.
+def classes(marked: DataFrame, bits: int = BITS, id_col: str = "doc_id", fp_col: str = "fp", sketch_col: str | None = None, similarity: float = SIMILARITY, text_col: str = "text", node_col: str = "__node") -> DataFrame:
+    """With sketch_col, rows are linked by the similarity of their texts too.
 
     Returns fp, component_id, the representative's fingerprint (rep_fp) and the number of rows n for each distinct fingerprint of the rows in marked."""
     rank = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).cast("long").alias("id"), F.col(fp_col).alias("fp"))
-    sketches = [F.min(sketch_col).alias("sketch")] if sketch_col else []
-    nodes = materialise(marked.groupBy(F.col(fp_col).alias("fp")).agg(F.min(rank).alias("least"), F.count("*").alias("n"), *sketches), "simhash-nodes")
+    nodes = materialise(marked.groupBy(F.col(fp_col).alias("fp")).agg(F.min(rank).alias("least"), F.count("*").alias("n")), "simhash-nodes")
     edges = links(nodes.select("fp"), bits)
     if sketch_col:
-        edges = edges.unionByName(sketch_links(nodes.select("fp", "sketch"), similarity))
+        # different texts of one fingerprint are nodes of their own here; their links join the fingerprint's component
+        of_text = materialise(marked.groupBy(F.col(node_col).alias("node")).agg(F.min(fp_col).alias("fp"), F.min(sketch_col).alias("sketch")), "simhash-texts")
+        near = sketch_links(of_text, marked.select(F.col(node_col).alias("node"), text_bytes(text_col).alias("text")), similarity)
+        for end in ("a", "b"):
+            near = near.join(of_text.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+        edges = edges.unionByName(near.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
     member = components(edges, "simhash-links")
     linked = nodes.join(member, nodes["fp"] == member["node"])
     of_root = linked.groupBy("root").agg(F.min("least").alias("first"))
@@ -271,20 +382,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """One row of docs for each class of near duplicates: the one with the smallest id; columns as they are.
 
-    Near duplicates are linked by fingerprints within `bits`, or by sketches of a five-word similarity of `similarity`.
+    Near duplicates are linked by fingerprints within `bits`, or by a five-word similarity of at least `similarity`.
 
     Rows are written once with their fingerprint, then shuffled once by id and fingerprint to meet the representatives'.
     """
     id_ = F.col(id_col).cast("long")
     # a key without nulls: one partitioning serves the join and the window
     key = [F.coalesce(id_, F.lit(0).cast("long")).alias("__id"), id_.isNull().alias("__null")]
-    marked = materialise(docs.select("*", *key, marks_column(text_col, size).alias("__m")).select(*docs.columns, "__id", "__null", F.col("__m.fp").alias("__fp"), F.col("__m.sketch").alias("__sketch")), "simhash-rows")
-    reps = classes(marked, bits, id_col, "__fp", "__sketch", similarity).where("fp = rep_fp")
+    marked = materialise(docs.select("*", *key, marks_column(text_col, size).alias("__m")).select(*docs.columns, "__id", "__null", F.col("__m.fp").alias("__fp"), F.col("__m.sketch").alias("__sketch"), F.col("__m.node").alias("__node")), "simhash-rows")
+    reps = classes(marked, bits, id_col, "__fp", "__sketch", similarity, text_col).where("fp = rep_fp")
     reps = reps.select(F.coalesce("component_id", F.lit(0).cast("long")).alias("__id"), F.col("component_id").isNull().alias("__null"), F.col("rep_fp").alias("__fp"))
     names = ["__id", "__null", "__fp"]
     # the same row given twice: one of them
     once = Window.partitionBy(*names).orderBy(F.lit(1))
-    return marked.drop("__sketch").join(reps, names, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    return marked.drop("__sketch", "__node").join(reps, names, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:

@@ -144,3 +144,48 @@ def test_only_null_ids_and_empty_table(spark):
     assert [r["component_id"] for r in sh.simhash_query(docs).collect()] == [None, None]
     assert sh.deduplicated(docs).count() == 1
     assert sh.simhash_query(docs.limit(0)).count() == 0
+
+
+def clusters(docs, linked):
+    """The least id of each chain of linked (doc_id, text)."""
+    least, left = set(), dict(docs)
+    while left:
+        d = min(left)
+        least.add(d)
+        queue = [(d, left.pop(d))]
+        while queue:
+            x = queue.pop()
+            for o in [o for o in left if linked(x[1], left[o])]:
+                queue.append((o, left.pop(o)))
+    return least
+
+
+def test_links_are_exactly_the_pairs_of_the_similarity(spark):
+    """Pairs spread around 0.8: at it and above they go, below they stay."""
+    rng, rows = random.Random(21), []
+    for k in range(150):
+        words = [f"w{k}x{i}" for i in range(rng.choice([60, 200]))]
+        other = list(words)
+        for i in rng.sample(range(len(words)), max(1, round(len(words) * rng.uniform(0.015, 0.05)))):
+            other[i] = f"other{k}x{i}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    sims = [jaccard(shingles(rows[i][1]), shingles(rows[i + 1][1])) for i in range(0, 300, 2)]
+    assert sum(0.7 < s < 0.8 for s in sims) > 20 and sum(0.8 <= s < 0.86 for s in sims) > 20
+    def linked(a, b):
+        return a[1] == b[1] or (a[0] ^ b[0]).bit_count() <= 3 or jaccard(a[2], b[2]) >= 0.8
+    facts = [(d, (brute_fp(t), t, shingles(t))) for d, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in sh.deduplicated(docs).collect()} == clusters(facts, linked)
+
+
+def test_texts_of_one_fingerprint_keep_their_own_links(spark, monkeypatch):
+    """Two texts of one fingerprint: each has near copies that the other hasn't."""
+    rows = []
+    for k in range(4):
+        words = [f"w{k}x{i}" for i in range(100)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words[:50], "other", *words[51:]]))]
+    # all four originals have one fingerprint, their copies have fingerprints far apart
+    fps = {t.encode(): 0 if d % 10 == 0 else int(np.uint64(0xFFFF << (16 * (d // 10))).astype(np.int64)) for d, t in rows}
+    marks = spark.createDataFrame([(d, t, fps[t.encode()], sh.sketch(t.encode()), d) for d, t in rows], "doc_id long, text string, fp long, sketch binary, __node long")
+    got = sh.classes(marks, sketch_col="sketch").collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 5
