@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
@@ -46,6 +48,19 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
+def put(fs: pafs.FileSystem, name: str, data: bytes) -> None:
+    """Write a file whole: under a name of this attempt, then renamed. A file that is there already holds the same bytes and stays."""
+    mine = f"{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(mine) as sink:
+        sink.write(data)
+    try:
+        fs.move(mine, name)
+    except OSError:
+        if fs.get_file_info(name).type != pafs.FileType.File:
+            raise
+        fs.delete_file(mine)
+
+
 def small_batches(column: pa.Array, most_bytes: int):
     """(start, stop) row ranges of a binary or string column that hold about most_bytes each; a longer row stands alone."""
     import numpy as np
