@@ -7,22 +7,49 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark frees an execution's shuffle files at its end while this is set.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests in local mode, a temporary folder takes its place.
-    """
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: one without belongs to Spark's default file system, for every reader and writer alike."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(hadoop).toString()
+
+
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir() + "/polyad"
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{qualified(spark, base).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that all executors share (spark.checkpoint.dir).
+
+    Only where that setting is absent, as in tests in local mode, a temporary folder takes its place.
+    """
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to shared storage once and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to shared storage once and read it back: lineage ends there, and a lost executor costs no recomputation.
+
+    The shuffle files of the plan behind it are of no use any more and are freed at once.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    try:
+        spark.conf.set(FREE_SHUFFLES, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has put into shared storage. Frames that read from there are of no use afterwards."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_base(spark))
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
