@@ -3,20 +3,26 @@
 An item of m bytes that occurs with at most k edits shares at least m - q + 1 - k*q of its q-grams with that place, and they lie on
 at most k + 1 neighbouring diagonals (text position minus item position). So shared q-grams are counted in bands of 2(k + 1)
 diagonals that overlap by half: any k + 1 neighbours lie in one of them. Bands below the bound are put aside; the others are verified by
-an alignment of the item within the band. Items shorter than 2q, and those whose bound would not be positive, have k = 0.
+an alignment of the item within the band.
 
-Texts are compared lower-cased (A-Z) with white space runs as one space. `rate` sets the edit budget: k = floor(rate * m).
+Texts are compared lower-cased (A-Z) with white space runs as one space. `rate` sets the edit budget: k = floor(rate * m), for every m.
+Items too short for the bound with q = 8 (some of under 32 bytes) are searched with the largest q that leaves it positive. An item whose
+budget is 0 (under 10 bytes at the usual rate) must stand alone: it is not found inside a longer word.
 
 Defined cases: null and empty texts hold nothing; null and empty items are not searched for; repeated items each report; repeated
-rows each report; a text of any length is processed whole (in chunks that overlap by more than an item); empty tables give none.
+rows each report; a text of any length is processed whole (in chunks that overlap by more than an item); an item that occurs several
+times in a text is reported at its best place, the first of equals; empty tables give none; other columns are not read.
 
-Scale: texts are read once per block of items, map-only. A block of items has at most `block_bytes` bytes, so what is sent to the workers is bounded
-however large the benchmark is; usual benchmarks are one block. Memory is bounded by the chunk of text.
+Scale: texts are read once, map-only, whatever the number of items. Items are grouped, cut into blocks of about `block_bytes` by hash, and
+sent as a broadcast each; the driver holds one block at a time. A worker makes a block's index once and keeps the last two, so
+its memory is bounded by blocks and by the chunk of text; a benchmark of many blocks costs time, not memory.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import materialise, small_batches, text_bytes
 
 Q, RATE = 8, 0.10
 CHUNK, ITEM_BLOCK = 2 << 20, 4 << 20
@@ -86,19 +92,25 @@ def band_align(item: np.ndarray, text: np.ndarray, first: int, width: int, k: in
     return (int(row[j]), int(origin[j]), int(first + j + m)) if row[j] <= k else None
 
 
-class Finder:
-    """Finds benchmark items in texts."""
-
-    def __init__(self, items: list[tuple[int | None, bytes]], q: int = Q, rate: float = RATE):
-        self.q, self.items = q, [(i, normal(t)) for i, t in items]
-        self.items = [(i, np.frombuffer(t, np.uint8)) for i, t in self.items if t]
-        m = np.array([len(t) for _, t in self.items], np.int64)
-        k = np.where(m >= 2 * q, (rate * m).astype(np.int64), 0)
-        bound = m - q + 1 - k * q
-        self.k = np.where(bound > 0, k, 0)
-        self.bound = m - q + 1 - self.k * q
-        self.m, self.longest = m, int(m.max(initial=0))
-        self.short = [t for t in range(len(self.items)) if m[t] < q]
+def budget(m: int, rate: float = RATE) -> int:
+    """Edits allowed in an occurrence of an item of m bytes."""
+    return int(rate * m)
+
+
+def gram_size(m: int, q: int = Q, rate: float = RATE) -> int:
+    """The largest q-gram, up to q, of which an item of m bytes shares at least one with any occurrence: m - q + 1 - k * q > 0."""
+    return min(q, m // (budget(m, rate) + 1))
+
+
+class Index:
+    """Items (number, bytes) whose q-grams of one size are searched together."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, rate: float):
+        self.q, self.items = q, items
+        self.m = np.array([len(t) for _, t in self.items], np.int64)
+        self.k = np.array([budget(len(t), rate) for _, t in self.items], np.int64)
+        self.bound = self.m - q + 1 - self.k * q
+        self.longest = int(self.m.max(initial=0))
         codes, owner, place = [], [], []
         for t, (_, data) in enumerate(self.items):
             g = qgrams(data, q)
@@ -117,10 +129,9 @@ class Finder:
     def _slot(codes: np.ndarray) -> np.ndarray:
         return (codes * MIX) >> np.uint64(64 - SLOT_BITS)
 
-    def find(self, texts: list[bytes]) -> list[tuple[int, int | None, int, int, int]]:
-        """(row, item id, edits, start, stop) for each item that occurs in texts[row]; positions in the normalised text."""
+    def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        """(row, edits, start, stop, item number) of occurrences in normalised texts."""
         out: list = []
-        texts = [normal(t) for t in texts]
         rows, starts, held, pieces = [], [], 0, []
         step = max(CHUNK, 4 * self.longest)
         lap = 2 * self.longest + 2 * int(self.k.max(initial=0)) + self.q
@@ -128,25 +139,16 @@ class Finder:
             for a in range(0, max(len(t), 1), step):
                 piece = t[a : a + step + lap]
                 if held and held + len(piece) > step:
-                    self._scan(texts, rows, starts, pieces, out)
+                    self._scan(rows, starts, pieces, out)
                     rows, starts, held, pieces = [], [], 0, []
                 rows.append(r)
                 starts.append(a)
                 pieces.append(piece)
                 held += len(piece)
-        self._scan(texts, rows, starts, pieces, out)
-        for t in self.short:
-            item_id, data = self.items[t]
-            word = data.tobytes()
-            out += [(r, item_id, 0, p, p + len(word)) for r, x in enumerate(texts) if (p := x.find(word)) >= 0]
-        best: dict = {}
-        for hit, t in ((h[:5], h[5] if len(h) > 5 else None) for h in out):
-            key = (hit[0], hit[1], t)
-            if key not in best or hit[2:] < best[key][2:]:
-                best[key] = hit
-        return sorted(best.values(), key=lambda h: (h[0], h[1] is None, h[1] or 0, h[2]))
+        self._scan(rows, starts, pieces, out)
+        return out
 
-    def _scan(self, texts, rows, starts, pieces, out) -> None:
+    def _scan(self, rows, starts, pieces, out) -> None:
         if not pieces or not len(self.codes):
             return
         gap = b"\n" * self.q  # no normalised text or item holds a line break
@@ -194,7 +196,7 @@ class Finder:
             first = b * (k + 1) - self.longest  # diagonal in data
             piece = max(0, int(np.searchsorted(begin, first + int(self.m[t]) // 2, "right")) - 1)
             lo, hi = int(begin[piece]), int(begin[piece]) + len(pieces[piece])
-            item_id, item = self.items[t]
+            number, item = self.items[t]
             text = data[lo:hi]
             near = slice(max(0, first - lo), max(0, min(hi - lo, first - lo + 2 * (k + 1) + int(self.m[t]) + k)))
             exact = text[near].tobytes().find(item.tobytes())
@@ -203,54 +205,109 @@ class Finder:
             else:
                 found = band_align(item, text, first - lo, 2 * (k + 1), k)
             if found:
-                out.append((rows[piece], item_id, found[0], starts[piece] + found[1], starts[piece] + found[2], t))
+                out.append((rows[piece], found[0], starts[piece] + found[1], starts[piece] + found[2], number))
+
+
+def _inside(text: bytes, i: int) -> bool:
+    """Whether byte i of a normalised text belongs to a word."""
+    return 0 <= i < len(text) and (text[i] >= 0x80 or text[i : i + 1].isalnum())
+
+
+def places(word: bytes, text: bytes) -> Iterator[int]:
+    """Where word stands alone in text: no part of a longer word on either side."""
+    at = text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if not (_inside(text, at) and _inside(text, at - 1)) and not (_inside(text, end - 1) and _inside(text, end)):
+            yield at
+        at = text.find(word, at + 1)
+
+
+class Finder:
+    """Finds benchmark items (id, text, times given) in texts."""
+
+    def __init__(self, items: list[tuple], q: int = Q, rate: float = RATE):
+        self.items = [(i[0], np.frombuffer(t, np.uint8), i[2] if len(i) > 2 else 1) for i in items if (t := normal(i[1]))]
+        self.short, groups = [], {}
+        for n, (_, data, _) in enumerate(self.items):
+            if budget(len(data), rate):
+                groups.setdefault(gram_size(len(data), q, rate), []).append((n, data))
+            else:
+                self.short.append((n, data.tobytes()))
+        self.indexes = [Index(found, size, rate) for size, found in sorted(groups.items())]
+
+    def find(self, texts: list[bytes]) -> list[tuple[int, int | None, int, int, int]]:
+        """(row, item id, edits, start, stop) for each item that occurs in texts[row]; positions in the normalised text."""
+        texts = [normal(t) for t in texts]
+        hits = [h for index in self.indexes for h in index.search(texts)]
+        hits += [(r, 0, p, p + len(word), n) for n, word in self.short for r, x in enumerate(texts) if (p := next(places(word, x), -1)) >= 0]
+        best: dict = {}
+        for hit in hits:
+            key = (hit[0], hit[4])
+            if key not in best or hit < best[key]:
+                best[key] = hit
+        found = [(r, self.items[n][0], *place) for r, *place, n in best.values() for _ in range(self.items[n][2])]
+        return sorted(found, key=lambda h: (h[0], h[1] is None, h[1] or 0, h[2:]))
+
 
+class Items:
+    """The items as broadcasts of bounded blocks; a worker makes a block's index once and keeps the KEEP last."""
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = ITEM_BLOCK) -> Iterator[list[tuple[int | None, bytes]]]:
-    """The items in blocks of about block_bytes; a block is fetched only when it is that small."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), text_bytes(text_col).alias("text")).where(F.length("text") > 0)
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for b in range(n if total else 0):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else items
-        yield [(r["item_id"], bytes(r["text"])) for r in part.collect()]
+    KEEP = 2
+    held: ClassVar[dict] = {}
 
+    def __init__(self, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = ITEM_BLOCK, q: int = Q, rate: float = RATE):
+        self.q, self.rate, self.name = q, rate, uuid.uuid4().hex
+        given = benchmark.select(F.col(id_col).cast("long").alias("item_id"), text_bytes(text_col).alias("text")).where(F.length("text") > 0)
+        given = given.groupBy("item_id", "text").agg(F.count("*").alias("n"))
+        # the rows of a block are different ones, so that blocks by hash are even; one is at the driver at a time
+        total = given.agg(F.sum(F.length("text"))).first()[0] or 0
+        n = -(-total // block_bytes)
+        given = materialise(given, "benchmark-items") if n > 1 else given
+        send = benchmark.sparkSession.sparkContext.broadcast
+        self.blocks = [send(self._block(given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else given)) for b in range(n)]
 
-def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
+    @staticmethod
+    def _block(items: DataFrame) -> list[tuple]:
+        return sorted(((r["item_id"], bytes(r["text"]), r["n"]) for r in items.toArrow().to_pylist()), key=str)
+
+    def finders(self) -> Iterator[Finder]:
+        for k, block in enumerate(self.blocks):
+            found = Items.held.pop((self.name, k), None)
+            if found is None:
+                found = Finder(block.value, self.q, self.rate)
+                while len(Items.held) >= Items.KEEP:
+                    Items.held.pop(next(iter(Items.held)))
+            Items.held[self.name, k] = found
+            yield found
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q, rate: float = RATE, block_bytes: int = ITEM_BLOCK) -> DataFrame:
     """doc_id, item_id, edits, start, stop (in the normalised text) of each benchmark item that occurs in a document."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    schema = "doc_id long, item_id long, edits int, start long, stop long"
-    out = None
-    for items in item_blocks(benchmark):
+    items = Items(benchmark, block_bytes=block_bytes, q=q, rate=rate)
 
-        def search(batches, items=items):
-            finder = Finder(items, q, rate)
-            for batch in batches:
+    def search(batches):
+        for batch in batches:
+            for finder in items.finders():
                 for a, b in small_batches(batch.column("text"), CHUNK):
                     ids = batch.column("doc_id").slice(a, b - a).to_pylist()
                     hits = finder.find(batch.column("text").slice(a, b - a).to_pylist())
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[h[0]] for h in hits], pa.int64()), "item_id": pa.array([h[1] for h in hits], pa.int64()), "edits": pa.array([h[2] for h in hits], pa.int32()), "start": pa.array([h[3] for h in hits], pa.int64()), "stop": pa.array([h[4] for h in hits], pa.int64())})
 
-        part = texts.mapInArrow(search, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return texts.mapInArrow(search, "doc_id long, item_id long, edits int, start long, stop long")
 
 
-def holds_item(items: list[tuple[int | None, bytes]], q: int = Q, rate: float = RATE):
-    """A function of a binary column: whether the text holds one of the items."""
+def clean_of(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = Q, rate: float = RATE, block_bytes: int = ITEM_BLOCK) -> DataFrame:
+    """The rows of docs whose text holds no benchmark item; columns as they are."""
+    items = Items(benchmark, block_bytes=block_bytes, q=q, rate=rate)
 
     @F.pandas_udf("boolean")
     def holds(parts: pd.Series) -> pd.Series:
-        finder, flags, texts = Finder(items, q, rate), np.zeros(len(parts), bool), [bytes(t) for t in parts]
-        for a, b in small_batches(pa.array(texts, pa.binary()), CHUNK):
-            flags[[a + h[0] for h in finder.find(texts[a:b])]] = True
+        flags, texts = np.zeros(len(parts), bool), [bytes(t) for t in parts]
+        for finder in items.finders():
+            for a, b in small_batches(pa.array(texts, pa.binary()), CHUNK):
+                flags[[a + h[0] for h in finder.find(texts[a:b])]] = True
         return pd.Series(flags)
 
-    return holds
-
-
-def clean_of(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item; columns as they are."""
-    for items in item_blocks(benchmark):
-        docs = docs.where(~holds_item(items, q, rate)(text_bytes(text_col)))
-    return docs
+    return docs.where(~holds(text_bytes(text_col)))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -42,10 +43,41 @@ def items():
     return [*out, (12, out[3][1]), (None, words(rng, 30))]
 
 
-def budget(item):
-    m = len(item)
-    k = int(dc.RATE * m) if m >= 2 * dc.Q else 0
-    return k if m - dc.Q + 1 - k * dc.Q > 0 else 0
+def alone(item, text):
+    """Whether the item stands in the text and is no part of a longer word."""
+    part = r"[0-9a-z\x80-\xff]"
+    before = rf"(?<!{part})" if re.match(part.encode(), item) else ""
+    after = rf"(?!{part})" if re.match(part.encode(), item[-1:]) else ""
+    return re.search(before.encode() + re.escape(item) + after.encode(), text) is not None
+
+
+def brute(item, text):
+    """Edits of the item's best occurrence, None if there is none within a tenth of its length."""
+    k = len(item) // 10
+    if not k:
+        return 0 if alone(item, text) else None
+    d = distance(item, text)
+    return d if d <= k else None
+
+
+def test_every_length_is_found_at_its_whole_budget():
+    """Items of 8 to 80 bytes with just as many edits as allowed, and one more."""
+    rng = random.Random(11)
+    for m in range(8, 81):
+        item = "".join(rng.choices("abcdefghijklmnop", k=m)).encode()
+        finder, texts = dc.Finder([(m, item)]), []
+        for more in (0, 1):
+            for _ in range(6):
+                t = list(item)
+                for at in rng.sample(range(m), m // 10 + more):  # substitutions far apart spoil the most q-grams
+                    t[at] = ord("z")
+                texts.append(b"qq zz " + bytes(t) + b" zz")
+            spread = list(item)
+            for j in range(m // 10 + more):
+                spread[(2 * j + 1) * m // (2 * (m // 10 + more))] = ord("z")
+            texts += [b"zq zz " + bytes(spread) + b" zz", b"zz" + bytes(spread) + b"zz"]
+        got = {r: e for r, _, e, *_ in finder.find(texts)}
+        assert got == {r: d for r, t in enumerate(texts) if (d := brute(item, t)) is not None}, m
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -67,9 +99,8 @@ def test_finder_matches_brute_force(items, seed):
         expected = []
         for i, t in items:
             t = dc.normal((t or "").encode())
-            if t:
-                d = distance(t, norm)
-                expected += [(i, d)] if d <= budget(t) else []
+            if t and (d := brute(t, norm)) is not None:
+                expected.append((i, d))
         assert sorted(got.get(r, []), key=str) == sorted(expected, key=str)
 
 
@@ -90,14 +121,18 @@ def test_queries_on_rows_of_every_kind(spark, items):
     docs = spark.createDataFrame([(*r, 1, 1) for r in rows], "doc_id long, text string, item_id int, edits int")
     bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
     got = sorted(((r["doc_id"], r["item_id"]) for r in dc.find_items(docs, bench).collect()), key=str)
-    assert {(1, 4), (5, 4), (None, 2)} <= set(got) and got.count((5, 4)) == 2 and not [g for g in got if g[0] in (2, 3, 4) and g[1] != 7]
-    kept = dc.clean_of(docs, bench.where("item_id <> 7"))
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+    assert {(1, 4), (5, 4), (None, 2)} <= set(got) and got.count((5, 4)) == 2 and not [g for g in got if g[0] in (2, 3, 4)]
+    for size in (dc.ITEM_BLOCK, 200):
+        kept = dc.clean_of(docs, bench, block_bytes=size)
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+    assert sorted(((r["doc_id"], r["item_id"]) for r in dc.find_items(docs, bench, block_bytes=200).collect()), key=str) == got
+    twice = dc.find_items(docs.where("doc_id = 1"), bench.union(bench)).collect()
+    assert len(twice) == 2 * len([g for g in got if g[0] == 1])
     assert dc.clean_of(docs, bench.limit(0)).count() == len(rows) and dc.find_items(docs, bench.limit(0)).count() == 0
     assert dc.find_items(docs.limit(0), bench).count() == 0
 
 
-def test_item_blocks_cover_all(spark, items):
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    blocks = list(dc.item_blocks(bench, block_bytes=200))
-    assert len(blocks) > 2 and sorted((i for b in blocks for i, _ in b), key=str) == sorted((i for i, t in items if t), key=str)
+def test_blocks_hold_all_items(spark, items):
+    bench = spark.createDataFrame(items + items[:2], "item_id long, text string")
+    blocks = [b.value for b in dc.Items(bench, block_bytes=200).blocks]
+    assert len(blocks) > 2 and sorted((i for b in blocks for i, _, n in b for _ in range(n)), key=str) == sorted((i for i, t in items + items[:2] if t), key=str)
