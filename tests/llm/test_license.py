@@ -19,13 +19,16 @@ def brute(doc_id, text):
         places += at
         base |= {label} if at else set()
     labels, score = set(base), 0.0
-    for i in range(0, max(len(words), 1), lic.STRIDE):
-        block = set(words[i : i + lic.BLOCK])
-        for label, t in lic.TEMPLATES:
-            t = set(t.split())
-            if len(t & block) >= lic.THRESHOLD * len(t):
+    for label, t in lic.TEMPLATES:
+        block = 64
+        while block < 2 * len(t.split()):
+            block *= 2
+        t = set(t.split())
+        for i in range(0, max(len(words), 1), block // 2):
+            held = t & set(words[i : i + block])
+            if len(held) >= lic.THRESHOLD * len(t):
                 labels.add(label)
-                score = max(score, len(t & block) / len(t))
+                score = max(score, len(held) / len(t))
     return (doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)
 
 
@@ -54,6 +57,25 @@ def test_matches_brute_force(spark, rows):
     assert got == sorted((brute(*r) for r in rows), key=str)
 
 
+def test_whole_licences_are_found_wherever_they_stand(spark):
+    """Each template verbatim at any offset scores 1; with a tenth of its words replaced it is found; a longer template than any known too."""
+    rng = random.Random(5)
+    long = ("own", " ".join(f"clause{i}" for i in range(700)))
+    rows = []
+    for k, (_, t) in enumerate([*lic.TEMPLATES, long]):
+        for j, at in enumerate((0, 20, 45, 333)):
+            w = t.split()
+            if j == 3 and len(w) > 20:  # a tenth of the different words, all their places
+                gone = set(rng.sample(sorted(set(w)), len(set(w)) // 10))
+                w = [f"x{i}" if x in gone else x for i, x in enumerate(w)]
+            rows.append((10 * k + j, " ".join([*(f"before{i}" for i in range(at)), *w, *(f"after{i}" for i in range(50))])))
+    templates = (*lic.TEMPLATES, long)
+    got = {r["doc_id"]: r for r in lic.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect()}
+    for k, (label, _) in enumerate(templates):
+        assert all(label in got[10 * k + j]["labels"].split(",") for j in range(4)), label
+        assert all(got[10 * k + j]["score"] == 1 for j in range(3)), label
+
+
 def test_runs_no_python(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     plan = lic.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
