@@ -34,19 +34,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to shared storage once and read it back: lineage ends there, and a lost executor costs no recomputation.
-
-    The shuffle files of the plan behind it are of no use any more and are freed at once.
-    """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    before = spark.conf.get(FREE_SHUFFLES, None)
+def store(df: DataFrame, path: str) -> None:
+    """Write df as Parquet. The shuffle files of the plan behind it are of no use any more and are freed at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, None)
     try:
-        spark.conf.set(FREE_SHUFFLES, "true")
+        conf.set(FREE_SHUFFLES, "true")
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+        conf.unset(FREE_SHUFFLES) if before is None else conf.set(FREE_SHUFFLES, before)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Store df in shared storage once and read it back: lineage ends there, and a lost executor costs no recomputation."""
+    path = shared_dir(df.sparkSession, name)
+    store(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> None:
