@@ -9,7 +9,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise, shared_dir  # noqa: F401
+from ..storage import materialise, qualified, shared_dir, store  # noqa: F401
 
 
 #: A key that holds over one in HOT of all rows is hot; so there are fewer than HOT such keys, however large the input.
@@ -42,9 +42,9 @@ def text_bytes(column: str | Column) -> Column:
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path with or without a scheme (file://, hdfs://, s3://, gs://)."""
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
+    """The file system of a path with its scheme (file:, hdfs://, s3://, gs://); qualified() gives paths theirs."""
+    if ":/" not in path:
+        raise ValueError(f"no scheme in {path}: Spark would look for it on its default file system")
     return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 

@@ -4,7 +4,11 @@ A payload is stored once under its SHA-256; every record's exact header stands i
 the link, and records come back through a join. Archive folder:
 
 * payloads/ (Parquet): digest BINARY (SHA-256), payload BINARY, payload_bytes, payload_sha1, response_id, n (records)
-* headers/  (Parquet): page_id, digest, header STRING (the record's header block with its empty line)
+* headers/  (Parquet): page_id, digest, share, header STRING (the record's header block with its empty line)
+
+A record is put together again by a join of its header with its payload; what a reader is told of a record comes from
+the bytes that were joined and from the header, which are held against each other: a payload that is missing, or whose SHA-256,
+SHA-1 or length isn't what the archive says, raises.
 
 Of the records whose payloads are equal and have `min_revisit` bytes or more, the one with the largest id is the response
 and the others are revisits that refer to it; shorter payloads are always responses.
@@ -13,9 +17,10 @@ Defined cases: a null payload is empty; a null id or URL is written empty; the s
 each time (equal ids share a type); where all ids of a group are null, all are responses; an empty table gives an empty
 archive; control characters in a URL are percent-encoded, so that they can't end a header line.
 
-Scale: the payload bytes are shuffled once, after equal ones in a task have become one (partial aggregation), so a payload
-that a third of the rows share costs a row per task. The join back moves ids, digests and headers only, and rows of such a payload meet its facts by a broadcast of bounded size. Both tables are
-committed by Spark's writer, so a lost executor costs only its own tasks.
+Scale: the payload bytes are shuffled once to be written, after equal ones in a task have become one (partial aggregation), so a payload
+that a third of the rows share costs a row per task, and once to be read. Records of one payload are dealt to shares of about SHARE
+records, and the payload goes to each of its shares, so no key of either join holds more; nothing is broadcast but the facts of hot payloads
+(under a thousand rows of numbers and digests). Both tables are committed by Spark's writer, so a lost executor costs only its own tasks.
 """
 
 from __future__ import annotations
@@ -26,9 +31,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_skewed, materialise, shared_dir, text_bytes
+from .common import join_skewed, materialise, shared_dir, store, text_bytes
 
 DATE = "2024-01-01T00:00:00Z"
+#: Records that meet one copy of their payload.
+SHARE = 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -37,13 +44,13 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", uri_col: st
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), text_bytes(F.col(payload_col)).alias("payload"))
     keyed = rows.select("*", F.unhex(F.sha2("payload", 256)).alias("digest"))
-    (
+    payloads = (
         keyed.groupBy("digest")
         .agg(F.first("payload").alias("payload"), F.max("page_id").alias("response_id"), F.count("*").alias("n"), F.min(F.length("payload")).alias("least"), F.max(F.length("payload")).alias("most"), F.min(F.sha1("payload")).alias("sha_least"), F.max(F.sha1("payload")).alias("sha_most"))
         # two payloads under one digest would differ in length or in the second digest: stop rather than lose one
         .select("digest", "payload", F.when((F.col("least") == F.col("most")) & (F.col("sha_least") == F.col("sha_most")), F.col("most").cast("long")).otherwise(F.raise_error(F.lit("digest collision"))).alias("payload_bytes"), F.col("sha_least").alias("payload_sha1"), "response_id", "n")
-        .write.option("compression", "zstd").parquet(f"{path}/payloads")
     )
+    store(payloads, f"{path}/payloads")
     stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload_bytes", "payload_sha1", "response_id", "n")
     linked = join_skewed(materialise(keyed.select("page_id", "uri", "digest"), "warc-links"), stored, "digest", "n")
     revisit = (F.col("payload_bytes") >= min_revisit) & ~F.coalesce(F.col("page_id") == F.col("response_id"), F.col("response_id").isNull())
@@ -62,25 +69,25 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", uri_col: st
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
         F.lit("\r\n"),
     )
-    linked.select("page_id", "digest", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    share = F.pmod(F.xxhash64("page_id", "uri"), F.ceil(F.col("n") / SHARE)).cast("int")
+    store(linked.select("page_id", "digest", share.alias("share"), header.alias("header")), f"{path}/headers")
     return path
 
 
-def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Records of an archive: page_id, header, payload (whole, for revisits too), payload_bytes, payload_digest, record_type, refers_to.
 
-    Each stored payload is checked against its SHA-256 on the way; a damaged one raises. Lengths and SHA-1 are computed
-    from the bytes that were read. Without payloads, the join moves what was found about them instead of their bytes.
+    Lengths and SHA-1 are computed from the payload that was joined to the header. A damaged archive raises.
     """
-    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload", "n")
-    intact = F.unhex(F.sha2("payload", 256)) == F.col("digest")
-    size = F.when(intact, F.length("payload").cast("long")).otherwise(F.raise_error(F.lit("payload damaged")))
-    facts = stored.select("digest", "n", *(["payload"] if payloads else []), size.alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     field = lambda name: F.regexp_extract("header", rf"(?m)^{name}: (.*?)\r?$", 1)
+    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SHARE).cast("int") - 1)).alias("share"))
+    joined = spark.read.parquet(f"{path}/headers").join(stored, ["digest", "share"], "left")
+    whole = joined.select("*", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), field("WARC-Type").alias("record_type"))
+    length = F.when(F.col("record_type") == "revisit", F.lit(0).cast("long")).otherwise(F.col("payload_bytes"))
+    intact = (F.unhex(F.sha2("payload", 256)) == F.col("digest")) & (F.concat(F.lit("sha1:"), F.col("payload_digest")) == field("WARC-Payload-Digest")) & (length.cast("string") == field("Content-Length"))
     refers = F.regexp_extract("header", r"(?m)^WARC-Refers-To: <urn:page:(-?\d+)>\r?$", 1)
-    headers = spark.read.parquet(f"{path}/headers")
-    joined = headers.join(facts, "digest") if payloads else join_skewed(headers, materialise(facts, "warc-facts"), "digest", "n")
-    return joined.select("page_id", "header", *(["payload"] if payloads else []), "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"))
+    size = F.when(F.coalesce(intact, F.lit(False)), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("record damaged")))
+    return whole.select("page_id", "header", "payload", size.alias("payload_bytes"), "payload_digest", "record_type", F.when(refers != "", refers.cast("long")).alias("refers_to"))
 
 
 def export_warc(spark: SparkSession, path: str, out: str, compression: str = "gzip") -> None:
@@ -108,7 +115,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def warc_query(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = write_archive(pages, shared_dir(spark, "warc"))
-    return read_archive(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

@@ -42,13 +42,17 @@ def test_payloads_are_stored_once_and_come_back(spark, pages, tmp_path):
 
 
 def test_damage_is_found(spark, pages, tmp_path):
+    """A changed payload, a changed header, or a payload that is gone: the records' reader notices each."""
     path = warc.write_archive(pages, f"{tmp_path}/a")
-    spark.read.parquet(f"{path}/payloads").selectExpr("digest", "cast(concat(cast(payload AS string), '!') AS binary) AS payload", "response_id", "n").write.parquet(f"{tmp_path}/b/payloads")
-    spark.read.parquet(f"{path}/headers").write.parquet(f"{tmp_path}/b/headers")
-    with pytest.raises(Exception, match="payload damaged"):
-        warc.read_archive(spark, f"{tmp_path}/b", payloads=False).collect()
-    with pytest.raises(Exception, match="payload damaged"):
-        warc.read_archive(spark, f"{tmp_path}/b").collect()
+    payloads, headers = spark.read.parquet(f"{path}/payloads"), spark.read.parquet(f"{path}/headers")
+    other = payloads.selectExpr("digest", "cast(concat(cast(payload AS string), '!') AS binary) AS payload", "n")
+    swapped = headers.selectExpr("page_id", "digest", "share", "replace(header, 'Payload-Digest: sha1:', 'Payload-Digest: sha1:0') AS header")
+    longer = headers.selectExpr("page_id", "digest", "share", "regexp_replace(header, 'Content-Length: (.)', 'Content-Length: 1$1') AS header")
+    for k, (p, h) in enumerate([(other, headers), (payloads, swapped), (payloads, longer), (payloads.where("length(payload) <> 999"), headers)]):
+        p.write.parquet(f"{tmp_path}/b{k}/payloads")
+        h.write.parquet(f"{tmp_path}/b{k}/headers")
+        with pytest.raises(Exception, match="record damaged"):
+            warc.read_archive(spark, f"{tmp_path}/b{k}").select("page_id", "payload_bytes").collect()
 
 
 def test_exported_files_are_warc(spark, pages, tmp_path):
@@ -68,6 +72,7 @@ def test_hot_payloads_are_joined_whole(spark, monkeypatch):
     from polyad.llm import common
 
     monkeypatch.setattr(common, "HOT", 4)  # payloads of over a quarter of the rows
+    monkeypatch.setattr(warc, "SHARE", 7)
     rows = [(i, f"u{i}", ["hot" * 500, "cold" * 400, None][0 if i % 3 else i % 2 + 1]) for i in range(60)]
     got = [tuple(r) for r in warc.warc_query(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
     assert sorted(got, key=str) == brute(rows)
