@@ -12,11 +12,12 @@ A block of n ids is a matrix of n rows and 32 bit columns (or 4 byte columns), w
 together, where neighbours are alike and high planes vanish. Any block can be decoded alone through the chunk index.
 
 Defined cases: a null text is empty and still has its end id; a null doc_id sorts first; equal doc_ids are ordered by
-their text; an empty table gives no shard; a text longer than a block spans several.
+a hash of their text, equal rows as they were scanned; an empty table gives no shard; a text longer than a block spans several.
 
-Scale: one range shuffle of the texts by doc_id; a shard is what one task encodes, streamed in blocks, so memory is bound by
-the batch and block size. Shards are written under a name of their own attempt and then renamed, so a repeated task
-replaces its file whole. Only one row per shard (file, counts) is gathered for the running starts.
+Scale: one range shuffle of the texts by doc_id, hash and place, so that rows of one id, or one row repeated, spread over shards; a shard is
+what one task encodes, streamed in blocks, so memory is bound by the batch and block size. Shards are written under a name of their own attempt,
+and the manifest, which Spark commits, names those that count; so a repeated task does no harm on any file system. Only one row per
+shard (file, counts) is gathered for the running starts, and shards are read back by a task each.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, open_fs, shared_dir, small_batches, task_id
+from .common import materialise, open_fs, qualified, shared_dir, small_batches, task_id
 from .common import partitions as enough
 from .tokens import BATCH, default_tokenizer, encoder
 
@@ -158,24 +159,27 @@ class Reader:
 
 
 def sorted_by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """(doc_id, text) in global doc_id order over the partitions; ties by text."""
+    """(doc_id, text) in global doc_id order over the partitions; ties by the text's hash, then by the scan."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.repartitionByRange(partitions or enough(rows), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, even equal ones, can be dealt to several partitions
+    keyed = rows.select("*", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
+    keys = ["doc_id", "tie", "place"]
+    return keyed.repartitionByRange(partitions or enough(rows), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, mode: str = "bit", block: int = BLOCK, partitions: int | None = None) -> DataFrame:
     """Encode and write documents; returns the manifest (shard, file, n_docs, n_ids), itself stored below path."""
-    tokenizer = tokenizer or default_tokenizer()
+    tokenizer, path = tokenizer or default_tokenizer(), qualified(docs.sparkSession, path)
 
     def write(batches):
         shard, encode = task_id(), encoder(tokenizer).encode
         fs, root = open_fs(path)
-        name, mine, writer, sink = f"{root}/shard-{shard:06d}.bpt", f"{root}/.{shard:06d}-{uuid.uuid4().hex}", None, None
+        name, writer, sink = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.bpt", None, None
         for batch in batches:
             for a, b in small_batches(batch.column("text"), BATCH):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
-                    sink = fs.open_output_stream(mine)
+                    sink = fs.open_output_stream(f"{root}/{name}")
                     writer = Writer(sink, mode, block)
                 ids, offsets = encode(batch.column("text").slice(a, b - a))
                 ends = offsets[1:]
@@ -183,8 +187,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if writer is not None:
             n_docs, n_ids = writer.close()
             sink.close()
-            fs.move(mine, name)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name.rsplit("/", 1)[1]], "n_docs": [n_docs], "n_ids": [n_ids]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     rows = sorted_by_id(docs, partitions=partitions)
     return materialise(rows.mapInArrow(write, "shard int, file string, n_docs long, n_ids long"), "bitplane-manifest")
@@ -195,6 +198,7 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
     base = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     # a row per shard file: the only thing that passes through one task
     shards = manifest.select("shard", "file", F.coalesce(base, F.lit(0)).alias("base"))
+    path = qualified(manifest.sparkSession, path)
 
     def read(batches):
         fs, root = open_fs(path)
@@ -205,8 +209,8 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
                 ids, start, n, crc = zip(*rows, strict=True) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array([first + s for s in start], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(n, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
+    return shards.repartitionByRange(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def bitplane_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -60,3 +60,15 @@ def test_documents_table(spark, sf):
 
 def test_empty_table(spark):
     assert bp.bitplane_query(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_id_spreads_over_shards_and_repeated_tasks_do_no_harm(spark, tmp_path):
+    docs = spark.createDataFrame([(7, f"text {i % 50}") for i in range(400)] + [(9, "the same")] * 200 + [(1, "first")], "doc_id long, text string").repartition(6)
+    manifest = bp.write_shards(docs, str(tmp_path / "s"), partitions=8)
+    assert manifest.count() >= 6 and max(r["n_docs"] for r in manifest.collect()) < 300
+    expected = sorted(tuple(r) for r in bp.read_shards(manifest, str(tmp_path / "s")).collect())
+    (tmp_path / "s" / "shard-000000-attempt.bpt").write_bytes(b"left by a lost task")
+    assert sorted(tuple(r) for r in bp.read_shards(manifest, str(tmp_path / "s")).collect()) == expected
+    rows = sorted(expected, key=lambda r: r[1])
+    assert len(rows) == 601 and [r[0] for r in rows] == [1] + [7] * 400 + [9] * 200
+    assert all(a[1] + a[2] == b[1] for a, b in zip(rows, rows[1:], strict=False)) and rows[0][1] == 0
