@@ -6,9 +6,11 @@ values over a file's ranges - ids before the range, and the last separator befor
 length of each document, also of one that spans many ranges.
 
 Defined cases: a null or empty text is a document of 0 tokens; ids behind the last separator are a last document with
-`terminated` false; an empty file gives no row; an empty table gives none; equal doc_ids are ordered by their text.
+`terminated` false; an empty file gives no row; an empty table gives none; equal doc_ids keep the scan's order; an id
+that the file's width can't hold raises.
 
-Scale: ranges are independent tasks of a fixed size; the scan's window runs over a row per range within each file. The
+Scale: files are named by their attempt and the manifest says which count, so repeated tasks do no harm. Ranges are independent, of a fixed
+size, with a task for every four; the scan's window runs over a row per range within each file. The
 separator must be an id that no text yields: special tokens in texts are encoded as ordinary text.
 """
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, open_fs, shared_dir, small_batches, task_id
+from .common import materialise, open_fs, qualified, shared_dir, small_batches, task_id
 from .tokens import BATCH, default_tokenizer, encoder
 
 END_ID, RANGE = 50256, 8 << 20
@@ -32,17 +34,21 @@ def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     Returns (files: file, n_bytes) and (order: file, ordinal, doc_id).
     """
-    tokenizer = tokenizer or default_tokenizer()
+    tokenizer, path, most = tokenizer or default_tokenizer(), qualified(docs.sparkSession, path), np.iinfo(dtype).max
+    if end_id > most:
+        raise ValueError(f"end id {end_id} doesn't fit into {dtype}")
 
     def write(batches):
         fs, root = open_fs(path)
-        name, mine, sink, ordinal, size = f"tokens-{task_id():06d}.bin", f".{uuid.uuid4().hex}", None, 0, 0
+        name, sink, ordinal, size = f"tokens-{task_id():06d}-{uuid.uuid4().hex[:12]}.bin", None, 0, 0
         for batch in batches:
             for a, b in small_batches(batch.column("text"), BATCH):
                 if sink is None:
                     fs.create_dir(root, recursive=True)
-                    sink = fs.open_output_stream(f"{root}/{mine}")
+                    sink = fs.open_output_stream(f"{root}/{name}")
                 ids, offsets = encoder(tokenizer, True).encode(batch.column("text").slice(a, b - a))
+                if len(ids) and ids.max() > most:
+                    raise ValueError(f"id {ids.max()} doesn't fit into {dtype}")
                 data = np.insert(ids, offsets[1:], np.uint32(end_id)).astype(dtype).tobytes()
                 sink.write(data)
                 size += len(data)
@@ -51,7 +57,6 @@ def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 ordinal += n
         if sink is not None:
             sink.close()
-            fs.move(f"{root}/{mine}", f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "ordinal": pa.array([None], pa.int64()), "doc_id": pa.array([None], pa.int64()), "n_bytes": [size]})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -62,7 +67,7 @@ def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 def scan_flat(files: DataFrame, path: str, end_id: int = END_ID, dtype: str = "<u2", range_bytes: int = RANGE) -> DataFrame:
     """file, ordinal, start, n_tokens (without the end id), terminated for each document in the files (file, n_bytes)."""
     width = np.dtype(dtype).itemsize
-    step = range_bytes // width * width
+    step, path = range_bytes // width * width, qualified(files.sparkSession, path)
     ranges = files.where("n_bytes > 0").select("file", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(step).cast("long"))).alias("at"))
 
     def search(batches):
@@ -75,7 +80,8 @@ def scan_flat(files: DataFrame, path: str, end_id: int = END_ID, dtype: str = "<
                 ends = np.flatnonzero(ids == end_id)
                 yield pa.RecordBatch.from_pydict({"file": [name], "at": [at], "n_ids": [len(ids)], "ends": pa.array([ends.tolist()], pa.list_(pa.int64()))})
 
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_ranges = files.agg(F.sum(F.ceil(F.col("n_bytes") / step))).first()[0] or 0
+    n = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(n_ranges) // 4))
     # kept, so that the window's two uses and a lost executor don't read the files again
     found = materialise(ranges.repartition(n, "file", "at").mapInArrow(search, "file string, at long, n_ids long, ends array<long>"), "separators")
     w = Window.partitionBy("file").orderBy("at")

@@ -44,3 +44,13 @@ def test_query_counts_all_documents(spark, sf):
 
 def test_empty_table(spark):
     assert sp.separator_query(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_that_do_not_fit_raise(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="fit"):
+        sp.write_flat(docs, str(tmp_path / "a"), end_id=70_000)
+    with pytest.raises(Exception, match="fit"):
+        sp.write_flat(docs, str(tmp_path / "b"), end_id=3, dtype="u1")
+    files, order = sp.write_flat(docs, str(tmp_path / "c"), end_id=70_000, dtype="<u4")
+    assert [r["n_tokens"] for r in order.join(sp.scan_flat(files, str(tmp_path / "c"), 70_000, "<u4"), ["file", "ordinal"]).collect()] == [2]
