@@ -11,9 +11,10 @@ A document longer than the largest length is cut into full pieces and a rest; al
 Defined cases: a null or empty text is one piece of its end id; null and repeated doc_ids are packed like others; an empty table
 gives no bin; a piece of exactly a permitted length fills a bin alone.
 
-Scale: map-only. Each scan task packs what it reads, in windows of at most `window` pieces, so memory is bounded and no row is
-shuffled; only a window's last few bins can be loose, and those are downsized. A bin's id holds its task's number, which a
-repeated task gives again.
+Scale: no text is shuffled. Each scan task packs what it reads, in windows of at most `window` pieces, so memory is bounded. Bins
+that are full but for `slack` tokens are done; the pieces of all other bins (a few of the last ones of each window) go, as numbers, through a
+second round of the same packing, in groups of about a fiftieth of `window` pieces from all tasks, so what is lost at the edges of scan tasks
+and windows shrinks to one loose end per group. A bin's id holds its task's or group's number, which a repeated task gives again.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, task_id
+from .common import materialise, small_batches, task_id
 from .tokens import BATCH, default_tokenizer, encoder
 
-LENGTHS, OVERHEAD, WINDOW = (512, 1024, 2048, 4096, 8192), 32, 100_000
+LENGTHS, OVERHEAD, WINDOW, SLACK = (512, 1024, 2048, 4096, 8192), 32, 100_000, 8
 SCHEMA = "bin_id long, capacity int, position int, doc_id long, piece int, start long, n_tokens int"
 
 
@@ -85,37 +86,45 @@ def pack(sizes: list[int], lengths: Sequence[int] = LENGTHS, overhead: int = OVE
     return best
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, window: int = WINDOW) -> DataFrame:
+#: As SCHEMA, and whether the piece's bin has room left.
+_SCHEMA = pa.schema([("bin_id", pa.int64()), ("capacity", pa.int32()), ("position", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int32()), ("loose", pa.bool_())])
+
+
+def _rows(pieces: list[tuple], lengths: Sequence[int], overhead: int, first: int, slack: int) -> tuple[int, pa.RecordBatch]:
+    """Number of bins, and the rows of the packed pieces (doc_id, piece, start, n_tokens); bin ids from first on."""
+    bins = pack([p[3] for p in pieces], lengths, overhead)
+    rows = [(first + b, capacity, at, *pieces[i], loose) for b, (capacity, members) in enumerate(bins) for loose in [capacity - sum(pieces[i][3] for i in members) > slack] for at, i in enumerate(members)]
+    return len(bins), pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, window: int = WINDOW, slack: int = SLACK) -> DataFrame:
     """A row for each piece: bin_id, capacity, position in the bin, doc_id, piece, start in the document, n_tokens (end id included)."""
     tokenizer, most = tokenizer or default_tokenizer(), max(lengths)
 
-    def rows(doc_ids: list, pieces: list[tuple[int, int, int]], sizes: list[int], first: int):
-        out = {k: [] for k in ("bin_id", "capacity", "position", "doc_id", "piece", "start", "n_tokens")}
-        for b, (capacity, members) in enumerate(pack(sizes, lengths, overhead)):
-            for p, i in enumerate(members):
-                d, piece, start = pieces[i]
-                for k, v in zip(out, (first + b, capacity, p, doc_ids[d], piece, start, sizes[i]), strict=True):
-                    out[k].append(v)
-        schema = pa.schema([("bin_id", pa.int64()), ("capacity", pa.int32()), ("position", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int32())])
-        return b + 1, pa.RecordBatch.from_pydict(out, schema)
-
     def apply(batches):
-        first = task_id() << 32
-        doc_ids, pieces, sizes = [], [], []
+        first, pieces = task_id() << 32, []
         for batch in batches:
             for a, b in small_batches(batch.column("text"), BATCH):
                 _, offsets = encoder(tokenizer).encode(batch.column("text").slice(a, b - a))
                 for doc_id, n in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), (np.diff(offsets) + 1).tolist(), strict=True):
                     for k, s in enumerate(cut(n, most)):
-                        pieces.append((len(doc_ids), k, k * most))
-                        sizes.append(s)
-                        if len(sizes) >= window:
-                            n_bins, out = rows([*doc_ids, doc_id], pieces, sizes, first)
+                        pieces.append((doc_id, k, k * most, s))
+                        if len(pieces) >= window:
+                            n_bins, out = _rows(pieces, lengths, overhead, first, slack)
                             yield out
-                            first, doc_ids, pieces, sizes = first + n_bins, [], [], []
-                    doc_ids.append(doc_id)
-        if sizes:
-            yield rows(doc_ids, pieces, sizes, first)[1]
+                            first, pieces = first + n_bins, []
+        if pieces:
+            yield _rows(pieces, lengths, overhead, first, slack)[1]
+
+    def again(table: pa.Table) -> pa.Table:
+        (group,) = set(table["group"].to_pylist())
+        table = table.sort_by([(c, "ascending") for c in ("n_tokens", "doc_id", "piece", "bin_id", "position")])
+        pieces = list(zip(*(table[c].to_pylist() for c in ("doc_id", "piece", "start", "n_tokens")), strict=True))
+        return pa.Table.from_batches([_rows(pieces, lengths, overhead, (1 << 62) + (group << 32), slack)[1]])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(apply, SCHEMA)
+    packed = materialise(texts.mapInArrow(apply, f"{SCHEMA}, loose boolean"), "packed")
+    loose = packed.where("loose")
+    groups = max(1, -(-loose.count() // max(2, window // 50)))
+    second = loose.withColumn("group", F.pmod(F.xxhash64("bin_id", "position"), F.lit(groups))).groupBy("group").applyInArrow(again, f"{SCHEMA}, loose boolean")
+    return packed.where("NOT loose").unionByName(second).drop("loose")

@@ -3,6 +3,7 @@ from itertools import count
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,3 +74,14 @@ def test_query_covers_all_tokens(spark, window):
     expected = sorted(((i, k, k * 256, n) for i, x in rows for k, n in zip(count(), pk.cut(len(t.encode(x or "", add_special_tokens=False).ids) + 1, 256))), key=str)
     assert sorted(((r["doc_id"], r["piece"], r["start"], r["n_tokens"]) for r in got), key=str) == expected
     assert pk.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_edges_of_scan_tasks_cost_little(spark):
+    """Many small tasks: the second round fills what each of them left over."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, "word " * int(rng.lognormvariate(4, 1))) for i in range(1500)], "doc_id long, text string").repartition(40)
+    spent = {}
+    for slack in (pk.SLACK, 1 << 20):  # with so much slack no bin is loose: one round only
+        bins = {r["bin_id"]: (r["capacity"], r["used"]) for r in pk.pack_documents(docs, slack=slack).groupBy("bin_id").agg(F.first("capacity").alias("capacity"), F.sum("n_tokens").alias("used")).collect()}
+        spent[slack] = sum(c + pk.OVERHEAD for c, _ in bins.values()) / sum(u for _, u in bins.values())
+    assert spent[pk.SLACK] < 1.02 < spent[1 << 20]
