@@ -1,20 +1,24 @@
 """Quality classifier by co-training.
 
-Two views of a document: its text (byte frequencies and a few word ratios) and its metadata (language, source, length). Each
-view has a logistic regression of its own. Over several rounds each view scores a pool of unlabelled documents, and those
-of which its calibrated probability is confident go, with that pseudo-label, into the *other* view's training rows. A view that
-can't be confident teaches nothing, so a weak view does no harm. At the end each view is calibrated (Platt) on labelled rows
-it wasn't trained on, the calibrated logits are combined by a regression on the same rows, and all documents are scored.
+Two views of a document: its text (byte frequencies, hashed word 1-grams and 2-grams, and a few word ratios) and its metadata (language,
+source, length). Each view has a logistic regression of its own. In each round both views score all unlabelled documents, and those
+of which a view's calibrated probability is confident become, with that pseudo-label, training rows of the *other* view, which is then
+trained anew on its labelled and its pseudo-labelled rows. A view that can't be confident teaches nothing, so a weak view does no harm. After the
+rounds each view is calibrated (Platt) on labelled rows it wasn't trained on, the calibrated logits are combined by a regression on
+the same rows, and all documents are scored.
 
-Training sample (documented bounds): at most `most_labels` labelled and `pool` unlabelled documents, those with the least hashes of
-their ids, so the same at every run. Scoring covers every row.
+Training samples (documented bounds): a regression is fitted on about `most_labels` labelled rows at most and, for each pseudo-label, about
+`most_taught` rows that carry it: those with the least hashes of id and features, so the same at every run. The pseudo-labels themselves are
+given to all documents. A quarter of the labelled rows, by hash, only calibrates.
 
 Defined cases: a null or empty text has zero features and is scored like any other; null metadata is a value of its own; labels
-that are null are not used, and a document labelled twice counts as good if any label is; without labels of both classes the
-score is 0.5 and every document is kept; repeated rows are scored alike; an empty table gives an empty result.
+that are null are not used, and a document labelled twice counts as good if any label is; of the rows of a labelled id
+the one with the least hash trains, of unlabelled ones all different rows; without labels of both classes the score is 0.5 and every document is kept;
+repeated rows are scored alike; an empty table gives an empty result; other columns are not read.
 
-Scale: the sample's ids (bounded by the two parameters) are broadcast to one scan that computes their features; a few MB of features are
-collected. Scoring is map-only, the weights go with the function.
+Scale: the texts are read twice, map-only: for features (a few hundred small numbers a document, stored) and for the final scores. Labels are joined
+to the features by shuffle; rounds read the features only. Cuts of the hash's range, set by a count, bound what comes to the
+driver: so many rows of features whatever the input.
 """
 
 from __future__ import annotations
@@ -25,36 +29,46 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import materialise, text_bytes
 
-MOST_LABELS, POOL = 8000, 8000
-ROUNDS, PER_ROUND, CONFIDENT, L2 = 4, 400, 0.97, 1e-2
-LANGS, SOURCES, LENGTHS = 16, 64, 24
-N_TEXT, N_META = 256 + 7, LANGS + SOURCES + LENGTHS
+MOST_LABELS, MOST_TAUGHT = 8000, 2000
+ROUNDS, CONFIDENT, L2 = 2, 0.97, 1e-2
+LANGS, SOURCES, LENGTHS, GRAMS = 16, 64, 24, 64
+N_TEXT, N_META = 256 + 2 * GRAMS + 7, LANGS + SOURCES + LENGTHS
+WORD_MEMO = 100_000
+_words: dict[bytes, int] = {}
 
 
 def text_features(text: bytes) -> np.ndarray:
-    """Square roots of byte frequencies; ratios of distinct words, of words equal to the one before, of upper case; word and text length."""
+    """Bytes 0 to 255: square roots of byte frequencies and of hashed 1-gram and 2-gram frequencies; ratios of distinct words, of words
+    equal to the one before, of upper case and of letters; word and text length."""
     out = np.zeros(N_TEXT)
     n = len(text)
     if not n:
-        return out
+        return out.astype(np.uint8)
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     out[:256] = np.sqrt(counts / n)
     words = text.split()
     k = max(len(words), 1)
+    distinct = set(words)
+    if words:
+        if len(_words) > WORD_MEMO:
+            _words.clear()
+        for w in distinct.difference(_words):
+            _words[w] = zlib.crc32(w)
+        codes = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
+        pairs = (codes[:-1] * 31 + codes[1:]) % 65521 % GRAMS
+        out[256 : 256 + GRAMS] = np.sqrt(np.bincount(codes % GRAMS, minlength=GRAMS) / k)
+        out[256 + GRAMS : 256 + 2 * GRAMS] = np.sqrt(np.bincount(pairs, minlength=GRAMS) / k)
     letters = counts[65:91].sum() + counts[97:123].sum()
-    out[256] = len(set(words)) / k
-    out[257] = sum(map(bytes.__eq__, words, words[1:])) / k
-    out[258] = counts[65:91].sum() / max(letters, 1)
-    out[259] = min(n / k, 50) / 10
-    out[260] = math.log1p(k)
-    out[261] = out[256] * out[260]
-    out[262] = letters / n
-    return out
+    size = math.log1p(k) / 20
+    ratio = len(distinct) / k
+    out[-7:] = ratio, sum(map(bytes.__eq__, words, words[1:])) / k, counts[65:91].sum() / max(letters, 1), min(n / k, 50) / 50, min(size, 1), ratio * min(size, 1), letters / n
+    return np.round(255 * out).astype(np.uint8)
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -137,7 +151,7 @@ class CoTrained:
         def scored(texts: pd.Series, langs: pd.Series, sources: pd.Series, sizes: pd.Series) -> pd.DataFrame:
             out = []
             for a in range(0, len(texts), 1000):  # features of a thousand rows at a time
-                x = np.array([text_features(bytes(t)) for t in texts[a : a + 1000]]).reshape(-1, N_TEXT)
+                x = np.array([text_features(bytes(t)) for t in texts[a : a + 1000]], float).reshape(-1, N_TEXT)
                 m = np.array([meta_features(*v) for v in zip(langs[a : a + 1000], sources[a : a + 1000], sizes[a : a + 1000], strict=True)]).reshape(-1, N_META)
                 p, pt, pm = self.scores(x, m)
                 out.append(pd.DataFrame({"score": p, "p_text": pt, "p_meta": pm, "kept": p >= self.threshold}))
@@ -146,56 +160,101 @@ class CoTrained:
         return scored(text_bytes(text), F.col(lang).cast("string"), F.col(source).cast("string"), F.col(n_chars).cast("long"))
 
 
-def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, ux: np.ndarray, um: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, confident: float = CONFIDENT, threshold: float = 0.5) -> CoTrained:
-    """x, m, y: text and metadata features and labels; ux, um: features of the unlabelled pool. A quarter of the labels calibrates."""
-    held = np.arange(len(y)) % 4 == 3
+def matrices(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Text and metadata features of rows (x, lang, source, n_chars)."""
+    x = np.frombuffer(b"".join(v.as_py() for v in rows["x"]), np.uint8).reshape(-1, N_TEXT).astype(float)
+    m = np.array([meta_features(*v) for v in zip(*(rows[c].to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]).reshape(-1, N_META)
+    return x, m
+
+
+def pseudo_labels(views: dict[str, View], x: np.ndarray, m: np.ndarray, confident: float = CONFIDENT) -> dict[str, np.ndarray]:
+    """What each view is taught about the rows: the other view's label where that is confident, else -1."""
+    out = {}
+    for teacher, pupil, rows in (("text", "meta", x), ("meta", "text", m)):
+        p = _sigmoid(views[teacher].logit(rows))
+        out[pupil] = np.where(p >= confident, 1, np.where(p <= 1 - confident, 0, -1))
+    return out
+
+
+def featured(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text: str = "text", lang: str = "lang", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
+    """The different rows (id, x, lang, source, n_chars) of docs, with their label y or null and a rank: a hash in 0 to 1."""
+
+    @F.pandas_udf("binary")
+    def features(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_features(bytes(t)).tobytes() for t in texts], dtype=object)
+
+    names = ["id", "x", "lang", "source", "n_chars"]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), features(text_bytes(text)).alias("x"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(n_chars).cast("long").alias("n_chars"))
+    given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    rank = (F.xxhash64("id", "x").bitwiseAND(F.lit((1 << 48) - 1)) / float(1 << 48)).alias("rank")
+    return materialise(rows.distinct().join(given, "id", "left").select(*names, "y", rank), "cotrain-features")
+
+
+def first_of_id(rows: DataFrame) -> DataFrame:
+    """Of each id, the row with the least rank."""
+    return rows.groupBy("id").agg(F.min(F.struct("rank", "x", "lang", "source", "n_chars", "y")).alias("r")).select("id", "r.*")
+
+
+def held_out(rank: str = "rank") -> Column:
+    """Whether a labelled row calibrates and trains nothing."""
+    return F.floor(F.col(rank) * (1 << 20)) % 4 == 3
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most_labels: int = MOST_LABELS, most_taught: int = MOST_TAUGHT, text: str = "text", lang: str = "lang", source: str = "source", n_chars: str = "n_chars", rounds: int = ROUNDS, confident: float = CONFIDENT, threshold: float = 0.5) -> CoTrained:
+    """Train on documents with labels (id_col, label_col: 1 good, 0 bad)."""
+    rows = featured(docs, labels, id_col, label_col, text, lang, source, n_chars)
+    free, known = rows.where("y IS NULL"), first_of_id(rows.where("y IS NOT NULL"))
+
+    def fetched(of: DataFrame, n: int, most: int, *columns: str) -> pa.Table:
+        """Of n rows, those of the least ranks, about `most`, in the order of their ranks."""
+        table = of.where(F.col("rank") < most / max(n, 1)).select("rank", "id", *columns).toArrow()
+        return table.sort_by([("rank", "ascending"), ("id", "ascending")])
+
+    sample = fetched(known.withColumn("held", held_out()), known.count(), most_labels, "x", "lang", "source", "n_chars", "y", "held")
+    x, m = matrices(sample)
+    y, held = np.array(sample["y"].to_pylist(), float), np.array(sample["held"].to_pylist(), bool)
     if len(y) < 8 or any(len(np.unique(y[s])) < 2 for s in (held, ~held)):
         return CoTrained(threshold=threshold)
-    views, features, pools = {}, {"text": x, "meta": m}, {"text": ux, "meta": um}
-    own = {v: (np.empty(0, int), np.empty(0)) for v in features}  # pseudo-labelled pool rows of each view
-    taught = []
+    own, views, taught = {"text": x, "meta": m}, {}, []
+    extra = {v: (np.empty((0, f.shape[1])), np.empty(0)) for v, f in own.items()}  # pseudo-labelled rows of each view
     for r in range(rounds + 1):
-        for v in features:
-            rows, labels = own[v]
-            views[v] = View.fit(np.vstack([features[v][~held], pools[v][rows]]), np.concatenate([y[~held], labels])).calibrate(features[v][held], y[held])
-        if r == rounds or not len(ux):
+        for v, f in own.items():
+            views[v] = View.fit(np.vstack([f[~held], extra[v][0]]), np.concatenate([y[~held], extra[v][1]])).calibrate(f[held], y[held])
+        if r == rounds:
             break
-        given = {}
-        for v, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(views[v].logit(pools[v]))
-            free = np.setdiff1d(np.arange(len(p)), own[other][0])
-            good, bad = free[p[free] >= confident], free[p[free] <= 1 - confident]
-            good, bad = good[np.argsort(-p[good], kind="stable")][:per_round], bad[np.argsort(p[bad], kind="stable")][:per_round]
-            given[other] = (np.concatenate([good, bad]).astype(int), np.concatenate([np.ones(len(good)), np.zeros(len(bad))]))
-        for v, (rows, labels) in given.items():
-            own[v] = (np.concatenate([own[v][0], rows]), np.concatenate([own[v][1], labels]))
-        taught.append({v: len(given[v][0]) for v in given})
-        if not any(len(g[0]) for g in given.values()):
+        given = materialise(_taught(free, views, confident), "cotrain-taught")
+        counts = {(c["view"], c["label"]): c["n"] for c in given.groupBy("view", "label").agg(F.count("*").alias("n")).collect()}
+        taught.append({v: sum(n for (w, _), n in counts.items() if w == v) for v in own})
+        if not counts:
             break
+        for v in own:
+            parts = [(label, fetched(given.where((F.col("view") == v) & (F.col("label") == label)), counts.get((v, label), 0), most_taught, "x", "lang", "source", "n_chars")) for label in (1, 0)]
+            features = [matrices(t)[0 if v == "text" else 1] for _, t in parts]
+            extra[v] = np.vstack(features), np.concatenate([np.full(len(t), float(label)) for label, t in parts])
     logits = np.stack([views["text"].logit(x[held]), views["meta"].logit(m[held])], 1)
     return CoTrained(views["text"], views["meta"], logistic(logits, y[held], 1e-3), threshold, taught)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most_labels: int = MOST_LABELS, pool: int = POOL, text: str = "text", lang: str = "lang", source: str = "source", n_chars: str = "n_chars", **options) -> CoTrained:
-    """Train on documents with labels (id_col, label_col: 1 good, 0 bad)."""
-    first = lambda d, n: d.orderBy(F.xxhash64("id"), "id").limit(n)
-    given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    # both parts are bounded by the parameters, so the broadcast is
-    sample = first(given, most_labels).unionByName(first(ids.join(given, "id", "left_anti"), pool).withColumn("y", F.lit(None).cast("int")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(n_chars).cast("long").alias("n_chars"))
+def _taught(free: DataFrame, views: dict[str, View], confident: float) -> DataFrame:
+    """All pseudo-labelled rows: view (the one that is taught), label, and the row with the features which that view reads."""
+    schema = "view string, label int, id long, rank double, x binary, lang string, source string, n_chars long"
 
-    @F.pandas_udf("array<float>")
-    def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_features(bytes(t)).astype(np.float32) for t in texts])
-
-    found = rows.join(F.broadcast(sample), "id").select("id", "y", "lang", "source", "n_chars", features("text").alias("x"))
-    table = found.toArrow().to_pandas().drop_duplicates("id").sort_values("id")
-    table = table.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in table["id"]], kind="stable")]
-    x = np.array(table["x"].tolist(), float).reshape(-1, N_TEXT)
-    m = np.array([meta_features(a, b, c) for a, b, c in zip(table["lang"], table["source"], table["n_chars"], strict=True)]).reshape(-1, N_META)
-    known = table["y"].notna().to_numpy()
-    return co_train(x[known], m[known], table["y"][known].to_numpy(float), x[~known], m[~known], **options)
+    def apply(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for view, labels in pseudo_labels(views, *matrices(table), confident).items():
+                at = np.flatnonzero(labels >= 0)
+                part = table.take(pa.array(at))
+                none = lambda kind, n=len(at): pa.nulls(n, kind)
+                rest = [part["x"].combine_chunks(), none(pa.string()), none(pa.string()), none(pa.int64())] if view == "text" else [pa.array([bytes(N_TEXT)] * len(at), pa.binary()), *(part[c].combine_chunks() for c in ("lang", "source", "n_chars"))]
+                yield pa.RecordBatch.from_arrays([pa.array([view] * len(at), pa.string()), pa.array(labels[at], pa.int32()), part["id"].combine_chunks(), part["rank"].combine_chunks(), *rest], [c.split()[0] for c in schema.split(", ")])
+
+    return free.mapInArrow(apply, schema)
+
+
+def passing(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """The rows of docs that the model keeps; columns as they are."""
+    return docs.select(F.struct(*docs.columns).alias("row"), model.column().alias("scored")).where("scored.kept").select("row.*")
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from polyad.llm import cotrain as ct
 
@@ -38,8 +39,41 @@ def test_a_view_without_confidence_teaches_nothing():
     rng = np.random.default_rng(0)
     y = (rng.random(400) < 0.7).astype(float)
     x, m = y[:, None] + rng.normal(0, 0.1, (400, 1)), rng.normal(0, 1, (400, 2))
-    model = ct.co_train(x, m, y, x[:200], rng.normal(0, 1, (200, 2)))
-    assert model.taught and all(t["text"] == 0 for t in model.taught)
+    views = {"text": ct.View.fit(x[::2], y[::2]).calibrate(x[1::2], y[1::2]), "meta": ct.View.fit(m[::2], y[::2]).calibrate(m[1::2], y[1::2])}
+    given = ct.pseudo_labels(views, x, m)
+    assert (given["text"] == -1).all() and (given["meta"] == y).mean() > 0.9
+
+
+def brute(spark, docs, labels, rounds):
+    """Co-training on plain arrays: all rows at once, no samples."""
+    found = ct.featured(docs, labels).withColumn("held", ct.held_out()).orderBy("rank", "id").toArrow()
+    x, m = ct.matrices(found)
+    y = np.array([np.nan if v is None else v for v in found["y"].to_pylist()])
+    known, held = ~np.isnan(y), np.array(found["held"].to_pylist())
+    train, calibrate, both = known & ~held, known & held, {"text": x, "meta": m}
+    extra = {v: (np.zeros(0, int), np.zeros(0)) for v in both}
+    taught = []
+    for r in range(rounds + 1):
+        views = {v: ct.View.fit(np.vstack([f[train], f[extra[v][0]]]), np.concatenate([y[train], extra[v][1]])).calibrate(f[calibrate], y[calibrate]) for v, f in both.items()}
+        if r < rounds:
+            p = {v: 1 / (1 + np.exp(-views[v].logit(f))) for v, f in both.items()}
+            for teacher, pupil in (("text", "meta"), ("meta", "text")):
+                sure = {c: np.flatnonzero(~known & ((p[teacher] >= ct.CONFIDENT) if c else (p[teacher] <= 1 - ct.CONFIDENT))) for c in (1, 0)}
+                extra[pupil] = np.concatenate([sure[1], sure[0]]), np.concatenate([np.ones(len(sure[1])), np.zeros(len(sure[0]))])
+            taught.append({v: len(extra[v][0]) for v in both})
+    logits = np.stack([views["text"].logit(x[calibrate]), views["meta"].logit(m[calibrate])], 1)
+    return ct.CoTrained(views["text"], views["meta"], ct.logistic(logits, y[calibrate], 1e-3), 0.5, taught), x, m
+
+
+def test_rounds_match_brute_force(spark):
+    data = rows(500)
+    docs = spark.createDataFrame([r[:7] for r in data], SCHEMA).repartition(5)
+    labels = spark.createDataFrame([(r[0], r[7]) for r in data if r[0] % 4 == 0], "doc_id long, quality int")
+    for rounds in (1, 2):
+        model = ct.fit(docs, labels, rounds=rounds)
+        expected, x, m = brute(spark, docs, labels, rounds)
+        assert model.taught == expected.taught and any(t["meta"] for t in model.taught)
+        assert np.allclose(model.scores(x, m), expected.scores(x, m), atol=1e-6)
 
 
 def test_defined_cases(spark):
@@ -61,10 +95,32 @@ def test_training_is_repeatable_and_bounded(spark):
     data = rows(300)
     docs = spark.createDataFrame([r[:7] for r in data], SCHEMA)
     labels = spark.createDataFrame([(r[0], r[7]) for r in data], "doc_id long, quality int")
-    a, b = (ct.fit(d, labels, most_labels=100, pool=50) for d in (docs, docs.repartition(7)))
+    a, b = (ct.fit(d, labels.where("doc_id % 2 = 0"), most_labels=100, most_taught=20) for d in (docs, docs.repartition(7), ))
     assert np.allclose(a.text.weights, b.text.weights) and np.allclose(a.combine, b.combine)
 
 
 @pytest.mark.parametrize("args", [(None, None, None), ("en", "src", 10**18), ("", "", 0)])
 def test_metadata_features(args):
     assert ct.meta_features(*args).sum() == 3
+
+
+def test_a_repeated_id_does_not_reach_the_driver_whole(spark):
+    """One labelled id with 3,000 rows, equal or different, is one training row."""
+    data = rows(200)
+    for same in (True, False):
+        hot = [(7, f"some words of text {0 if same else i}", "en", "s1", 20, 0.0, True) for i in range(3000)]
+        docs = spark.createDataFrame([r[:7] for r in data] + hot, SCHEMA)
+        labels = spark.createDataFrame([(r[0], r[7]) for r in data], "doc_id long, quality int")
+        features = ct.featured(docs, labels)
+        n = features.count()
+        assert n <= 202 if same else n > 200
+        known = ct.first_of_id(features.where("y IS NOT NULL"))
+        assert known.count() == 200 and features.where(F.col("rank") < 100 / n).count() < 200
+        assert ct.fit(docs, labels, most_labels=100, most_taught=20).text is not None
+
+
+def test_text_features():
+    f = ct.text_features
+    assert f(b"").sum() == 0 and f("ü b c".encode()).dtype == np.uint8 and len(f(b" ")) == ct.N_TEXT
+    words = [f"w{i}".encode() for i in range(300)]
+    assert (f(b" ".join(words)) != f(b" ".join(sorted(words, reverse=True))))[256 + ct.GRAMS : 256 + 2 * ct.GRAMS].any()  # 2-grams see the order
