@@ -350,7 +350,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def classes(marked: DataFrame, bits: int = BITS, id_col: str = "doc_id", fp_col: str = "fp", sketch_col: str | None = None, similarity: float = SIMILARITY, text_col: str = "text", node_col: str = "__node") -> DataFrame:
+def classes(marked: DataFrame, bits: int = BITS, id_col: str = "doc_id", fp_col: str = "fp", sketch_col: str | None = None, similarity: float = SIMILARITY, text_col: str = "text", node_col: str = "node") -> DataFrame:
     """With sketch_col, rows are linked by the similarity of their texts too.
 
     Returns fp, component_id, the representative's fingerprint (rep_fp) and the number of rows n for each distinct fingerprint of the rows in marked."""
@@ -387,15 +387,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows are written once with their fingerprint, then shuffled once by id and fingerprint to meet the representatives'.
     """
     id_ = F.col(id_col).cast("long")
-    # a key without nulls: one partitioning serves the join and the window
-    key = [F.coalesce(id_, F.lit(0).cast("long")).alias("__id"), id_.isNull().alias("__null")]
-    marked = materialise(docs.select("*", *key, marks_column(text_col, size).alias("__m")).select(*docs.columns, "__id", "__null", F.col("__m.fp").alias("__fp"), F.col("__m.sketch").alias("__sketch"), F.col("__m.node").alias("__node")), "simhash-rows")
-    reps = classes(marked, bits, id_col, "__fp", "__sketch", similarity, text_col).where("fp = rep_fp")
-    reps = reps.select(F.coalesce("component_id", F.lit(0).cast("long")).alias("__id"), F.col("component_id").isNull().alias("__null"), F.col("rep_fp").alias("__fp"))
-    names = ["__id", "__null", "__fp"]
+    # a key without nulls: one partitioning serves the join and the window; the row stands apart, so that its names clash with nothing
+    key = [F.coalesce(id_, F.lit(0).cast("long")).alias("id"), id_.isNull().alias("no_id")]
+    marked = materialise(docs.select(F.struct(*docs.columns).alias("row"), *key, marks_column(text_col, size).alias("mark")).select("row", "id", "no_id", "mark.fp", "mark.sketch", "mark.node"), "simhash-rows")
+    reps = classes(marked, bits, f"row.{id_col}", "fp", "sketch", similarity, f"row.{text_col}", "node").where("fp = rep_fp")
+    reps = reps.select(F.coalesce("component_id", F.lit(0).cast("long")).alias("id"), F.col("component_id").isNull().alias("no_id"), F.col("rep_fp").alias("fp"))
+    names = ["id", "no_id", "fp"]
     # the same row given twice: one of them
     once = Window.partitionBy(*names).orderBy(F.lit(1))
-    return marked.drop("__sketch", "__node").join(reps, names, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    return marked.drop("sketch", "node").join(reps, names, "left_semi").withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:

@@ -186,6 +186,6 @@ def test_texts_of_one_fingerprint_keep_their_own_links(spark, monkeypatch):
         rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words[:50], "other", *words[51:]]))]
     # all four originals have one fingerprint, their copies have fingerprints far apart
     fps = {t.encode(): 0 if d % 10 == 0 else int(np.uint64(0xFFFF << (16 * (d // 10))).astype(np.int64)) for d, t in rows}
-    marks = spark.createDataFrame([(d, t, fps[t.encode()], sh.sketch(t.encode()), d) for d, t in rows], "doc_id long, text string, fp long, sketch binary, __node long")
+    marks = spark.createDataFrame([(d, t, fps[t.encode()], sh.sketch(t.encode()), d) for d, t in rows], "doc_id long, text string, fp long, sketch binary, node long")
     got = sh.classes(marks, sketch_col="sketch").collect()
     assert {r["component_id"] for r in got} == {0} and len(got) == 5
