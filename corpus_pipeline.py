@@ -2,6 +2,11 @@
 
 Every stage but the last returns the columns of documents; each stage's rows are written as Parquet to shared storage and read
 again. The last stage returns the packing of the documents that are left.
+
+Defined cases: null and empty texts, and those of under ten words, go with the quality rules; a null id keeps its row; equal rows are
+near duplicates of each other, one stays; columns beside those of documents pass through unchanged, whatever their names; an empty
+table gives an empty packing; without labels the classifier keeps all, and the rules' bands come from all documents; without benchmark items
+nothing is taken for a leak. SQL cannot express the stages: each is held against brute force in the tests.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on the labels of the documents at hand; those classified as bad go."""
     model = cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("__quality", model.column()).where("__quality.kept").select(*docs.columns)
+    return cotrain.passing(docs, model)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
