@@ -19,7 +19,7 @@ def block_modes(n: int) -> list[str]:
 
 def div(a: Column, b: int) -> Column:
     """Integer division of non-negative whole numbers."""
-    return F.floor(a / F.lit(b)).cast("long") if b != 1 else a.cast("long")
+    return F.call_function("div", a.cast("long"), F.lit(b)) if b != 1 else a.cast("long")
 
 
 def linear(columns: Sequence[str | Column], extents: Sequence[int]) -> Column:

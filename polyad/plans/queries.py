@@ -229,8 +229,9 @@ def block_edge(spark, d):
 def block_order(spark, d):
     """Places of the blocks in the order of the mode-1 matricization: mode 1 first, then 0, then 2."""
     t = b.qty3(spark, d).to_blocks()
-    rows = [(r["b0"], r["b1"], r["b2"], k) for k, r in enumerate(t.ordered(1).select(*t.keys).collect())]
-    return spark.createDataFrame(rows, "b0 int, b1 int, b2 int, place long")
+    # the order's keys, the last of them fastest, are digits of the place
+    keys, counts = [t.keys[m] for m in (2, 0, 1)], [t.meta.block_num[m] for m in (2, 0, 1)]
+    return t.df.select(*t.keys, linear(keys, counts).alias("place"))
 
 
 # products and Gram matrices
@@ -363,16 +364,36 @@ def tucker_energy_identity(spark, d):
     return total.join(left).join(core).select(F.round("total", 0).alias("total"), F.round(F.col("left") + F.col("core"), 0).alias("parts"))
 
 
-@query()
+def _slice_energies(t: TensorFrame, mode: int):
+    """r, e: squared norms of the slices along a mode."""
+    return rel.row_norms(t, mode).select(F.col("row").alias("r"), (F.col("norm") * F.col("norm")).alias("e"))
+
+
+@query(
+    f"WITH {T3} "
+    + " UNION ALL ".join(
+        f"SELECT CAST({m} AS INTEGER) AS mode, round(sum(v) FILTER (r = c), 0) AS energy, round(sum(v * v) / power(sum(v) FILTER (r = c), 2), 8) AS spread FROM ({_gram_sql(m).partition(') ' + 'SELECT')[1].removeprefix(') ') + _gram_sql(m).partition(') ' + 'SELECT')[2]})"
+        for m in range(3)
+    )
+)
 def tucker_core(spark, d):
-    return tk.hooi(b.qty3(spark, d), (5, 4, 3), max_iter=3).core.df
+    """The slices of a core of full ranks hold the eigenvalues of each mode's Gram matrix: their sum is its trace, the sum of their squares its squared norm."""
+    model = tk.hooi(b.qty3(spark, d), (20, 10, 7), max_iter=1)
+    parts = [_slice_energies(model.core, m).agg(F.round(F.sum("e"), 0).alias("energy"), F.round(F.sum(F.col("e") * F.col("e")) / F.pow(F.sum("e"), 2), 8).alias("spread")).select(F.lit(m).alias("mode"), "energy", "spread") for m in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query()
+@query(f"WITH {T3} " + " UNION ALL ".join(f"SELECT CAST({m} AS INTEGER) AS mode, r, c, round(v, 0) AS v FROM ({_gram_sql(m).partition(') ' + 'SELECT')[1].removeprefix(') ') + _gram_sql(m).partition(') ' + 'SELECT')[2]})" for m in range(3)))
 def tucker_factors(spark, d):
-    model = tk.hooi(b.qty3(spark, d), (5, 4, 3), max_iter=3, init="random", seed=7)
-    parts = [rel.factor_table(spark, f).select(F.lit(m).alias("mode"), "i", "r", "v") for m, f in model.factors.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Each mode's Gram matrix from its factor and the squared norms of the core's slices, which are the eigenvalues."""
+    model = tk.hooi(b.qty3(spark, d), (20, 10, 7), max_iter=2, init="random", seed=7)
+    out = None
+    for m, f in model.factors.items():
+        cells = rel.factor_table(spark, f)
+        scaled = cells.join(_slice_energies(model.core, m), "r").select("i", "r", (F.col("v") * F.col("e")).alias("v"))
+        part = rel.matmul(scaled, rel.transposed(cells)).select(F.lit(m).alias("mode"), F.col("i").alias("r"), F.col("r").alias("c"), F.round("v", 0).alias("v"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _UNIT = "CAST(CASE WHEN i = r THEN 1 ELSE 0 END AS DOUBLE)"
@@ -526,12 +547,17 @@ def slice_reassign(spark, d):
     return cw.reassign(_scores(spark, d))
 
 
-@query()
+@query("SELECT DISTINCT l_partkey % 20 AS slice, CAST(l_partkey % 20 * 7 % 3 AS INTEGER) AS cluster FROM lineitem WHERE l_suppkey % 10 % 3 = l_partkey % 20 * 7 % 3")
 def clusterwise_tucker(spark, d):
-    return cw.refine(b.qty3(spark, d), _members(spark), 3, (3, 3, 2), max_iter=2, sweeps=2).members
+    """Clusters whose slices hold cells in different columns only, from a start with one slice of each cluster in the next one."""
+    t = b.qty3(spark, d)
+    apart = TensorFrame(t.df.where("i1 % 3 = i0 * 7 % 3"), t.meta)
+    start = _members(spark).select("slice", F.when(F.col("slice").isin(4, 5, 6), (F.col("cluster") + 1) % 3).otherwise(F.col("cluster")).cast("int").alias("cluster"))
+    return cw.refine(apart, start, 3, (1, 1, 1), max_iter=2, sweeps=2).members.join(apart.df.select(F.col("i0").alias("slice")).distinct(), "slice", "left_semi")
 
 
-@query()
+@query(f'WITH {T3} SELECT i0 AS "row", round(sqrt(sum(v * v)), 4) AS score FROM t GROUP BY ALL')
 def dual_scores(spark, d):
+    """With bases of full rank nothing is lost in either projection: a slice's score is its norm."""
     t = b.qty3(spark, d)
-    return cw.dual_scores(t, tk.hooi(t, (5, 4, 3), max_iter=1), 0)
+    return cw.dual_scores(t, tk.hooi(t, (20, 10, 7), max_iter=1), 0).select("row", F.round("score", 4).alias("score"))

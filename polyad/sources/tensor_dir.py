@@ -9,6 +9,7 @@ Format "tensor" is a Python data source for reading and writing such a directory
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -24,17 +25,19 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from ..frame import BlockFrame, TensorFrame, block_schema
 from ..functions.index import block_modes, modes
 from ..meta import TensorMeta
+from ..storage import qualified
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path.rstrip("/")
+    """The file system of a path with its scheme, and the path there."""
+    if ":/" not in path:
+        raise ValueError(f"no scheme in {path}: Spark would look for it on its default file system")
     fs, inner = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
     return fs, inner.rstrip("/")
 
 
-#: Bytes of small files that one read task takes together.
-TASK_BYTES = 32 << 20
+#: Bytes of records that a writing task puts into a file; what a reading task takes is set by spark.sql.files.maxPartitionBytes.
+FILE_BYTES = 32 << 20
 
 
 def _sizes(path: str) -> list[tuple[str, int]]:
@@ -54,28 +57,42 @@ def encode_block(key: Sequence[int], data: np.ndarray) -> bytes:
     return np.asarray(key, ">i4").tobytes() + np.asarray(data, ">f8").tobytes()
 
 
-def decode_blocks(raw: bytes, meta: TensorMeta) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
-    """Records of a file. Each record's length follows from its own block indices, so edge blocks may stand anywhere.
+def _key(raw: bytes, meta: TensorMeta) -> tuple[int, ...]:
+    if len(raw) < 4 * meta.ndim:
+        raise ValueError("a record ends within its block indices")
+    key = tuple(int(b) for b in np.frombuffer(raw, ">i4", meta.ndim))
+    if any(not 0 <= b < n for b, n in zip(key, meta.block_num, strict=True)):
+        raise ValueError(f"block {key} is outside the grid {meta.block_num}")
+    return key
+
+
+def read_records(source, size: int, meta: TensorMeta, start: int = 0, stop: int | None = None) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Records of a file (seekable, of size bytes) that begin in [start, stop), one at a time.
 
-    A file of a single record may also hold the block in its nominal size: it is then cut to the block's extent.
+    Each record's length follows from its own block indices, so edge blocks may stand anywhere, and records before `start`
+    are skipped by reading their indices only. A file of a single record may also hold the block in its nominal size: it is
+    then cut to the block's extent.
     """
-    head, at = 4 * meta.ndim, 0
-    while at < len(raw):
-        if len(raw) - at < head:
-            raise ValueError("a record ends within its block indices")
-        key = tuple(int(b) for b in np.frombuffer(raw, ">i4", meta.ndim, at))
-        if any(not 0 <= b < n for b, n in zip(key, meta.block_num, strict=True)):
-            raise ValueError(f"block {key} is outside the grid {meta.block_num}")
-        size, at = prod(meta.local_shape(key)), at + head
-        nominal = prod(meta.block_shape)
-        if at == head and len(raw) == head + 8 * nominal and size < nominal:
-            full = np.frombuffer(raw, ">f8", nominal, at).reshape(meta.block_shape, order="F")
-            yield key, full[tuple(slice(0, e) for e in meta.local_shape(key))].reshape(-1, order="F").astype(float)
-            return
-        if len(raw) - at < 8 * size:
-            raise ValueError(f"the record of block {key} is cut off")
-        yield key, np.frombuffer(raw, ">f8", size, at).astype(float)
-        at += 8 * size
+    head, at, nominal = 4 * meta.ndim, 0, prod(meta.block_shape)
+    while at < (size if stop is None else min(size, stop)):
+        source.seek(at)
+        key = _key(source.read(head), meta)
+        shape = meta.local_shape(key)
+        cells = prod(shape)
+        whole = at == 0 and size == head + 8 * nominal and cells < nominal
+        width = 8 * (nominal if whole else cells)
+        if at >= start:
+            raw = source.read(width)
+            if len(raw) < width:
+                raise ValueError(f"the record of block {key} is cut off")
+            data = np.frombuffer(raw, ">f8").astype(float)
+            yield key, data.reshape(meta.block_shape, order="F")[tuple(slice(0, e) for e in shape)].reshape(-1, order="F") if whole else data
+        at += head + width
+
+
+def decode_blocks(raw: bytes, meta: TensorMeta) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Records of a file's bytes."""
+    return read_records(io.BytesIO(raw), len(raw), meta)
 
 
 def encode_matrix(mode: int, matrix: np.ndarray) -> bytes:
@@ -110,8 +127,10 @@ def write_header(spark: SparkSession, path: str, meta: TensorMeta) -> None:
 
 
 @dataclass
-class BlockFiles(InputPartition):
-    files: list[str]
+class Ranges(InputPartition):
+    """Byte ranges (file, file size, start, stop): the records that begin there."""
+
+    parts: list[tuple[str, int, int, int]]
 
 
 @dataclass
@@ -134,43 +153,41 @@ class TensorSource(DataSource):
         return block_schema(self.meta().ndim)
 
     def reader(self, schema) -> DataSourceReader:
-        return TensorReader(self.meta(), self.options["path"])
+        return TensorReader(self.meta(), self.options["path"], int(self.options["task_bytes"]))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return TensorWriter(self.meta(), self.options["path"], overwrite)
 
 
 class TensorReader(DataSourceReader):
-    """Small files are read by one task up to TASK_BYTES; a file is what a task holds at a time."""
+    """Tasks of about task_bytes: small files go together, large ones are split; a record is what a task holds at a time."""
 
-    def __init__(self, meta: TensorMeta, path: str):
-        self.meta, self.path = meta, path
+    def __init__(self, meta: TensorMeta, path: str, task_bytes: int):
+        self.meta, self.path, self.task_bytes = meta, path, max(1, task_bytes)
 
-    def partitions(self) -> list[BlockFiles]:
-        out, held = [], TASK_BYTES
+    def partitions(self) -> list[Ranges]:
+        out, held = [], self.task_bytes
         for file, size in _sizes(f"{self.path}/block"):
-            if held + size > TASK_BYTES:
-                out.append(BlockFiles([]))
-                held = 0
-            out[-1].files.append(file)
-            held += size
-        return out
-
-    def read(self, partition: BlockFiles) -> Iterator[pa.RecordBatch]:
-        for file in partition.files:
-            yield from self.blocks(file)
-
-    def blocks(self, file: str) -> Iterator[pa.RecordBatch]:
+            for start in range(0, size, self.task_bytes):
+                stop = min(size, start + self.task_bytes)
+                if held + stop - start > self.task_bytes:
+                    out.append(Ranges([]))
+                    held = 0
+                out[-1].parts.append((file, size, start, stop))
+                held += stop - start
+        return out or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fs, _ = open_fs(self.path)
-        names = block_modes(self.meta.ndim)
-        with fs.open_input_file(file) as source:
-            raw = source.read()
-        for key, data in decode_blocks(raw, self.meta):
-            yield pa.RecordBatch.from_arrays([*(pa.array([b], pa.int32()) for b in key), pa.array([data], pa.list_(pa.float64()))], [*names, "data"])
+        names = [*block_modes(self.meta.ndim), "data"]
+        for file, size, start, stop in partition.parts:
+            with fs.open_input_file(file) as source:
+                for key, data in read_records(source, size, self.meta, start, stop):
+                    yield pa.RecordBatch.from_arrays([*(pa.array([b], pa.int32()) for b in key), pa.ListArray.from_arrays(pa.array([0, len(data)], pa.int32()), pa.array(data))], names)
 
 
 class TensorWriter(DataSourceArrowWriter):
-    """A file for each block, under a name of the attempt until the job commits."""
+    """Files of several records, about FILE_BYTES each, under a name of the attempt until the job commits."""
 
     def __init__(self, meta: TensorMeta, path: str, overwrite: bool):
         self.meta, self.path, self.overwrite = meta, path, overwrite
@@ -178,23 +195,29 @@ class TensorWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = open_fs(self.path)
         fs.create_dir(f"{root}/block", recursive=True)
-        out = []
+        out, sink, held = [], None, 0
         for batch in iterator:
-            for row in batch.to_pylist():
-                key = tuple(row[b] for b in block_modes(self.meta.ndim))
-                data = np.asarray(row["data"], float)
-                if len(data) != prod(self.meta.local_shape(key)):
-                    raise ValueError(f"block {key} has {len(data)} cells")
-                name = f"{root}/block/.{self.meta.block_id(key):08d}-{uuid.uuid4().hex}"
-                with fs.open_output_stream(name) as sink:
-                    sink.write(encode_block(key, data))
-                out.append(name)
+            keys = np.stack([np.asarray(batch.column(b)) for b in block_modes(self.meta.ndim)], 1).reshape(-1, self.meta.ndim)
+            data = batch.column("data")
+            ends, values = np.asarray(data.offsets), np.asarray(data.values, float)
+            for key, a, b in zip(keys.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if b - a != prod(self.meta.local_shape(key)):
+                    raise ValueError(f"block {tuple(key)} has {b - a} cells")
+                if sink is None or held >= FILE_BYTES:
+                    if sink is not None:
+                        sink.close()
+                    out.append(f"{root}/block/.{self.meta.block_id(key):08d}-{uuid.uuid4().hex}")
+                    sink, held = fs.open_output_stream(out[-1]), 0
+                sink.write(encode_block(key, values[a:b]))
+                held += 8 * (b - a)
+        if sink is not None:
+            sink.close()
         return Written(out)
 
     def commit(self, messages) -> None:
         fs, root = open_fs(self.path)
         if self.overwrite:
-            for old in _files(f"{root}/block"):
+            for old in _files(f"{self.path}/block"):
                 fs.delete_file(old)
         for name in (n for m in messages if m for n in m.files):
             folder, _, base = name.rpartition("/")
@@ -206,14 +229,16 @@ class TensorWriter(DataSourceArrowWriter):
             fs.delete_file(name)
 
 
-def _options(meta: TensorMeta, path: str) -> dict[str, str]:
-    return {"path": path, "shape": ",".join(map(str, meta.shape)), "block_shape": ",".join(map(str, meta.block_shape))}
+def _options(spark: SparkSession, meta: TensorMeta, path: str) -> dict[str, str]:
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return {"path": qualified(spark, path), "shape": ",".join(map(str, meta.shape)), "block_shape": ",".join(map(str, meta.block_shape)), "task_bytes": str(size)}
 
 
 def read_blocks(spark: SparkSession, path: str, meta: TensorMeta | None = None) -> BlockFrame:
+    """Tasks read about spark.sql.files.maxPartitionBytes each."""
     spark.dataSource.register(TensorSource)
     meta = meta or read_header(spark, path)
-    return BlockFrame(spark.read.format("tensor").options(**_options(meta, path)).load(), meta)
+    return BlockFrame(spark.read.format("tensor").options(**_options(spark, meta, path)).load(), meta)
 
 
 def read_tensor(spark: SparkSession, path: str) -> TensorFrame:
@@ -225,7 +250,7 @@ def write_blocks(t: BlockFrame, path: str) -> None:
     spark = t.df.sparkSession
     spark.dataSource.register(TensorSource)
     write_header(spark, path, t.meta)
-    t.df.select(*t.keys, "data").write.format("tensor").options(**_options(t.meta, path)).mode("overwrite").save()
+    t.df.select(*t.keys, "data").write.format("tensor").options(**_options(spark, t.meta, path)).mode("overwrite").save()
 
 
 def write_tensor(t: TensorFrame, path: str) -> None:
@@ -237,7 +262,7 @@ def write_tensor(t: TensorFrame, path: str) -> None:
 
 def write_bases(spark: SparkSession, path: str, factors: Mapping[int, np.ndarray], ndim: int | None = None) -> None:
     """A file for each mode; with ndim, modes without a factor get a 1 x 1 zero. Also a text header of the sizes."""
-    fs, root = open_fs(path)
+    fs, root = open_fs(qualified(spark, path))
     fs.create_dir(root, recursive=True)
     for m in range(ndim) if ndim is not None else factors:
         with fs.open_output_stream(f"{root}/part-{m:05d}") as sink:
@@ -248,6 +273,7 @@ def write_bases(spark: SparkSession, path: str, factors: Mapping[int, np.ndarray
 
 def read_bases(spark: SparkSession, path: str) -> dict[int, np.ndarray]:
     """Matrices by mode, from the order of the files (some writers put the row count into the mode slot)."""
+    path = qualified(spark, path)
     files = _files(path)
     fs, _ = open_fs(path)
     return {m: decode_matrix(fs.open_input_file(f).read())[1] for m, f in enumerate(files)}
