@@ -8,11 +8,13 @@ strict term rejects; soft terms reject when `min_soft` different ones occur and
 Defined cases: a null URL or one without `://` has an empty host and path, no rule, and is allowed; a very long URL is one
 pass over its characters; repeated rows are judged alike; other columns are kept out of the way in a struct.
 
-Map-only: no shuffle; rules and vocabulary are parameters (a few entries), sent with the function.
+Map-only: no shuffle; rules and vocabulary are parameters or a table of bounded size, sent with the function; a worker builds the
+automaton once.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -20,12 +22,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-STRICT = ("adult-x", "casino", "porn", "xxx", "escort", "spam-farm", "viagra")
-SOFT = {"free": 1.0, "bets": 1.5, "bet": 1.5, "cheap": 1.0, "pills": 1.5, "win": 1.0, "loan": 1.0, "adult": 1.5, "spam": 1.5, "sex": 1.5, "poker": 1.5, "jackpot": 1.5, "bonus": 1.0}
+# Usual terms of adult, gambling, pharmacy and loan spam in English, German, Spanish and French URLs; a table's columns
+# can take their place (UrlFilter.from_table).
+STRICT = ("adult-x", "casino", "porn", "porno", "pornos", "xxx", "escort", "escorts", "spam-farm", "viagra", "cialis", "hentai", "camgirl", "camgirls", "spielbank", "sexkontakte", "tragaperras", "rencontre-coquine")
+SOFT = {
+    "free": 1.0, "bets": 1.5, "bet": 1.5, "betting": 1.5, "cheap": 1.0, "pills": 1.5, "win": 1.0, "loan": 1.0, "loans": 1.0, "adult": 1.5, "spam": 1.5, "sex": 1.5, "poker": 1.5, "jackpot": 1.5, "bonus": 1.0, "slots": 1.5,
+    "gratis": 1.0, "wetten": 1.5, "billig": 1.0, "pillen": 1.5, "gewinn": 1.0, "kredit": 1.0, "erotik": 1.5,
+    "apuestas": 1.5, "barato": 1.0, "pastillas": 1.5, "premio": 1.0, "adultos": 1.5,
+    "gratuit": 1.0, "paris-sportifs": 1.5, "pilules": 1.5, "gagner": 1.0, "adulte": 1.5,
+}
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 SCHEMA = "host string, path string, rule string, verdict string, strict_hits int, soft_hits int, weight double"
 
 
+#: What a worker has built for the filter it used last.
+_built: dict = {}
+
+
 @dataclass(frozen=True)
 class UrlFilter:
     rules: tuple = RULES
@@ -34,6 +47,15 @@ class UrlFilter:
     min_soft: int = 2
     min_weight: float = 2.0
 
+    @classmethod
+    def from_table(cls, terms: DataFrame, rules: tuple = RULES, most: int = 1_000_000, **options) -> UrlFilter:
+        """From terms (term, weight): a null weight makes a strict term. At most `most` different terms, since all workers hold them."""
+        found = terms.where("term IS NOT NULL AND term <> ''").groupBy(F.lower("term").alias("term")).agg(F.max("weight").alias("weight"), F.max(F.col("weight").isNull()).alias("strict"))
+        rows = found.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"over {most} terms")
+        return cls(rules, tuple(sorted(r["term"] for r in rows if r["strict"])), {r["term"]: float(r["weight"]) for r in sorted(rows) if not r["strict"]}, **options)
+
     def automaton(self):
         import ahocorasick
 
@@ -81,9 +103,14 @@ class UrlFilter:
     def column(self, url: str | Column) -> Column:
         """Struct of host, path, rule, verdict, strict_hits, soft_hits, weight for a URL column."""
 
+        name = uuid.uuid4().hex
+
         @F.pandas_udf(SCHEMA)
         def judged(urls: pd.Series) -> pd.DataFrame:
-            automaton, by_host = self.automaton(), self.by_host()
+            if name not in _built:
+                _built.clear()
+                _built[name] = self.automaton(), self.by_host()
+            automaton, by_host = _built[name]
             return pd.DataFrame([self.judge(u, automaton, by_host) for u in urls], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
         return judged(F.col(url) if isinstance(url, str) else url)

@@ -63,3 +63,13 @@ def test_sql(spark, sf, table):
         con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     got = sorted((tuple(r) for r in uf.url_query(pages).collect()), key=str)
     assert got == sorted(con.execute(uf.SQL).fetchall(), key=str)
+
+
+def test_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame([("Bad", None), ("bad", 1.0), ("one", 1.0), ("two", 1.5), ("two", 0.5), (None, 1.0), ("", None)], "term string, weight double")
+    f = uf.UrlFilter.from_table(terms)
+    assert f.strict == ("bad",) and f.soft == {"one": 1.0, "two": 1.5}
+    with pytest.raises(ValueError, match="over 2"):
+        uf.UrlFilter.from_table(terms, most=2)
+    urls = spark.createDataFrame([("http://x.org/bad",), ("http://x.org/one-two",), ("http://x.org/one-one",), ("http://x.org/badly",)], "url string")
+    assert [r["v"]["verdict"] for r in urls.select(f.column("url").alias("v")).collect()] == ["block", "block", "allow", "allow"]
