@@ -30,6 +30,11 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str) -> Dat
     return cold.select(*names).unionByName(met.where("__hot").select(*names))
 
 
+def join_few(left: DataFrame, right: DataFrame, key: str, most: int = 50_000) -> DataFrame:
+    """left joined with a stored table right of one row for each key: by a broadcast where it has at most `most` rows, else by shuffle."""
+    return left.join(F.broadcast(right) if right.count() <= most else right, key)
+
+
 def partitions(df: DataFrame, each: int = 64 << 20) -> int:
     """Shuffle partitions for df's rows: as configured, or more if the plan's estimated size gives over `each` bytes to one."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
