@@ -81,7 +81,7 @@ def mode_n_products(t: BlockFrame, factors: Mapping[int, np.ndarray]) -> BlockFr
     """Products with local factor matrices (extent x rank) in all given modes at once: one pass, one shuffle of summed results.
 
     A block meets, for each mode, the rows of the factor that its index range needs; its whole contribution is computed and cut into
-    target blocks. Factors go with the function: extent times rank values each.
+    target blocks. Factors go with the function: extent times rank values each, which the caller bounds.
     """
     meta, keys = t.meta, t.keys
     target = meta
@@ -120,13 +120,21 @@ def gram(t: BlockFrame, mode: int) -> DataFrame:
     pairs = (a.join(b, others) if others else a.crossJoin(b)).where("p <= q")
 
     def multiply(frames):
-        held: dict = {}
+        held, size = {}, 0
         for pdf in frames:
             for row in pdf.itertuples(index=False):
                 at = lambda b, row=row: tuple(int(b) if m == mode else int(getattr(row, keys[m])) for m in range(meta.ndim))
                 x, y = unfold_local(local(meta, at(row.p), row.x), mode), unfold_local(local(meta, at(row.q), row.y), mode)
                 part, key = x @ y.T, (int(row.p), int(row.q))
+                if key not in held:
+                    size += part.size
                 held[key] = held[key] + part if key in held else part
+                if size > HELD:
+                    yield from spread(held)
+                    held, size = {}, 0
+        yield from spread(held)
+
+    def spread(held):
         for (p, q), m in held.items():
             r0, c0 = meta.block_range(mode, p)[0], meta.block_range(mode, q)[0]
             r, c = np.divmod(np.arange(m.size), m.shape[1])
@@ -156,3 +164,44 @@ def unfold(t: BlockFrame, mode: int) -> DataFrame:
             yield pd.DataFrame({"row": rows, "col0": cols, "vec": vecs})
 
     return t.df.mapInPandas(cut, "row long, col0 long, vec array<double>")
+
+
+def columns(meta: TensorMeta, mode: int, number: int) -> np.ndarray:
+    """Columns in the mode-n matricization of the whole tensor that a row of block `number` of a stripe holds, in the row's order."""
+    out, stride = np.zeros(1, np.int64), 1
+    for o in [(mode + j) % meta.ndim for j in range(1, meta.ndim)]:
+        number, b = divmod(number, meta.block_num[o])
+        out = np.add.outer(out, np.arange(*meta.block_range(o, b)) * stride).reshape(-1, order="F")
+        stride *= meta.shape[o]
+    return out
+
+
+def row_vectors(t: BlockFrame, mode: int) -> DataFrame:
+    """row, vec: each slice as a dense array, columns in matricization order; missing blocks are zero.
+
+    One shuffle, of the pieces of rows; a task holds one row at a time and passes on rows of about HELD values.
+    """
+    meta = t.meta
+    width = meta.size // meta.shape[mode]
+    every = t.df.sparkSession.range(meta.shape[mode]).select(F.col("id").alias("row"), F.lit(None).cast("long").alias("col0"), F.lit(None).cast("array<double>").alias("vec"))
+
+    def place(frames):
+        row, vec, done, at = None, None, [], {}
+        for pdf in frames:
+            for r, number, piece in zip(pdf["row"], pdf["col0"], pdf["vec"], strict=True):
+                if r != row:
+                    if row is not None:
+                        done.append((row, vec))
+                    if len(done) * width > HELD:
+                        yield pd.DataFrame(done, columns=["row", "vec"])
+                        done = []
+                    row, vec = r, np.zeros(width)
+                if piece is not None:
+                    number = int(number)
+                    if number not in at:
+                        at[number] = columns(meta, mode, number)
+                    vec[at[number]] += piece
+        if row is not None:
+            yield pd.DataFrame([*done, (row, vec)], columns=["row", "vec"])
+
+    return unfold(t, mode).unionByName(every).repartition("row").sortWithinPartitions("row").mapInPandas(place, "row long, vec array<double>")

@@ -16,7 +16,7 @@ from ..functions.index import l2_norm
 from ..storage import materialise
 from .relational import best, by_shrinkage, cluster, cluster_meta, cluster_sizes, factor_table, gather, mode_n_products, row_norms, small, unfold
 from .blocks import unfold_local
-from .tucker import LOCAL_CELLS, Tucker, converged, leading
+from .tucker import LOCAL_CELLS, MOST_ROWS, Tucker, converged, leading
 
 
 def slice_scores(t: TensorFrame, factors: Mapping[int, tuple[DataFrame, int]], mode: int) -> DataFrame:
@@ -81,7 +81,9 @@ def products_by_cluster(cells: DataFrame, names: Sequence[str], factors: Mapping
 
 
 def grams_by_cluster(cells: DataFrame, names: Sequence[str], mode: int, extents: Mapping[int, int]) -> dict[int, np.ndarray]:
-    """The mode's Gram matrix of every cluster: extent squared values each."""
+    """The mode's Gram matrix of every cluster: extent squared values each, together at most those of tucker.MOST_ROWS."""
+    if sum(n * n for n in extents.values()) > MOST_ROWS**2:
+        raise ValueError(f"the Gram matrices of mode {mode} of all clusters hold over {MOST_ROWS} squared values and are not fetched")
     others = ["cluster", *(c for m, c in enumerate(names) if m != mode)]
     left = cells.select(*others, F.col(names[mode]).alias("r"), F.col("v").alias("a"))
     right = cells.select(*others, F.col(names[mode]).alias("c"), F.col("v").alias("b"))

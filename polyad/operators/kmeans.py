@@ -1,16 +1,25 @@
-"""k-means of a tensor's slices along a mode."""
+"""k-means of a tensor's slices along a mode.
+
+Slices are dense rows while the k centroids hold at most CENTROID_VALUES values: the centroids are broadcast, and a round is one pass over
+the rows that shuffles only the tasks' sums by cluster and column. Longer centroids are never broadcast: slices and centroids are then cells,
+joined by column, and distances are summed by task before they are shuffled. Dense blocks become rows with one shuffle of their pieces.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import TensorFrame
+from ..frame import BlockFrame, TensorFrame
 from ..functions.index import squared_distance
 from ..storage import materialise
-from .relational import best, row_vectors, unfold
+from . import blocks
+from .relational import BROADCAST_CELLS, best, row_vectors, unfold
+
+#: All centroids together are broadcast up to so many values (16 MB).
+CENTROID_VALUES = BROADCAST_CELLS
 
 
 @dataclass(frozen=True)
@@ -39,32 +48,72 @@ class KMeans:
         found = rows.orderBy(order, "row").limit(self.k).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "row", "vec"))).alias("c"))
         return found.select(F.posexplode("c").alias("cluster", "c")).select("cluster", "c.vec")
 
-    def run(self, t: TensorFrame, mode: int = 0, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def run(self, t: TensorFrame | BlockFrame, mode: int = 0, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(slice, cluster) of every slice along the mode, and the centroids (cluster, vec)."""
-        return self.run_rows(row_vectors(t, mode), given)
+        if self.k * (t.meta.size // t.meta.shape[mode]) <= CENTROID_VALUES:
+            return self.run_rows(blocks.row_vectors(t, mode) if isinstance(t, BlockFrame) else row_vectors(t, mode), given)
+        cells = t.to_cells() if isinstance(t, BlockFrame) else t
+        return self.run_cells(unfold(cells.zero_filled(), mode), given)
 
     def run_rows(self, rows: DataFrame, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """The same for rows (row, vec) of equal length. The k centroids are broadcast; rows never move but for the assigned sums."""
+        """The same for rows (row, vec) of equal length. The centroids are broadcast, rows never move; centroids that are too long go by cells."""
         rows = materialise(rows, "kmeans-rows")
-        centroids, before, members = materialise(self.start(rows, given), "centroids"), None, None
+        centroids, before = materialise(self.start(rows, given), "centroids"), None
+        if (centroids.agg(F.sum(F.size("vec"))).first()[0] or 0) > CENTROID_VALUES:
+            return self.run_cells(rows.select("row", F.posexplode("vec").alias("col", "v")), centroids)
+        last = centroids
+        for _ in range(self.max_iter):
+            sums = materialise(_sums(assigned(rows, centroids)), "sums")
+            last, centroids = centroids, materialise(_moved(sums, centroids), "centroids")
+            now = sums.agg(F.sum("who")).first()[0]
+            if self.early_stop and now == before:
+                break
+            before = now
+        return materialise(assign(rows, last), "members"), centroids
+
+    def run_cells(self, cells: DataFrame, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The same for rows as cells (row, col, v) with no cell left out, without a broadcast of centroids and without an array as long as a row."""
+        cells = materialise(cells.select("row", F.col("col").cast("long").alias("col"), "v"), "kmeans-cells")
+        if self.init == "given" or given is not None:
+            if given is None:
+                raise ValueError("no centroids given")
+            first = given.select(F.col("cluster").cast("int").alias("cluster"), F.posexplode("vec").alias("col", "v"))
+        else:
+            order = F.col("row") if self.init == "first" else F.xxhash64(F.col("row"), F.lit(self.seed))
+            found = cells.select("row").distinct().orderBy(order, "row").limit(self.k).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "row"))).alias("c"))
+            chosen = found.select(F.posexplode("c").alias("cluster", "c")).select("cluster", "c.row")  # k rows
+            first = cells.join(F.broadcast(chosen), "row").select("cluster", "col", "v")
+        centroids = materialise(first.select("cluster", F.col("col").cast("long").alias("col"), "v"), "centroids")
+        members, before = None, None
         for _ in range(max(1, self.max_iter)):
-            members = materialise(assign(rows, centroids), "members")
+            members = materialise(nearest(_distances(cells, centroids, [])), "members")
             if self.max_iter == 0:
                 break
-            centroids = materialise(update(rows, members, centroids), "centroids")
-            now = members.agg(F.sum(F.xxhash64("slice", "cluster").cast("decimal(38,0)"))).first()[0]
+            means = cells.join(members, cells["row"] == members["slice"]).groupBy("cluster", "col").agg(F.avg("v").alias("mean"))
+            moved = centroids.join(means, ["cluster", "col"], "left").select("cluster", "col", F.coalesce("mean", "v").alias("v"))
+            centroids = materialise(moved, "centroids")
+            now = members.agg(F.sum(_who("slice"))).first()[0]
             if self.early_stop and now == before:
                 break
             before = now
-        return members, centroids
+        packed = centroids.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda c: c["v"]).alias("vec"))
+        return members, packed
+
+
+def _who(row: str) -> Column:
+    """A number for a row and its cluster; sums of them differ when a row moves."""
+    return F.xxhash64(row, "cluster").cast("decimal(38,0)")
+
+
+def _distances(cells: DataFrame, centroids: DataFrame, more: list[Column]) -> DataFrame:
+    """row, cluster, ..., d from cells (row, col, v) and centroid cells (cluster, col, v). Centroids are broadcast only if Catalyst finds them small."""
+    joined = cells.join(centroids.select("cluster", "col", F.col("v").alias("w")), "col")
+    return joined.groupBy("row", "cluster", *more).agg(F.sum((F.col("v") - F.col("w")) * (F.col("v") - F.col("w"))).alias("d"))
 
 
 def partial_distances(t: TensorFrame, centroids: DataFrame, mode: int, chunk: int) -> DataFrame:
     """row, cluster, chunk, d: squared distances over chunks of columns, from cells and centroid cells (cluster, col, v)."""
-    x = unfold(t.zero_filled(), mode)
-    c = centroids.select(F.col("cluster"), F.col("col"), F.col("v").alias("w"))
-    joined = x.join(F.broadcast(c), "col")
-    return joined.groupBy("row", "cluster", F.floor(F.col("col") / chunk).alias("chunk")).agg(F.sum((F.col("v") - F.col("w")) * (F.col("v") - F.col("w"))).alias("d"))
+    return _distances(unfold(t.zero_filled(), mode), centroids, [F.floor(F.col("col") / chunk).alias("chunk")])
 
 
 def full_distances(partial: DataFrame) -> DataFrame:
@@ -72,16 +121,21 @@ def full_distances(partial: DataFrame) -> DataFrame:
 
 
 def distances(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    """row, cluster, d: squared distances of all rows to all k centroids. k is a parameter, so the centroids are one small array."""
+    """row, cluster, d: squared distances of all rows to all k centroids, which are one array (of at most CENTROID_VALUES values in run_rows)."""
     packed = centroids.agg(F.array_sort(F.collect_list(F.struct("cluster", "vec"))).alias("cs"))
     return rows.join(F.broadcast(packed)).select("row", F.explode("cs").alias("c"), "vec").select("row", "c.cluster", squared_distance(F.col("vec"), F.col("c.vec")).alias("d"))
 
 
-def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    """slice, cluster of least distance, ties to the lowest cluster. Map-only: every row scans the broadcast array of centroids."""
+def assigned(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+    """row, vec, cluster of least distance, ties to the lowest cluster. Map-only: every row scans the broadcast array of centroids."""
     packed = centroids.agg(F.array_sort(F.collect_list(F.struct("cluster", "vec"))).alias("cs"))
     ranked = F.array_min(F.transform("cs", lambda c: F.struct(squared_distance(F.col("vec"), c["vec"]).alias("d"), c["cluster"].alias("cluster"))))
-    return rows.join(F.broadcast(packed)).select(F.col("row").alias("slice"), ranked["cluster"].cast("int").alias("cluster"))
+    return rows.join(F.broadcast(packed)).select("row", "vec", ranked["cluster"].cast("int").alias("cluster"))
+
+
+def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+    """slice, cluster of least distance."""
+    return assigned(rows, centroids).select(F.col("row").alias("slice"), "cluster")
 
 
 def nearest(d: DataFrame) -> DataFrame:
@@ -89,15 +143,25 @@ def nearest(d: DataFrame) -> DataFrame:
     return best(d, "row", [F.col("d"), F.col("cluster")]).select(F.col("row").alias("slice"), F.col("cluster").cast("int").alias("cluster"))
 
 
+def _sums(placed: DataFrame) -> DataFrame:
+    """cluster, col, mean, who of rows (row, vec, cluster): one shuffle, of the tasks' sums; who is set at the first column."""
+    spread = placed.select("row", "cluster", F.posexplode("vec").alias("col", "v"))
+    return spread.groupBy("cluster", "col").agg(F.avg("v").alias("mean"), F.sum(F.when(F.col("col") == 0, _who("row"))).alias("who"))
+
+
+def _moved(sums: DataFrame, centroids: DataFrame) -> DataFrame:
+    """The new centroids; an empty cluster keeps its own."""
+    new = sums.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "mean"))), lambda c: c["mean"]).alias("new"))
+    return centroids.join(new, "cluster", "left").select(F.col("cluster").cast("int").alias("cluster"), F.coalesce("new", "vec").alias("vec"))
+
+
 def update(rows: DataFrame, members: DataFrame, centroids: DataFrame) -> DataFrame:
     """Means of each cluster's rows; an empty cluster keeps its centroid."""
-    spread = rows.join(members, rows["row"] == members["slice"]).select("cluster", F.posexplode("vec").alias("col", "v"))
-    means = spread.groupBy("cluster", "col").agg(F.avg("v").alias("v"))
-    new = means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda c: c["v"]).alias("new"))
-    return centroids.join(new, "cluster", "left").select(F.col("cluster").cast("int").alias("cluster"), F.coalesce("new", "vec").alias("vec"))
+    return _moved(_sums(rows.join(members, rows["row"] == members["slice"])), centroids)
 
 
 def inertia(rows: DataFrame, members: DataFrame, centroids: DataFrame) -> float:
     """Sum of the squared distances of rows to their centroids."""
-    joined = rows.join(members, rows["row"] == members["slice"]).join(F.broadcast(centroids.withColumnRenamed("vec", "c")), "cluster")
-    return float(joined.agg(F.sum(squared_distance(F.col("vec"), F.col("c")))).first()[0] or 0.0)
+    packed = centroids.agg(F.map_from_entries(F.collect_list(F.struct("cluster", "vec"))).alias("cs"))
+    joined = rows.join(members, rows["row"] == members["slice"]).join(F.broadcast(packed))
+    return float(joined.agg(F.sum(squared_distance(F.col("vec"), F.col("cs")[F.col("cluster")]))).first()[0] or 0.0)

@@ -30,7 +30,9 @@ class Tucker:
 
 def _products(t: TensorFrame | BlockFrame, factors: Mapping[int, np.ndarray]) -> TensorFrame | BlockFrame:
     if isinstance(t, BlockFrame):
-        return blocks.mode_n_products(t, factors)
+        if sum(b.size for b in factors.values()) <= relational.BROADCAST_CELLS:
+            return blocks.mode_n_products(t, factors)
+        return _products(t.to_cells(), factors).to_blocks()  # factors too large for each task are joined by shuffle
     spark = t.spark
     return relational.mode_n_products(t, {m: (relational.factor_table(spark, b), b.shape[1]) for m, b in factors.items()})
 

@@ -13,12 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import TensorFrame
+from ..frame import BlockFrame
 from ..operators import clusterwise as cw
 from ..operators.kmeans import KMeans
 from ..operators.relational import cluster, cluster_meta, cluster_sizes, gather
 from ..operators.tucker import Tucker, hooi, reconstruct
 from ..sources import tensor_dir as td
+from ..storage import materialise
 
 
 def numbers(text: str) -> list[int]:
@@ -54,13 +55,14 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _load(spark: SparkSession, a) -> TensorFrame:
+def _load(spark: SparkSession, a) -> BlockFrame:
+    """Stored tensors are dense blocks, and stay blocks wherever an operator has kernels for them."""
     if a.RDDPartitionSize:
         spark.conf.set("spark.sql.files.maxPartitionBytes", a.RDDPartitionSize)
-    return td.read_tensor(spark, a.TensorPath)
+    return td.read_blocks(spark, a.TensorPath)
 
 
-def _modes(a, t: TensorFrame) -> tuple[list[int], list[int]]:
+def _modes(a, t: BlockFrame) -> tuple[list[int], list[int]]:
     modes = a.DeCompSeq or list(range(t.meta.ndim))
     if not a.CoreRank or len(a.CoreRank) != len(modes):
         raise SystemExit("--CoreRank needs a rank for each mode of --DeCompSeq")
@@ -72,20 +74,21 @@ def run_tucker(spark: SparkSession, a) -> Tucker:
     modes, ranks = _modes(a, t)
     model = hooi(t, ranks, modes, a.MaxIter, a.Epsilon)
     out = a.ApproxPath or a.OutputPath
-    td.write_tensor(model.core, f"{out}/core")
+    core = BlockFrame(materialise(model.core.df, "core"), model.core.meta)
+    td.write_blocks(core, f"{out}/core")
     td.write_bases(spark, f"{out}/basis", model.factors, t.meta.ndim)
     if a.DoReconst:
-        td.write_tensor(reconstruct(model.core, model.factors), a.ReconstPath or f"{out}/reconstruction")
-    return model
+        td.write_blocks(reconstruct(core, model.factors), a.ReconstPath or f"{out}/reconstruction")
+    return Tucker(core, model.factors, model.sweeps)
 
 
-def run_kmeans(spark: SparkSession, a, t: TensorFrame | None = None, max_iter: int | None = None):
+def run_kmeans(spark: SparkSession, a, t: BlockFrame | None = None, max_iter: int | None = None):
     """Returns the tensor, the members, and the clusters' cells; saves each cluster as a tensor directory."""
     t = t or _load(spark, a)
     given = td.read_centroids(spark, a.CentroidsPath.split(",")) if a.CentroidsInit == "sample" else None
     job = KMeans(a.CluNum, a.MaxIter if max_iter is None else max_iter, "given" if given is not None else a.CentroidsInit)
     members, _ = job.run(t, a.UnfoldDim, given)
-    cells = gather(t, members, a.UnfoldDim)
+    cells = gather(t.to_cells(), members, a.UnfoldDim)
     sizes = {r["cluster"]: r["size"] for r in cluster_sizes(members, a.CluNum).collect()}
     td.write_clusters({c: cluster(cells, c, cluster_meta(t.meta, a.UnfoldDim, n)) for c, n in sizes.items() if n}, f"{a.OutputPath}/clusters")
     td.write_cluster_cells(members, f"{a.OutputPath}/members")
@@ -103,7 +106,7 @@ def run_clusterwise(spark: SparkSession, a) -> cw.Clusterwise:
     if a.CorePath and a.BasisPath:
         factors = td.factors_from_parquet(spark, a.BasisPath)
         models = {c: Tucker(td.read_tensor(spark, f"{a.CorePath}/{c}"), factors[c], 0) for c in factors}
-    done = cw.refine(t, members, a.CluNum, ranks, a.UnfoldDim, modes, a.MaxIter, eps=a.Epsilon, models=models)
+    done = cw.refine(t.to_cells(), members, a.CluNum, ranks, a.UnfoldDim, modes, a.MaxIter, eps=a.Epsilon, models=models)
     out = a.FinalPath or f"{a.OutputPath}/final"
     td.factors_to_parquet(spark, f"{out}/basis", {c: m.factors for c, m in done.models.items()})
     td.write_clusters({c: m.core for c, m in done.models.items()}, f"{out}/core")

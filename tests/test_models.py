@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from polyad.frame import TensorFrame
+from polyad.operators import blocks as bl
 from polyad.operators import clusterwise as cw
 from polyad.operators import kmeans as km
 from polyad.operators import relational as rel
@@ -83,6 +84,55 @@ def test_kmeans_matches_numpy(spark, mode):
     assert np.allclose([r["vec"] for r in centroids.orderBy("cluster").collect()], centers)
 
 
+@pytest.mark.parametrize(("mode", "form"), [(0, "blocks"), (1, "long centroids, blocks"), (2, "long rows")])
+def test_kmeans_of_blocks_and_without_broadcast(spark, mode, form, monkeypatch):
+    """Dense blocks, and centroids above the bound, give what rows and broadcast centroids give; no centroids are broadcast then."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(7, 5, 4)) + np.arange(7)[:, None, None] % 3 * 4 + np.arange(5)[None, :, None] % 3 * 4
+    x[6] = 0
+    t = TensorFrame.from_numpy(spark, x, (3, 2, 4))
+    m = np.transpose(x, [mode, *range(mode + 1, 3), *range(mode)]).reshape(x.shape[mode], -1, order="F")
+    expected, centers = lloyd(m, m[:3].copy(), 4)
+    if "long" in form:
+        monkeypatch.setattr(km, "CENTROID_VALUES", 3)
+    job = km.KMeans(3, 4, early_stop=form == "blocks")
+    members, centroids = job.run_rows(rel.row_vectors(t, mode)) if form == "long rows" else job.run(t.to_blocks() if "blocks" in form else t, mode)
+    assert [r["cluster"] for r in members.orderBy("slice").collect()] == expected.tolist()
+    if form != "blocks":
+        assert np.allclose([r["vec"] for r in centroids.orderBy("cluster").collect()], centers)
+
+
+@pytest.mark.parametrize("mode", [0, 1, 2])
+def test_row_vectors_of_blocks(spark, mode):
+    x = np.random.default_rng(7).normal(size=(5, 4, 3))
+    x[3:] = 0
+    blocks = TensorFrame.from_numpy(spark, x, (3, 3, 2)).to_blocks()  # the second stripe's blocks are missing
+    expected = {r["row"]: r["vec"] for r in rel.row_vectors(blocks.to_cells(), mode).collect()}
+    assert {r["row"]: r["vec"] for r in bl.row_vectors(blocks, mode).collect()} == expected and len(expected) == x.shape[mode]
+
+
+def test_blocks_meet_large_factors_by_a_join(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(5, 4, 3))
+    b = np.random.default_rng(9).normal(size=(5, 2))
+    t = TensorFrame.from_numpy(spark, x, (3, 2, 2)).to_blocks()
+    monkeypatch.setattr(rel, "BROADCAST_CELLS", 4)
+    got = tk._products(t, {0: b})
+    assert got.meta.shape == (2, 4, 3) and np.allclose(got.to_cells().to_numpy(), np.tensordot(b.T, x, 1))
+
+
+@pytest.mark.parametrize("held", [1, 4_000_000])
+def test_gram_of_blocks_passes_sums_on(spark, monkeypatch, held):
+    x = np.random.default_rng(10).normal(size=(5, 4, 3))
+    monkeypatch.setattr(bl, "HELD", held)
+    assert np.allclose(tk.gram_matrix(TensorFrame.from_numpy(spark, x, (2, 2, 2)).to_blocks(), 0), x.reshape(5, -1) @ x.reshape(5, -1).T)
+
+
+def test_cluster_grams_are_checked_before_they_are_fetched(spark, monkeypatch):
+    monkeypatch.setattr(cw, "MOST_ROWS", 3)
+    with pytest.raises(ValueError, match="not fetched"):
+        cw.grams_by_cluster(None, ["i0"], 0, {0: 3, 1: 1})
+
+
 def test_kmeans_inits_empty_clusters_and_inertia(spark):
     x = np.array([[0.0, 0.0], [0.1, 0.0], [5.0, 5.0], [5.0, 5.1]])
     t = TensorFrame.from_numpy(spark, x)
