@@ -1,7 +1,7 @@
 """k-means of a tensor's slices along a mode.
 
 Slices are dense rows while the k centroids hold at most CENTROID_VALUES values: the centroids are broadcast, and a round is one pass over
-the rows that shuffles only the tasks' sums by cluster and column. Longer centroids are never broadcast: slices and centroids are then cells,
+the rows that shuffles only the tasks' sums by cluster and column. Longer centroids get no broadcast hint: slices and centroids are then cells,
 joined by column, and distances are summed by task before they are shuffled. Dense blocks become rows with one shuffle of their pieces.
 """
 
@@ -72,7 +72,7 @@ class KMeans:
         return materialise(assign(rows, last), "members"), centroids
 
     def run_cells(self, cells: DataFrame, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """The same for rows as cells (row, col, v) with no cell left out, without a broadcast of centroids and without an array as long as a row."""
+        """The same for rows as cells (row, col, v) with no cell left out, without a hint to broadcast centroids; only the returned centroids are arrays as long as a row."""
         cells = materialise(cells.select("row", F.col("col").cast("long").alias("col"), "v"), "kmeans-cells")
         if self.init == "given" or given is not None:
             if given is None:

@@ -86,7 +86,7 @@ def test_kmeans_matches_numpy(spark, mode):
 
 @pytest.mark.parametrize(("mode", "form"), [(0, "blocks"), (1, "long centroids, blocks"), (2, "long rows")])
 def test_kmeans_of_blocks_and_without_broadcast(spark, mode, form, monkeypatch):
-    """Dense blocks, and centroids above the bound, give what rows and broadcast centroids give; no centroids are broadcast then."""
+    """Dense blocks, and centroids above the bound, give what rows and broadcast centroids give."""
     rng = np.random.default_rng(6)
     x = rng.normal(size=(7, 5, 4)) + np.arange(7)[:, None, None] % 3 * 4 + np.arange(5)[None, :, None] % 3 * 4
     x[6] = 0
