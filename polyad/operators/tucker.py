@@ -59,7 +59,8 @@ def leading(gram: np.ndarray, rank: int, pad: bool = False) -> np.ndarray:
     """
     _, vectors = np.linalg.eigh(gram)
     out = vectors[:, ::-1][:, :rank].copy()
-    out *= np.sign(out[np.argmax(np.abs(out), axis=0), np.arange(out.shape[1])]) + (out.max(axis=0) == 0)
+    picked = out[np.argmax(np.abs(out), axis=0), np.arange(out.shape[1])]
+    out *= np.where(picked < 0, -1.0, 1.0)
     return np.hstack([out, np.zeros((len(out), rank - out.shape[1]))]) if pad and rank > out.shape[1] else out
 
 
