@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the tables of a data folder, and their SQL where SQL can express them."""
+"""Queries of the thirteen operators over the tables of a data folder, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -69,6 +69,12 @@ def op10_packing(spark, sf_dir):
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
