@@ -69,6 +69,12 @@ def op10_packing(spark, sf_dir):
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark, sf_dir):
+    from .lexical import lexical_query
+
+    return lexical_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_whitening(spark, sf_dir):
     from .whitening import whiten
 
@@ -80,6 +86,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import license, urlfilter, warc
+    from . import lexical, license, urlfilter, warc
 
-    return {"op1_warc": warc.SQL, "op4_license": license.SQL, "op7_url_filter": urlfilter.SQL}
+    return {"op1_warc": warc.SQL, "op4_license": license.SQL, "op7_url_filter": urlfilter.SQL, "op12_lexical": lexical.SQL}
