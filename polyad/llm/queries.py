@@ -69,6 +69,12 @@ def op10_packing(spark, sf_dir):
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_rlz(spark, sf_dir):
+    from .rlz import deduplicated
+
+    return deduplicated(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op12_lexical(spark, sf_dir):
     from .lexical import lexical_query
 
@@ -86,6 +92,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import lexical, license, urlfilter, warc
+    from . import lexical, license, rlz, urlfilter, warc
 
-    return {"op1_warc": warc.SQL, "op4_license": license.SQL, "op7_url_filter": urlfilter.SQL, "op12_lexical": lexical.SQL}
+    return {"op1_warc": warc.SQL, "op4_license": license.SQL, "op7_url_filter": urlfilter.SQL, "op11_rlz": rlz.SQL, "op12_lexical": lexical.SQL}
