@@ -17,7 +17,7 @@ Defined cases: a null or empty text has no terms: it is no candidate and is not
 as documents of their own; equal scores are ranked by id, a null id last; repeated queries (equal id and text) are one; equal ids with different texts are
 ranked apart; a text of any length is indexed whole; without documents or queries the result is empty; other columns are not read.
 
-Scale: two scans of the texts (one counts terms, one makes the index, map-only). A shard holds SHARD_BYTES of text or SHARD_DOCS documents, or one longer
+Scale: two scans of the texts (one counts terms, one makes the index, map-only). A shard holds `shard_bytes` of text or `shard_docs` documents, or one longer
 document. The index is stored and serves any queries: a search reads the rows of its terms and brings a shard's rows together, so no list is
 gathered over shards. Queries go out in blocks of `block_bytes`; a task returns k documents for each of them, and Spark ranks those with a limit for each group before and after the exchange.
 """
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, task_id, text_bytes
 
-SHARD_BYTES, SHARD_DOCS, QUERY_BLOCK, EMIT = 32 << 20, 1 << 16, 4 << 20, 8192
+SHARD_BYTES, SHARD_DOCS, QUERY_BLOCK, EMIT, COUNTED = 16 << 20, 1 << 16, 4 << 20, 8192, 1 << 20
 #: Postings of a block at most, and the cost of one more block in units of bound error (twice the largest impact).
 WIDTH, BLOCK_COST = 64, 2_000_000
 BEST = 50
@@ -120,8 +120,8 @@ def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 class Builder:
     """Gathers documents of one shard and turns them into rows of the index."""
 
-    def __init__(self, docs: int, total: int):
-        self.docs, self.total = docs, total
+    def __init__(self, docs: int, total: int, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS):
+        self.docs, self.total, self.shard_bytes, self.shard_docs = docs, total, shard_bytes, shard_docs
         self.clear()
 
     def clear(self) -> None:
@@ -142,7 +142,7 @@ class Builder:
 
     @property
     def full(self) -> bool:
-        return self.bytes >= SHARD_BYTES or len(self.ids) >= SHARD_DOCS
+        return self.bytes >= self.shard_bytes or len(self.ids) >= self.shard_docs
 
     def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("n", pa.int64()), *((c, pa.binary()) for c in ("docs", "tf", "first", "last", "stop", "most")), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
@@ -251,13 +251,13 @@ class LexicalIndex:
     total: int
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> LexicalIndex:
         given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
 
         def count(batches):
             for batch in batches:
                 column = batch.column("text")
-                for a, b in small_batches(column, SHARD_BYTES):
+                for a, b in small_batches(column, COUNTED):
                     n = count_terms(column.slice(a, b - a))
                     yield pa.RecordBatch.from_pydict({"docs": [int((n > 0).sum())], "total": [int(n.sum())]})
 
@@ -265,7 +265,7 @@ class LexicalIndex:
         held, total = sums["docs"] or 0, sums["total"] or 0
 
         def index(batches):
-            shard, made = Builder(held, total), 0
+            shard, made = Builder(held, total, shard_bytes, shard_docs), 0
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 for i, text in zip(ids, batch.column("text"), strict=True):

@@ -48,11 +48,10 @@ def frames(spark, docs, items, parts=3):
 
 
 @pytest.mark.parametrize(("shard_docs", "k", "block"), [(1 << 16, 50, 1 << 20), (17, 5, 40), (1, 50, 1 << 20)])
-def test_equals_brute_force(spark, monkeypatch, shard_docs, k, block):
-    monkeypatch.setattr(lx, "SHARD_DOCS", shard_docs)
+def test_equals_brute_force(spark, shard_docs, k, block):
     docs, items = corpus(120 if shard_docs < 100 else 400)
     d, q = frames(spark, docs, items)
-    got = lx.LexicalIndex.build(d).search(q, k=k, block_bytes=block).collect()
+    got = lx.LexicalIndex.build(d, shard_docs=shard_docs).search(q, k=k, block_bytes=block).collect()
     assert sorted(map(tuple, got), key=str) == brute(docs, items, k)
 
 
