@@ -15,7 +15,8 @@ times in a text is reported at its best place, the first of equals; empty tables
 
 Scale: texts are read once, map-only, whatever the number of items. Items are grouped, cut into blocks of about `block_bytes` by hash, and
 sent as a broadcast each; the driver holds one block at a time. A worker makes a block's index once and keeps the last two, so
-its memory is bounded by blocks and by the chunk of text; a benchmark of many blocks costs time, not memory.
+a benchmark of many blocks costs time, not memory. Bands are counted in steps of PAIRS while the text goes by, and places of one q-gram in
+an item count as runs, so memory is bounded by blocks, the chunk of text and PAIRS, however often a text or an item repeats itself.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .common import materialise, small_batches, text_bytes
 Q, RATE = 8, 0.10
 CHUNK, ITEM_BLOCK = 2 << 20, 4 << 20
 SLOT_BITS = 20
+#: Pairs of a text position and a band that are held at once, and windows whose verification is remembered.
+PAIRS, WINDOWS = 1 << 18, 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,10 +121,17 @@ class Index:
             owner.append(np.full(len(g), t, np.int64))
             place.append(np.arange(len(g), dtype=np.int64))
         codes = np.concatenate(codes) if codes else np.empty(0, np.uint64)
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.first, self.count = np.unique(codes[order], return_index=True, return_counts=True)
-        self.owner = np.concatenate(owner)[order] if owner else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.empty(0, np.int64)
+        order = np.argsort(codes, kind="stable")  # so by code, owner and place
+        owner = np.concatenate(owner)[order] if len(order) else np.empty(0, np.int64)
+        place = np.concatenate(place)[order] if len(order) else np.empty(0, np.int64)
+        self.codes, code = np.unique(codes[order], return_inverse=True)
+        # places of a q-gram in an item that lie at most half a band apart are one run: the bands that they reach are neighbours
+        pair = code * max(len(self.items), 1) + owner
+        new = np.append(True, (np.diff(pair) != 0) | (np.diff(place) > self.k[owner[1:]] + 1))[: len(pair)]
+        first = np.flatnonzero(new)
+        self.run_owner, self.run_low, self.run_high = owner[first], place[first], place[np.append(first[1:], len(place)) - 1] if len(first) else first
+        self.run_at, self.runs = np.unique(code[first], return_index=True)[1], np.bincount(code[first], minlength=len(self.codes))
+        self.pair, self.pair_places = np.unique(pair, return_counts=True)
         self.slots = np.zeros(1 << SLOT_BITS, bool)
         self.slots[self._slot(self.codes)] = True
 
@@ -162,50 +172,77 @@ class Index:
         at, where = at[same], where[same]
         if not len(at):
             return
-        n = self.count[where]
-        ends = np.cumsum(n)
-        source = np.arange(ends[-1]) + np.repeat(self.first[where] - (ends - n), n)
-        owner, p = self.owner[source], np.repeat(at, n)
-        half = self.k[owner] + 1
-        # shifted, so that diagonals are not negative
-        band = (p - self.place[source] + self.longest) // half
-        # a band's second half is the next one's first
-        wide = np.int64(len(data) + self.longest + 2)
-        key, count = np.unique(owner * wide + band, return_counts=True)
-        total = count.copy()
-        follows = np.flatnonzero(key[1:] == key[:-1] + 1)
-        total[follows] += count[follows + 1]
-        alone = np.setdiff1d(key - 1, key)  # bands of which only the second half has q-grams
-        key, total = np.concatenate([key, alone]), np.concatenate([total, count[np.searchsorted(key, alone + 1)]])
-        owners, bands = key // wide, key % wide
-        keep = (total >= self.bound[owners]) & (bands < wide - 1)
-        # a q-gram that recurs counts once on either side: so many different item places and text places are needed
-        base = owner * wide + band
-        key = np.sort((owners * wide + bands)[keep])
-        place, keep = self.place[source], np.ones(len(key), bool)
-        for side in (place, p):
-            pairs = []
-            for other in (base, base - 1):
-                i = np.minimum(np.searchsorted(key, other), max(len(key) - 1, 0))
-                of = np.flatnonzero(key[i] == other) if len(key) else np.empty(0, np.int64)
-                pairs.append(i[of] * wide + side[of])
-            distinct = np.unique(np.concatenate(pairs)) // wide
-            keep &= np.bincount(distinct, minlength=len(key)) >= self.bound[key // wide]
-        for t, b in zip((key[keep] // wide).tolist(), (key[keep] % wide).tolist(), strict=True):
-            k = int(self.k[t])
-            first = b * (k + 1) - self.longest  # diagonal in data
-            piece = max(0, int(np.searchsorted(begin, first + int(self.m[t]) // 2, "right")) - 1)
+        seen: dict = {}
+        for t, first in zip(*self._bands(at, where, len(data)), strict=True):
+            k, m = int(self.k[t]), int(self.m[t])
+            piece = max(0, int(np.searchsorted(begin, first + m // 2, "right")) - 1)
             lo, hi = int(begin[piece]), int(begin[piece]) + len(pieces[piece])
-            number, item = self.items[t]
-            text = data[lo:hi]
-            near = slice(max(0, first - lo), max(0, min(hi - lo, first - lo + 2 * (k + 1) + int(self.m[t]) + k)))
-            exact = text[near].tobytes().find(item.tobytes())
-            if exact >= 0:
-                found = (0, near.start + exact, near.start + exact + len(item))
-            else:
-                found = band_align(item, text, first - lo, 2 * (k + 1), k)
-            if found:
-                out.append((rows[piece], found[0], starts[piece] + found[1], starts[piece] + found[2], number))
+            # all that paths within the band can reach
+            a = min(max(lo, first), hi)
+            window = data[a : max(a, min(hi, first + 2 * (k + 1) + m + k))]
+            key = (t, a - first, window.tobytes())
+            if key not in seen:  # in a text that repeats itself, windows do too
+                if len(seen) >= WINDOWS:
+                    seen.clear()
+                seen[key] = self._verify(t, window, first - a)
+            if found := seen[key]:
+                out.append((rows[piece], found[0], starts[piece] + a - lo + found[1], starts[piece] + a - lo + found[2], self.items[t][0]))
+
+    def _verify(self, t: int, window: np.ndarray, first: int) -> tuple[int, int, int] | None:
+        item, k = self.items[t][1], int(self.k[t])
+        exact = window.tobytes().find(item.tobytes())
+        return (0, exact, exact + len(item)) if exact >= 0 else band_align(item, window, first, 2 * (k + 1), k)
+
+    def _bands(self, at: np.ndarray, where: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+        """Items and first diagonals of the bands that may hold an occurrence; at: text positions of q-grams that items have, where: their numbers.
+
+        Goes through the text in steps of about PAIRS (position, band) pairs and keeps counts of bands that later positions can still reach.
+        A position counts once for a band, whatever the number of item places there.
+        """
+        wide, ends = np.int64(size + self.longest + 4), np.cumsum(self.runs[where])
+        keys, counts, done, pos = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+        while pos < len(at):
+            stop = max(pos + 1, int(np.searchsorted(ends, (ends[pos - 1] if pos else 0) + PAIRS, "right")))
+            n = self.runs[where[pos:stop]]
+            run = _ranges(self.run_at[where[pos:stop]], n)
+            p, owner = np.repeat(at[pos:stop], n) + self.longest, self.run_owner[run]
+            half = self.k[owner] + 1
+            # band b has the diagonals from b * half, two halves wide, so a diagonal lies in two bands
+            low, high = np.maximum((p - self.run_high[run]) // half - 1, 0), (p - self.run_low[run]) // half
+            new, count = np.unique(np.repeat(owner, high - low + 1) * wide + _ranges(low, high - low + 1), return_counts=True)
+            keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, count]), len(keys)).astype(np.int64)
+            owner, band = keys // wide, keys % wide
+            enough = counts >= self.bound[owner]
+            over = (band + 2) * (self.k[owner] + 1) + self.m[owner] - self.longest <= at[stop] if stop < len(at) else np.ones(len(keys), bool)
+            done.append(keys[over & enough])
+            keys, counts, pos = keys[~over], counts[~over], stop
+        keys = np.concatenate(done) if done else keys
+        owner, first = keys // wide, keys % wide * (self.k[keys // wide] + 1) - self.longest
+        kept = self._held(at, where, owner, first)
+        return owner[kept].tolist(), first[kept].tolist()
+
+    def _held(self, at: np.ndarray, where: np.ndarray, owner: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether the q-grams in a band's stretch of text have enough places in its item."""
+        out, lo = np.zeros(len(owner), bool), np.searchsorted(at, first)
+        hi = np.searchsorted(at, first + 2 * (self.k[owner] + 1) + self.m[owner])
+        ends, pos, items = np.cumsum(hi - lo), 0, max(len(self.items), 1)
+        while pos < len(owner):
+            stop = max(pos + 1, int(np.searchsorted(ends, (ends[pos - 1] if pos else 0) + PAIRS, "right")))
+            n = hi[pos:stop] - lo[pos:stop]
+            codes = np.unique(np.repeat(np.arange(stop - pos), n) * len(self.codes) + where[_ranges(lo[pos:stop], n)])
+            band, code = codes // len(self.codes), codes % len(self.codes)
+            pair = code * items + owner[pos:stop][band]
+            i = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+            places = np.bincount(band, np.where(self.pair[i] == pair, self.pair_places[i], 0), stop - pos)
+            out[pos:stop] = places >= self.bound[owner[pos:stop]]
+            pos = stop
+        return out
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length says, one range after the other."""
+    return np.arange(lengths.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) if len(lengths) else np.empty(0, np.int64)
 
 
 def _inside(text: bytes, i: int) -> bool:

@@ -136,3 +136,47 @@ def test_blocks_hold_all_items(spark, items):
     bench = spark.createDataFrame(items + items[:2], "item_id long, text string")
     blocks = [b.value for b in dc.Items(bench, block_bytes=200).blocks]
     assert len(blocks) > 2 and sorted((i for b in blocks for i, _, n in b for _ in range(n)), key=str) == sorted((i for i, t in items + items[:2] if t), key=str)
+
+
+RULE = "-" * 80
+REPETITIVE = {
+    "item of one phrase": ("ab " * 500, "x " + "ab " * 20_000),
+    "longer item and text of one phrase": ("abc de " * 430, "abc de " * 17_000),
+    "rule in an item against dashes": (f"first line of words\n{RULE}\nsecond line of some other words", "-" * 100_000),
+    "the item amid dashes": (f"first line of words\n{RULE}\nsecond line of some other words", "-" * 50_000 + f" first line of wirds {RULE[3:]} second line of some other words " + "-" * 50_000),
+    "one letter": ("a" * 64, "a" * 30_000),
+    "item of one phrase, text with a break": ("na " * 40, ("na " * 39 + "stop ") * 400),
+    "no repeats in the item": ("the quick brown fox jumps over the lazy dog near the old mill", "the quick " * 5000),
+}
+
+
+@pytest.mark.parametrize("name", REPETITIVE)
+def test_repetitive_texts_and_items(name):
+    item, text = REPETITIVE[name]
+    got = dc.Finder([(1, item.encode())]).find([text.encode()])
+    want = brute(dc.normal(item.encode()), dc.normal(text.encode()))
+    assert (got == []) == (want is None)
+    if got:
+        assert got[0][2] == want and distance(dc.normal(item.encode()), dc.normal(text.encode())[got[0][3] : got[0][4]]) == want
+
+
+def test_memory_stays_bounded_on_repetitive_texts():
+    import tracemalloc
+
+    items = [(1, f"first line of words\n{RULE}\nsecond line of some other words".encode()), (2, b"ab " * 1000), (3, b"-" * 300)]
+    finder = dc.Finder(items)
+    for text, found in ((b"-" * (4 << 20), [3]), (b"ab " * 40_000, [2]), (b"=-" * (1 << 20), [])):
+        tracemalloc.start()
+        got = finder.find([text])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [g[1] for g in got] == found and peak < 500 << 20
+
+
+def test_small_steps_give_the_same(monkeypatch, items):
+    rng = random.Random(11)
+    kept = [(i, (t or "").encode()) for i, t in items]
+    texts = [(words(rng, 80) + " " + edited(rng, t, len(t) // 15) + " " + words(rng, 40)).encode() for _, t in items if t]
+    want = dc.Finder(kept).find(texts)
+    monkeypatch.setattr(dc, "PAIRS", 16)
+    assert want and dc.Finder(kept).find(texts) == want
