@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,6 +66,11 @@ class UrlFilter:
         a.make_automaton()
         return a
 
+    @cached_property
+    def labels(self) -> int:
+        """Labels of the longest host of a rule: no more of a URL's host are looked at."""
+        return max((rule.partition("/")[0].count(".") + 1 for rule, _ in self.rules), default=1)
+
     def by_host(self) -> dict[str, list[tuple[str, str, str]]]:
         """Rules of each host, the longest first."""
         out: dict[str, list[tuple[str, str, str]]] = {}
@@ -85,17 +91,13 @@ class UrlFilter:
         found = {t for e, t in automaton.iter(text) if not _word(text, e + 1) and not _word(text, e - len(t))}
         strict, soft = found.intersection(self.strict), found.intersection(self.soft)
         weight = float(sum(self.soft[t] for t in soft))
-        best, at = None, host
-        while host:
+        best, labels = None, host.rsplit(".", self.labels)[-self.labels :] if host else []
+        for at in (".".join(labels[i:]) for i in range(len(labels))):
             for p, rule, verdict in by_host.get(at, ()):
                 if path.startswith(p):
                     if best is None or len(rule) > len(best[0]):
                         best = (rule, verdict)
                     break
-            dot = at.find(".")
-            if dot < 0:
-                break
-            at = at[dot + 1 :]
         bad = bool(strict) or len(soft) >= self.min_soft and weight >= self.min_weight
         rule, verdict = best or (None, "block" if bad else "allow")
         return host, path, rule, verdict, len(strict), len(soft), weight

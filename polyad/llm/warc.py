@@ -15,7 +15,8 @@ and the others are revisits that refer to it; shorter payloads are always respon
 
 Defined cases: a null payload is empty; a null id or URL is written empty; the same row repeated gives the same record
 each time (equal ids share a type); where all ids of a group are null, all are responses; an empty table gives an empty
-archive; control characters in a URL are percent-encoded, so that they can't end a header line.
+archive; carriage returns and line feeds in a URL are percent-encoded, so that they can't end a header line. Nothing else ends one: other
+line separators of Unicode stand in a URL as they are, and what follows them is read as part of the URL.
 
 Scale: the payload bytes are shuffled once to be written, after equal ones in a task have become one (partial aggregation), so a payload
 that a third of the rows share costs a row per task, and once to be read. Records of one payload are dealt to shares of about SHARE
@@ -79,13 +80,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     Lengths and SHA-1 are computed from the payload that was joined to the header. A damaged archive raises.
     """
-    field = lambda name: F.regexp_extract("header", rf"(?m)^{name}: (.*?)\r?$", 1)
+    # (?d): a line feed alone ends a line
+    field = lambda name: F.regexp_extract("header", rf"(?dm)^{name}: (.*?)\r?$", 1)
     stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SHARE).cast("int") - 1)).alias("share"))
     joined = spark.read.parquet(f"{path}/headers").join(stored, ["digest", "share"], "left")
     whole = joined.select("*", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), field("WARC-Type").alias("record_type"))
     length = F.when(F.col("record_type") == "revisit", F.lit(0).cast("long")).otherwise(F.col("payload_bytes"))
     intact = (F.unhex(F.sha2("payload", 256)) == F.col("digest")) & (F.concat(F.lit("sha1:"), F.col("payload_digest")) == field("WARC-Payload-Digest")) & (length.cast("string") == field("Content-Length"))
-    refers = F.regexp_extract("header", r"(?m)^WARC-Refers-To: <urn:page:(-?\d+)>\r?$", 1)
+    refers = F.regexp_extract("header", r"(?dm)^WARC-Refers-To: <urn:page:(-?\d+)>\r?$", 1)
     size = F.when(F.coalesce(intact, F.lit(False)), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("record damaged")))
     return whole.select("page_id", "header", "payload", size.alias("payload_bytes"), "payload_digest", "record_type", F.when(refers != "", refers.cast("long")).alias("refers_to"))
 

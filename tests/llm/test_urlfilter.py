@@ -1,4 +1,5 @@
 import re
+import time
 
 import duckdb
 import pytest
@@ -73,3 +74,14 @@ def test_vocabulary_from_a_table(spark):
         uf.UrlFilter.from_table(terms, most=2)
     urls = spark.createDataFrame([("http://x.org/bad",), ("http://x.org/one-two",), ("http://x.org/one-one",), ("http://x.org/badly",)], "url string")
     assert [r["v"]["verdict"] for r in urls.select(f.column("url").alias("v")).collect()] == ["block", "block", "allow", "allow"]
+
+
+def test_hosts_of_very_many_labels():
+    f = uf.UrlFilter((*uf.RULES, ("b.a.a.a.a.org/", "block")))
+    a, hosts = f.automaton(), f.by_host()
+    many = "a." * 10**6
+    began = time.perf_counter()
+    assert f.judge(f"http://{many}www.example.com/en/", a, hosts)[2:4] == ("www.example.com/en/", "allow")
+    assert f.judge(f"http://{many}b.a.a.a.a.org/", a, hosts)[2:4] == ("b.a.a.a.a.org/", "block")
+    assert f.judge(f"http://{many}/", a, hosts)[2:4] == (None, "allow") and f.judge("http://./com/", a, hosts)[2:4] == (None, "allow")
+    assert time.perf_counter() - began < 4

@@ -24,6 +24,11 @@ def brute(rows):
 ROWS = [(1, "http://a/", BIG), (2, "http://b/", BIG), (3, None, "short"), (4, "x", "short"), (5, "n", None), (6, "e", ""), (7, "u\r\nInjected: 1", "a" * 999), (8, "u", "a" * 999), (9, "u", "a" * 1000), (9, "u", "a" * 1000), (10, "u", "a" * 1000), (None, "u", "a" * 1000), (11, "crlf", "x\r\n\r\ny\r\n\r\n"), (12, "long", "z" * 300_000)]
 
 
+ENDS = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\u2028", "\u2029", "%0A"]
+FORGED = ["WARC-Refers-To: <urn:page:5>", "Content-Length: 5", "WARC-Payload-Digest: sha1:0", "WARC-Type: revisit"]
+ROWS += [(100 + 10 * e + f, f"http://a/{end}{field}{end}", ("f" * 1200 if e % 2 else "g") + str(f % 2)) for e, end in enumerate(ENDS) for f, field in enumerate(FORGED)]
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     return spark.createDataFrame([(*r, "clash", "clash") for r in ROWS], SCHEMA)
