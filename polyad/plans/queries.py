@@ -95,12 +95,11 @@ SELECT CAST(mode AS INTEGER) AS mode, extent, CAST(block_extent AS BIGINT) AS bl
        CAST((extent - 1) % block_extent + 1 AS BIGINT) AS block_final FROM e"""
 )
 def tensor_header(spark, d):
-    """Extents from the data, through a written and re-read header."""
+    """Extents from the data, through a written header and the table of its lines."""
     top = b.qty3(spark, d).df.agg(F.max("i0"), F.max("i1"), F.max("i2")).first()
     path = shared_dir(spark, "header")
     td.write_header(spark, path, TensorMeta(tuple(x + 1 for x in top), (8, 4, 3)))
-    m = td.read_header(spark, path)
-    return spark.createDataFrame(list(zip(range(m.ndim), m.shape, m.block_shape, m.block_num, m.block_final, strict=True)), "mode int, extent long, block_extent long, block_num long, block_final long")
+    return td.header_table(spark, path)
 
 
 @query(f"WITH {T3} SELECT CAST(i0 // 8 AS INTEGER) AS b0, CAST(i1 // 4 AS INTEGER) AS b1, CAST(i2 // 3 AS INTEGER) AS b2, count(*) AS cells, sum(v) AS total FROM t GROUP BY ALL")
@@ -116,10 +115,11 @@ def block_linear_id(spark, d):
     return b.qty3(spark, d).with_blocks().select("i0", "i1", "i2", "block", "local")
 
 
-@query("SELECT id, id % 20 AS i0, id // 20 % 10 AS i1, id // 200 AS i2 FROM range(1400) r(id)")
+@query(f"WITH {T3} SELECT i0 + 20 * i1 + 200 * i2 AS id, i0, i1, i2, v FROM t")
 def linear_to_sub(spark, d):
-    at = spark.range(1400).select("id", *[c.alias(f"i{m}") for m, c in enumerate(sub_indices(F.col("id"), (20, 10, 7)))])
-    return at.where(linear(["i0", "i1", "i2"], (20, 10, 7)) == F.col("id"))
+    """Cells by their linear index, and from there back to the indices."""
+    cells = b.qty3(spark, d).df.select(linear(["i0", "i1", "i2"], (20, 10, 7)).alias("id"), "v")
+    return cells.select("id", *[c.alias(f"i{m}") for m, c in enumerate(sub_indices(F.col("id"), (20, 10, 7)))], "v")
 
 
 @query(SQL["tensor_build"])
@@ -134,11 +134,17 @@ def binary_roundtrip(spark, d):
     return td.read_tensor(spark, path).df
 
 
-@query(f"WITH {factor_sql('f', 20, 4)} SELECT CAST(0 AS INTEGER) AS mode, i, r, w AS v FROM f UNION ALL SELECT 1, 0, 0, 0.0 UNION ALL SELECT 2, i, r, CAST({BY} AS DOUBLE) FROM range(7) a(i) CROSS JOIN range(3) c(r)")
+_BY_LINE = "SELECT CAST(l_linenumber - 1 AS BIGINT) AS i, CAST(CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS BIGINT) AS r, sum(l_quantity) AS v FROM lineitem GROUP BY ALL"
+
+
+@query(f"WITH {M2}, u AS ({_BY_LINE}) SELECT CAST(0 AS INTEGER) AS mode, i0 AS i, i1 AS r, v FROM t UNION ALL SELECT 1, 0, 0, 0.0 UNION ALL SELECT 2, i, r, v FROM u")
 def basis_roundtrip(spark, d):
-    path = shared_dir(spark, "bases")
-    td.write_bases(spark, path, {0: _local(20, 4), 2: _local(7, 3)}, 3)
-    assert td.read_bases_header(spark, path) == ([20, 7], [4, 3])
+    """Two matrices of the data as the bases of modes 0 and 2, written and read back; mode 1 has none."""
+    path, q = shared_dir(spark, "bases"), b.qty4(spark, d)
+    by_part = rel.factor_matrix(b.mat2(spark, d).df.select(F.col("i0").alias("i"), F.col("i1").alias("r"), "v"), 20, 10)
+    by_line = rel.factor_matrix(q.df.groupBy(F.col("i2").alias("i"), F.col("i3").alias("r")).agg(F.sum("v").alias("v")), 7, 2)
+    td.write_bases(spark, path, {0: by_part, 2: by_line}, 3)
+    assert td.read_bases_header(spark, path) == ([20, 7], [10, 2])
     parts = [rel.factor_table(spark, m).select(F.lit(k).cast("int").alias("mode"), "i", "r", "v") for k, m in td.read_bases(spark, path).items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -338,6 +344,18 @@ def tucker_blocks_reconstruct(spark, d):
     return _rounded(tk.reconstruct(model.core, model.factors).to_cells())
 
 
+_SOME_EMPTY = "i0 NOT IN (3, 19) AND i1 <> 0 AND i2 <> 4"
+
+
+@query(f"WITH {T3} SELECT * FROM t WHERE {_SOME_EMPTY}")
+def tucker_empty_slice(spark, d):
+    """Slices without a cell in every mode: at full ranks nothing is lost, of cells or of blocks."""
+    t = b.qty3(spark, d)
+    t = TensorFrame(t.df.where(_SOME_EMPTY), t.meta)
+    model = tk.hooi(t.to_blocks(), t.meta.shape, max_iter=1)
+    return _rounded(tk.reconstruct(model.core, model.factors).to_cells())
+
+
 _IDENTITY = " UNION ALL ".join(f"SELECT CAST({m} AS INTEGER) AS mode, r, s, CAST(r = s AS DOUBLE) AS v FROM range({k}) a(r) CROSS JOIN range({k}) c(s)" for m, k in enumerate((5, 4, 3)))
 
 
@@ -396,18 +414,19 @@ def tucker_factors(spark, d):
     return out
 
 
-_UNIT = "CAST(CASE WHEN i = r THEN 1 ELSE 0 END AS DOUBLE)"
-_TURNED = "CAST(CASE WHEN i = r AND r = 0 THEN -1 WHEN r = 1 AND i = 1 THEN 0.5 WHEN i = r THEN 1 ELSE 0 END AS DOUBLE)"
+_UNITS = "SELECT i0 AS i, i1 AS r, v / sqrt(sum(v * v) OVER (PARTITION BY i1)) AS {v} FROM ({t})"
+_SOME = "SELECT l_partkey % 20 AS i0, l_suppkey % 10 AS i1, sum(l_quantity) AS v FROM lineitem WHERE l_linenumber {} GROUP BY ALL"
 
 
-@query(
-    f"""WITH f AS (SELECT i, r, {_UNIT} AS v FROM range(4) a(i) CROSS JOIN range(3) c(r)), g AS (SELECT i, r, {_TURNED} AS w FROM range(4) a(i) CROSS JOIN range(3) c(r))
-SELECT r, sum(v * w) AS cosine, abs(1 - abs(sum(v * w))) < 0.00005 AS converged FROM f JOIN g USING (i, r) GROUP BY r"""
-)
+@query(f"WITH f AS ({_UNITS.format(v='v', t=_SOME.format('<= 6'))}), g AS ({_UNITS.format(v='w', t=_SOME.format('<= 3'))}) SELECT r, round(sum(v * w), 8) AS cosine, abs(1 - abs(sum(v * w))) < 0.002 AS converged FROM f JOIN g USING (i, r) GROUP BY r")
 def basis_convergence(spark, d):
-    """Two fixed bases: one column turned round, one shortened, one the same."""
-    cells = spark.range(12).select(F.floor(F.col("id") / 3).cast("long").alias("i"), F.pmod("id", F.lit(3)).cast("long").alias("r"))
-    return tk.convergence_table(cells.withColumn("v", F.expr(_UNIT)), cells.withColumn("v", F.expr(_TURNED)), 5e-5)
+    """Columns of unit length from the first six and the first three line numbers of each order."""
+    t, parts = b.qty3(spark, d), []
+    for lines in (6, 3):
+        m = t.df.where(F.col("i2") < lines).groupBy(F.col("i0").alias("i"), F.col("i1").alias("r")).agg(F.sum("v").alias("v"))
+        norms = m.groupBy("r").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+        parts.append(m.join(norms, "r").select("i", "r", (F.col("v") / F.col("norm")).alias("v")))
+    return tk.convergence_table(*parts, 0.002).withColumn("cosine", F.round("cosine", 8))
 
 
 # k-means
@@ -498,15 +517,18 @@ def cluster_select(spark, d):
     return rel.cluster(rel.gather(t, _members(spark), 1), 1, t.meta.replace(1, 3)).df
 
 
-@query(f"WITH {_MEMBERS} SELECT CAST(k AS INTEGER) AS cluster, count(slice) AS size FROM range(4) a(k) LEFT JOIN m ON cluster = k GROUP BY ALL")
+_ASSIGNED = f"{T3}, {ROWS0}, {_lloyd(1)}"
+
+
+@query(f"WITH {_ASSIGNED} SELECT CAST(k AS INTEGER) AS cluster, count(slice) AS size FROM range(4) p(k) LEFT JOIN a0 ON cluster = k GROUP BY ALL")
 def cluster_sizes(spark, d):
-    """The fourth cluster is empty."""
-    return rel.cluster_sizes(_members(spark), 4)
+    """Sizes after one assignment to three centroids; the fourth cluster is empty."""
+    return rel.cluster_sizes(kmeans_assign(spark, d), 4)
 
 
-@query(f"WITH {_MEMBERS} SELECT cluster, list(slice ORDER BY slice) AS slices FROM m GROUP BY ALL")
+@query(f"WITH {_ASSIGNED} SELECT cluster, list(slice ORDER BY slice) AS slices FROM a0 GROUP BY ALL")
 def cluster_members(spark, d):
-    return rel.members_of(_members(spark))
+    return rel.members_of(kmeans_assign(spark, d))
 
 
 @query(SQL["cluster_gather"])

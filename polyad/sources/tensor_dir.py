@@ -115,6 +115,14 @@ def read_header(spark: SparkSession, path: str) -> TensorMeta:
     return TensorMeta.from_header([r["value"] for r in spark.read.text(f"{path}/header").limit(100).collect()])
 
 
+def header_table(spark: SparkSession, path: str) -> DataFrame:
+    """mode, extent, block_extent, block_num, block_final of a written header."""
+    lines = spark.read.text(f"{path}/header").select(F.split(F.trim("value"), r"\s+").alias("w")).select(F.col("w")[0].alias("name"), F.posexplode(F.split(F.col("w")[1], ",")).alias("mode", "n"))
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("n").cast("long")))
+    found = lines.where("name <> 'TensorDims'").groupBy("mode").agg(of("TensorRank").alias("extent"), of("BlockRank").alias("block_extent"), of("BlockNumber").alias("block_num"))
+    return found.withColumn("block_final", (F.col("extent") - 1) % F.col("block_extent") + 1)
+
+
 def write_lines(spark: SparkSession, path: str, lines: Sequence[str]) -> None:
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -63,6 +63,47 @@ def test_leading_and_convergence():
     assert tk.converged(a, -a, 1e-9) and not tk.converged(a, a[:, ::-1], 1e-9) and not tk.converged(a, a * np.nan, 1e-9)
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_leading_keeps_every_column_under_both_signs(monkeypatch, sign):
+    eigh = np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda g: (eigh(g)[0], sign * eigh(g)[1]))
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        m = rng.random((6, 20)) * (rng.random(6) < 0.6)[:, None]
+        out = tk.leading(m @ m.T, 6)
+        assert np.allclose(out.T @ out, np.eye(6)) and np.all(out[np.abs(out).argmax(axis=0), range(6)] > 0)
+    assert np.array_equal(tk.leading(np.diag([0.0, 3.0, 0.0]), 1), [[0], [1], [0]])
+
+
+def with_empty_slices(shape=(6, 5, 4), seed=4):
+    x = np.random.default_rng(seed).random(shape)
+    x[[1, 4]], x[:, 0], x[:, :, 3] = 0, 0, 0
+    return x
+
+
+@pytest.mark.parametrize("form", ["cells", "blocks"])
+@pytest.mark.parametrize("sign", [1, -1])
+def test_models_with_empty_slices_lose_nothing(spark, monkeypatch, form, sign):
+    eigh = np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda g: (eigh(g)[0], sign * eigh(g)[1]))
+    x = with_empty_slices()
+    t = TensorFrame.from_numpy(spark, x, (4, 2, 3))
+    t = t.to_blocks() if form == "blocks" else t
+    for m, f in tk.hosvd(t, x.shape).items():
+        assert np.allclose(f.T @ f, np.eye(x.shape[m]))
+    model = tk.hooi(t, (4, 4, 3), max_iter=2)
+    back = tk.reconstruct(model.core, model.factors)
+    assert np.allclose((back.to_cells() if form == "blocks" else back).to_numpy(), x)
+
+
+def test_models_of_clusters_with_empty_slices(spark):
+    x = with_empty_slices()
+    t = TensorFrame.from_numpy(spark, x)
+    members = spark.createDataFrame([(i, i % 2) for i in range(6)], "slice long, cluster int")
+    for c, model in cw.fit_models(t, members, 2, 0, [0, 1, 2], (3, 5, 4), 2, 1e-6).items():
+        assert np.allclose(tk.reconstruct(model.core, model.factors).to_numpy(), x[c::2])
+
+
 def lloyd(x, centers, rounds):
     for _ in range(rounds):
         d = ((x[:, None] - centers[None]) ** 2).sum(-1)
