@@ -119,6 +119,15 @@ class BlockFrame:
             stride = stride * extent
         return TensorFrame(spread.select(*out, "v"), self.meta)
 
+    def to_numpy(self) -> np.ndarray:
+        """For small tensors: fetches all blocks."""
+        out, found = np.zeros(self.meta.shape), self.df.select(*self.keys, "data").toArrow()
+        for i in range(len(found)):
+            key = [found.column(k)[i].as_py() for k in self.keys]
+            at = tuple(slice(*self.meta.block_range(m, b)) for m, b in enumerate(key))
+            out[at] = found.column("data")[i].values.to_numpy().reshape(self.meta.local_shape(key), order="F")
+        return out
+
     def lookup(self, block: Sequence[int]) -> DataFrame:
         """One block by its key: a filter that reaches a Parquet scan."""
         df = self.df

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from math import prod
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import TensorFrame
+from ..frame import BlockFrame, TensorFrame
 from ..functions.index import l2_norm
+from ..functions.index import modes as modes_of
 from ..storage import materialise
-from .relational import best, by_shrinkage, cluster, cluster_meta, cluster_sizes, factor_table, gather, mode_n_products, row_norms, small, unfold
 from .blocks import unfold_local
-from .tucker import LOCAL_CELLS, MOST_ROWS, Tucker, converged, leading
+from .clusters import ClusterCells, factor_tables, gathered, projected
+from .relational import best, by_shrinkage, cluster_sizes, mode_n_products, row_norms, small
+from .subspace import lists, right_vectors, tree_r
+from .tucker import LOCAL_CELLS, Tucker, converged, leading
 
 
 def slice_scores(t: TensorFrame, factors: Mapping[int, tuple[DataFrame, int]], mode: int) -> DataFrame:
@@ -25,21 +27,44 @@ def slice_scores(t: TensorFrame, factors: Mapping[int, tuple[DataFrame, int]], m
     return row_norms(mode_n_products(t, others, by_shrinkage(t.meta, {m: r for m, (_, r) in others.items()})), mode).select("row", F.col("norm").alias("score"))
 
 
-def dual_scores(t: TensorFrame, model: Tucker, mode: int) -> DataFrame:
-    """row, score: the projected slice, further projected on the row space of the core's mode-n matricization."""
-    spark = t.spark
-    factors = {m: (factor_table(spark, b), b.shape[1]) for m, b in model.factors.items() if m != mode}
-    core = unfold(model.core, mode)
-    matrix = np.zeros((model.core.meta.shape[mode], model.core.meta.size // model.core.meta.shape[mode]))
-    cells = core.toArrow()
-    matrix[np.asarray(cells["row"]), np.asarray(cells["col"])] = np.asarray(cells["v"])
-    _, s, basis = np.linalg.svd(matrix, full_matrices=False)
-    basis = basis[s > s.max(initial=0) * 1e-12] if len(s) else basis
-    right = factor_table(spark, basis.T)
-    projected = unfold(mode_n_products(t, factors), mode)
-    b = small(right, basis.size).select(F.col("i").alias("k"), F.col("r"), F.col("v").alias("w"))
-    coordinates = projected.join(b, F.col("col") == F.col("k")).groupBy("row", "r").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return coordinates.groupBy("row").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("score"))
+def dual_scores(t: TensorFrame | BlockFrame, models: Mapping[int, Tucker] | Tucker, mode: int) -> DataFrame:
+    """row, cluster, score: each slice projected on a model's bases, and further on the row space of its core's mode-n matricization M.
+
+    Of a model's core only a triangle reaches the driver, of a tall QR of the columns of M: M^T = Q R, and with the singular values S and
+    right vectors V of R the coordinates in the row space are those of P M^T V / S for the projected slices P. All models go through one plan,
+    and t is scanned once. For a single model: row, score.
+    """
+    one = isinstance(models, Tucker)
+    models = {0: models} if one else dict(models)
+    names, spark = modes_of(t.meta.ndim), t.df.sparkSession
+    others = [n for m, n in enumerate(names) if m != mode]
+    cores = None
+    for c, model in models.items():
+        core = model.core.to_cells() if isinstance(model.core, BlockFrame) else model.core
+        part = core.df.select(F.lit(c).cast("int").alias("cluster"), *others, F.col(names[mode]).alias("r"), F.col("v").alias("w"))
+        cores = part if cores is None else cores.unionByName(part)
+    cores, width = materialise(cores, "cores"), {c: m.core.meta.shape[mode] for c, m in models.items()}
+
+    def columns(batches):
+        for b in batches:
+            for c, at, v in zip(b.column("cluster").to_pylist(), b.column("at"), b.column("v"), strict=True):
+                x = np.zeros((1, width[c]))
+                x[0, at.values.to_numpy()] = v.values.to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), lists(x)], ["cluster", "x"])
+
+    packed = cores.groupBy("cluster", *others).agg(F.collect_list("r").alias("at"), F.collect_list("w").alias("v"))
+    triangles, turns = tree_r(packed.select("cluster", "at", "v").mapInArrow(columns, "cluster int, x array<double>")), {}
+    for c, n in width.items():
+        s, v = right_vectors(triangles.get(c), n)
+        turns[c] = v / s
+    turn = factor_tables(spark, turns).select(F.col("cluster").alias("tc"), F.col("i").alias("ti"), F.col("r").alias("q"), F.col("v").alias("tv"))
+    found = projected(t, {c: {m: b for m, b in model.factors.items() if m != mode} for c, model in models.items()})
+    met = found.cells().join(cores, ["cluster", *others])
+    inner = met.groupBy("cluster", F.col(names[mode]).alias("row"), "r").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    coordinates = inner.join(small(turn, sum(b.size for b in turns.values())), (F.col("cluster") == F.col("tc")) & (F.col("r") == F.col("ti")))
+    summed = coordinates.groupBy("row", "cluster", "q").agg(F.sum(F.col("v") * F.col("tv")).alias("v"))
+    out = summed.groupBy("row", "cluster").agg(l2_norm(F.col("v")).alias("score"))
+    return out.drop("cluster") if one else out
 
 
 def reassign(scores: DataFrame) -> DataFrame:
@@ -54,86 +79,31 @@ class Clusterwise:
     rounds: int
 
 
-def factor_tables(spark: SparkSession, factors: Mapping[int, np.ndarray]) -> DataFrame:
-    """cluster, i, r, v of a factor matrix for each cluster."""
-    parts = []
-    for c, b in factors.items():
-        i, r = np.divmod(np.arange(b.size), b.shape[1])
-        parts.append(pd.DataFrame({"cluster": np.full(b.size, c, np.int32), "i": i, "r": r, "v": b.reshape(-1)}))
-    return spark.createDataFrame(pd.concat(parts), "cluster int, i long, r long, v double")
-
+def _local_grams(held: ClusterCells, mode: int) -> dict[int, np.ndarray]:
+    """From fetched tensors, whose extents are known to be small."""
+    flat = {c: unfold_local(x, mode) for c, x in held.arrays().items()}
+    return {c: m @ m.T for c, m in flat.items()}
 
-def products_by_cluster(cells: DataFrame, names: Sequence[str], factors: Mapping[int, Mapping[int, np.ndarray]]) -> DataFrame:
-    """Products of all clusters' cells (cluster, i.., v) with their own factors (cluster to mode to matrix), a join per mode for all of them.
 
-    Cells without a cluster column meet every cluster's factors.
-    """
-    spark = cells.sparkSession
-    modes = sorted({m for f in factors.values() for m in f}, key=lambda m: (sum(f[m].shape[1] / f[m].shape[0] for f in factors.values()), m))
-    for m in modes:
-        table = factor_tables(spark, {c: f[m] for c, f in factors.items()})
-        b = small(table, sum(f[m].size for f in factors.values())).select(F.col("cluster").alias("bc"), F.col("i").alias("bi"), F.col("r").alias("br"), F.col("v").alias("bv"))
-        own = "cluster" in cells.columns
-        on = (F.col(names[m]) == F.col("bi")) & (F.col("cluster") == F.col("bc")) if own else F.col(names[m]) == F.col("bi")
-        kept = [F.col("br").alias(c) if j == m else F.col(c) for j, c in enumerate(names)]
-        cells = cells.join(b, on).groupBy(F.col("bc").alias("cluster"), *kept).agg(F.sum(F.col("v") * F.col("bv")).alias("v"))
-    return cells
-
-
-def grams_by_cluster(cells: DataFrame, names: Sequence[str], mode: int, extents: Mapping[int, int]) -> dict[int, np.ndarray]:
-    """The mode's Gram matrix of every cluster: extent squared values each, together at most those of tucker.MOST_ROWS."""
-    if sum(n * n for n in extents.values()) > MOST_ROWS**2:
-        raise ValueError(f"the Gram matrices of mode {mode} of all clusters hold over {MOST_ROWS} squared values and are not fetched")
-    others = ["cluster", *(c for m, c in enumerate(names) if m != mode)]
-    left = cells.select(*others, F.col(names[mode]).alias("r"), F.col("v").alias("a"))
-    right = cells.select(*others, F.col(names[mode]).alias("c"), F.col("v").alias("b"))
-    half = left.join(right, others).where("r <= c").groupBy("cluster", "r", "c").agg(F.sum(F.col("a") * F.col("b")).alias("v")).toArrow()
-    cluster_no, r, c, v = (np.asarray(half[k]) for k in ("cluster", "r", "c", "v"))
-    out = {k: np.zeros((n, n)) for k, n in extents.items()}
-    for k, g in out.items():
-        own = cluster_no == k
-        g[r[own], c[own]] = v[own]
-        g[c[own], r[own]] = v[own]
-    return out
-
-
-def local_grams(cells: DataFrame, names: Sequence[str], mode: int, shapes: Mapping[int, tuple[int, ...]]) -> dict[int, np.ndarray]:
-    """The same from fetched cells, for projections whose extents are known to be small."""
-    rows = cells.toArrow()
-    owner, at, v = np.asarray(rows["cluster"]), [np.asarray(rows[c]) for c in names], np.asarray(rows["v"])
-    out = {}
-    for c, shape in shapes.items():
-        x, own = np.zeros(shape), owner == c
-        x[tuple(a[own] for a in at)] = v[own]
-        m = unfold_local(x, mode)
-        out[c] = m @ m.T
-    return out
-
-
-def fit_models(t: TensorFrame, members: DataFrame, k: int, mode: int, modes: Sequence[int], ranks: Sequence[int], max_iter: int, eps: float, before: Mapping[int, Tucker] | None = None) -> dict[int, Tucker]:
+def fit_models(t: TensorFrame | BlockFrame, members: DataFrame, k: int, mode: int, modes: Sequence[int], ranks: Sequence[int], max_iter: int, eps: float, before: Mapping[int, Tucker] | None = None) -> dict[int, Tucker]:
     """A Tucker model for each cluster by HOOI; an empty cluster keeps the one before.
 
-    All clusters go through each step in one plan with a cluster column: the number of jobs doesn't grow with k. A
+    All clusters go through each step in one plan with a cluster column, on cells or on blocks as t is: the number of jobs doesn't grow with k. A
     cluster whose bases have converged keeps them while others go on.
     """
-    names = t.index
-    cells = materialise(gather(t, members, mode), "clusters")
     sizes = {r["cluster"]: r["size"] for r in cluster_sizes(members, k).collect() if r["size"]}  # k rows
-    metas = {c: cluster_meta(t.meta, mode, n) for c, n in sizes.items()}
-    rank = {c: {m: min(r, meta.shape[m]) for m, r in zip(modes, ranks, strict=True)} for c, meta in metas.items()}
+    held = gathered(t, members, mode, sizes).stored("clusters")
+    rank = {c: {m: min(r, meta.shape[m]) for m, r in zip(modes, ranks, strict=True)} for c, meta in held.metas.items()}
     bases: dict[int, dict[int, np.ndarray]] = {c: {} for c in sizes}
     for m in modes:
-        for c, g in grams_by_cluster(cells, names, m, {c: meta.shape[m] for c, meta in metas.items()}).items():
+        for c, g in held.grams(m).items():
             bases[c][m] = leading(g, rank[c][m])
     sweeps, going = dict.fromkeys(sizes, 0), set(sizes)
     for sweep in range(1, max_iter + 1):
         done = dict.fromkeys(going, True)
         for m in modes:
-            active = cells.where(F.col("cluster").isin(sorted(going)))
-            projected = products_by_cluster(active, names, {c: {o: bases[c][o] for o in modes if o != m} for c in going})
-            shapes = {c: tuple(rank[c][o] if o in rank[c] and o != m else e for o, e in enumerate(metas[c].shape)) for c in going}
-            small_enough = sum(map(prod, shapes.values())) <= LOCAL_CELLS
-            grams = local_grams(projected, names, m, shapes) if small_enough else grams_by_cluster(materialise(projected, "projected"), names, m, {c: metas[c].shape[m] for c in going})
+            left = held.only(going).products({c: {o: bases[c][o] for o in modes if o != m} for c in going})
+            grams = _local_grams(left, m) if left.size <= LOCAL_CELLS else left.stored("projected").grams(m)
             for c, g in grams.items():
                 new = leading(g, rank[c][m])
                 done[c] &= converged(new, bases[c][m], eps)
@@ -142,31 +112,21 @@ def fit_models(t: TensorFrame, members: DataFrame, k: int, mode: int, modes: Seq
         going -= {c for c in done if done[c]}
         if not going:
             break
-    cores = materialise(products_by_cluster(cells, names, bases), "cores")
-    models = {c: m for c, m in (before or {}).items() if c not in sizes}
-    for c, meta in metas.items():
-        for m in modes:
-            meta = meta.replace(m, rank[c][m])
-        models[c] = Tucker(cluster(cores, c, meta), bases[c], sweeps[c])
-    return models
+    cores = held.products(bases).stored("cores")
+    return {c: m for c, m in (before or {}).items() if c not in sizes} | {c: Tucker(cores.cluster(c), bases[c], sweeps[c]) for c in sizes}
 
 
-def score_table(t: TensorFrame, models: Mapping[int, Tucker], mode: int, dual: bool = False) -> DataFrame:
-    """row, cluster, score of every slice against every model; slices without a cell have no row."""
-    if not dual:
-        projected = products_by_cluster(t.df, t.index, {c: {m: b for m, b in model.factors.items() if m != mode} for c, model in models.items()})
-        return projected.groupBy(F.col(t.index[mode]).alias("row"), "cluster").agg(l2_norm(F.col("v")).alias("score"))
-    out = None
-    for c, model in models.items():
-        part = dual_scores(t, model, mode).select("row", F.lit(c).cast("int").alias("cluster"), "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+def score_table(t: TensorFrame | BlockFrame, models: Mapping[int, Tucker], mode: int, dual: bool = False) -> DataFrame:
+    """row, cluster, score of every slice against every model, from one scan of t; slices without a cell have no row."""
+    if dual:
+        return dual_scores(t, models, mode)
+    return projected(t, {c: {m: b for m, b in model.factors.items() if m != mode} for c, model in models.items()}).norms(mode)
 
 
-def refine(t: TensorFrame, members: DataFrame, k: int, ranks: Sequence[int], mode: int = 0, modes: Sequence[int] | None = None, max_iter: int = 5, sweeps: int = 20, eps: float = 5e-5, dual: bool = False, models: Mapping[int, Tucker] | None = None) -> Clusterwise:
+def refine(t: TensorFrame | BlockFrame, members: DataFrame, k: int, ranks: Sequence[int], mode: int = 0, modes: Sequence[int] | None = None, max_iter: int = 5, sweeps: int = 20, eps: float = 5e-5, dual: bool = False, models: Mapping[int, Tucker] | None = None) -> Clusterwise:
     """Alternate between giving slices to models and fitting the models, until no slice moves or max_iter rounds are done."""
     modes = list(modes) if modes is not None else list(range(t.meta.ndim))
-    t = TensorFrame(materialise(t.df, "clusterwise"), t.meta)
+    t = type(t)(materialise(t.df, "clusterwise"), t.meta)
     members = materialise(members.select("slice", F.col("cluster").cast("int").alias("cluster")), "members")
     models = dict(models) if models else fit_models(t, members, k, mode, modes, ranks, sweeps, eps)
     done = 0

@@ -1,8 +1,9 @@
 """k-means of a tensor's slices along a mode.
 
 Slices are dense rows while the k centroids hold at most CENTROID_VALUES values: the centroids are broadcast, and a round is one pass over
-the rows that shuffles only the tasks' sums by cluster and column. Longer centroids get no broadcast hint: slices and centroids are then cells,
-joined by column, and distances are summed by task before they are shuffled. Dense blocks become rows with one shuffle of their pieces.
+the rows that shuffles only the tasks' sums by cluster and column. Tensors in dense blocks, and those of longer centroids, go by stripes of
+columns (stripes.py), with centroids of any length. Rows (run_rows) of which the centroids are too long are cells, joined by column, whose distances are summed
+by task before they are shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..frame import BlockFrame, TensorFrame
 from ..functions.index import squared_distance
 from ..storage import materialise
-from . import blocks
+from . import stripes
 from .relational import BROADCAST_CELLS, best, row_vectors, unfold
 
 #: All centroids together are broadcast up to so many values (16 MB).
@@ -50,10 +51,25 @@ class KMeans:
 
     def run(self, t: TensorFrame | BlockFrame, mode: int = 0, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(slice, cluster) of every slice along the mode, and the centroids (cluster, vec)."""
+        if isinstance(t, BlockFrame):
+            return self.run_blocks(t, mode, given)
         if self.k * (t.meta.size // t.meta.shape[mode]) <= CENTROID_VALUES:
-            return self.run_rows(blocks.row_vectors(t, mode) if isinstance(t, BlockFrame) else row_vectors(t, mode), given)
-        cells = t.to_cells() if isinstance(t, BlockFrame) else t
-        return self.run_cells(unfold(cells.zero_filled(), mode), given)
+            return self.run_rows(row_vectors(t, mode), given)
+        return self.run_blocks(t.to_blocks(), mode, given)
+
+    def run_blocks(self, t: BlockFrame, mode: int = 0, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The same for dense blocks, with centroids of any length: by stripes of columns."""
+        spark, k = t.df.sparkSession, min(self.k, t.meta.shape[mode])
+        if self.init == "given":
+            if given is None:
+                raise ValueError("no centroids given")
+            k = self.k
+            start = stripes.from_vectors(t.meta, mode, given.select(F.col("cluster").cast("int").alias("cluster"), "vec"), k)
+        else:
+            order = F.col("id") if self.init == "first" else F.xxhash64(F.col("id"), F.lit(self.seed))
+            chosen = [r["id"] for r in spark.range(t.meta.shape[mode]).orderBy(order, "id").limit(k).collect()]  # k numbers
+            start = stripes.from_slices(t, mode, chosen)
+        return stripes.run(t, mode, start, k, self.max_iter, self.early_stop)
 
     def run_rows(self, rows: DataFrame, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """The same for rows (row, vec) of equal length. The centroids are broadcast, rows never move; centroids that are too long go by cells."""

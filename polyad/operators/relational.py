@@ -18,6 +18,8 @@ from ..functions.index import l2_norm, linear, modes, sub_indices
 from ..meta import TensorMeta
 
 BROADCAST_CELLS = 2_000_000
+#: Cells of a fibre whose products with each other one row of a Gram matrix's plan makes.
+TILE = 1024
 
 
 def factor_table(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
@@ -131,15 +133,40 @@ def project_onto(a: DataFrame, b: DataFrame, transpose: bool = False) -> DataFra
     return matmul(b, transposed(a) if transpose else a)
 
 
-def gram(t: TensorFrame, mode: int) -> DataFrame:
-    """r, c, v of the uncentred Gram matrix of the mode-n matricization, from the pairs r <= c of each fibre and their mirror."""
-    others = t.others(mode)
-    left = t.df.select(*others, F.col(f"i{mode}").alias("r"), F.col("v").alias("a"))
-    right = t.df.select(*others, F.col(f"i{mode}").alias("c"), F.col("v").alias("b"))
-    pairs = (left.join(right, others) if others else left.crossJoin(right)).where("r <= c")
-    half = pairs.groupBy("r", "c").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+def tile_pairs(cells: DataFrame, others: Sequence[str], mode_col: str, extent: int) -> DataFrame:
+    """others, xs, ys, one of pairs of tiles of a fibre: arrays of (i, v) of which all products are wanted, or with `one` (a tile with itself) those of xs <= ys.
+
+    A fibre (the cells that agree in `others`) of at most TILE cells is one tile. A longer one is dealt to tiles of about TILE cells, and each
+    pair of its tiles is a row with a key of its own, so a fibre that holds most of the tensor spreads over many tasks.
+    """
+    others = list(others)
+    cell = F.struct(F.col(mode_col).alias("i"), "v")
+    if extent <= TILE:
+        packs = cells.groupBy(*others).agg(F.collect_list(cell).alias("xs"))
+        return packs.select(*others, "xs", F.col("xs").alias("ys"), F.lit(True).alias("one"))
+    if others:
+        long = cells.groupBy(*others).count().where(F.col("count") > TILE).select(*others, F.ceil(F.col("count") / TILE).cast("int").alias("_tiles"))
+        dealt = cells.join(long, others, "left").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
+    else:
+        dealt = cells.withColumn("_tiles", F.lit(-(-extent // TILE)))
+    packs = dealt.groupBy(*others, "_tiles", F.pmod(F.xxhash64(mode_col), F.col("_tiles")).cast("int").alias("_own")).agg(F.collect_list(cell).alias("xs"))
+    sent = packs.select("*", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"))
+    keyed = sent.select(*others, F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "xs")
+    met = keyed.groupBy(*others, "_p", "_q").agg(F.max_by("xs", -F.col("_own")).alias("xs"), F.max_by("xs", "_own").alias("ys"), F.count("*").alias("_n"))  # two rows at most
+    return met.where("_p = _q OR _n = 2").select(*others, "xs", "ys", (F.col("_p") == F.col("_q")).alias("one"))
+
+
+def gram(t: TensorFrame, mode: int, by: Sequence[str] = ()) -> DataFrame:
+    """r, c, v of the uncentred Gram matrix of the mode-n matricization, from the pairs r <= c of each fibre and their mirror.
+
+    by: columns that keep apart several tensors in one table; a matrix for each. No join of the cells: fibres are packed, and products
+    are summed by task before they are shuffled.
+    """
+    pairs = tile_pairs(t.df, [*by, *t.others(mode)], f"i{mode}", t.meta.shape[mode])
+    spread = pairs.select(*by, "ys", "one", F.explode("xs").alias("x")).select(*by, "one", "x", F.explode("ys").alias("y")).where("NOT one OR x.i <= y.i")
+    half = spread.groupBy(*by, F.least("x.i", "y.i").alias("r"), F.greatest("x.i", "y.i").alias("c")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("v"))
     both = F.when(F.col("r") == F.col("c"), F.array(F.struct("r", "c"))).otherwise(F.array(F.struct("r", "c"), F.struct(F.col("c").alias("r"), F.col("r").alias("c"))))
-    return half.select(F.explode(both).alias("e"), "v").select("e.r", "e.c", "v")
+    return half.select(*by, F.explode(both).alias("e"), "v").select(*by, "e.r", "e.c", "v")
 
 
 # slices and clusters

@@ -1,4 +1,9 @@
-"""Tucker decomposition: HOSVD and alternating iteration (HOOI), reconstruction, and the convergence test."""
+"""Tucker decomposition: HOSVD and alternating iteration (HOOI), reconstruction, and the convergence test.
+
+A mode's basis comes from its Gram matrix while that has at most GRAM_CELLS cells. A longer mode's basis comes from a tall QR of the slices where they
+are short (as they are once the tensor is projected on the other bases), or else from block subspace iteration; it stays on the driver
+as an array up to FACTOR_VALUES values, and beyond that it is a table (subspace.Wide) from start to end.
+"""
 
 from __future__ import annotations
 
@@ -11,30 +16,40 @@ from pyspark.sql import functions as F
 
 from ..frame import BlockFrame, TensorFrame
 from ..storage import materialise
-from . import blocks, relational
+from . import blocks, relational, subspace
+from .subspace import Wide
 
-#: The largest Gram matrix that is fetched for its eigenvectors (rows).
-MOST_ROWS = 20_000
+#: Cells of the largest Gram matrix that is fetched for its eigenvectors (128 MB, three times that on the way), and of the largest factor that is fetched.
+GRAM_CELLS, FACTOR_VALUES = 16_000_000, 16_000_000
 #: Projections of at most so many cells (24 MB) are fetched whole, and their Gram matrix is made locally.
 LOCAL_CELLS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Tucker:
-    """core: cells (or blocks) of the core; factors: mode to an orthonormal extent x rank matrix; sweeps: 0 if it didn't converge."""
+    """core: cells (or blocks) of the core; factors: mode to an orthonormal extent x rank matrix (an array, or Wide beyond FACTOR_VALUES); sweeps: 0 if it didn't converge."""
 
     core: TensorFrame | BlockFrame
-    factors: dict[int, np.ndarray]
+    factors: dict[int, np.ndarray | Wide]
     sweeps: int
 
 
-def _products(t: TensorFrame | BlockFrame, factors: Mapping[int, np.ndarray]) -> TensorFrame | BlockFrame:
+def _cells(b: np.ndarray | Wide, spark, transpose: bool = False) -> DataFrame:
+    cells = b.table() if isinstance(b, Wide) else relational.factor_table(spark, b)
+    return relational.transposed(cells) if transpose else cells
+
+
+def _products(t: TensorFrame | BlockFrame, factors: Mapping[int, np.ndarray | Wide], transpose: bool = False) -> TensorFrame | BlockFrame:
+    """Products with the factors, or with transpose with what turns a core back."""
+    rank = {m: b.shape[0 if transpose else 1] for m, b in factors.items()}
     if isinstance(t, BlockFrame):
-        if sum(b.size for b in factors.values()) <= relational.BROADCAST_CELLS:
-            return blocks.mode_n_products(t, factors)
-        return _products(t.to_cells(), factors).to_blocks()  # factors too large for each task are joined by shuffle
-    spark = t.spark
-    return relational.mode_n_products(t, {m: (relational.factor_table(spark, b), b.shape[1]) for m, b in factors.items()})
+        if not any(isinstance(b, Wide) for b in factors.values()) and sum(b.size for b in factors.values()) <= relational.BROADCAST_CELLS:
+            return blocks.mode_n_products(t, {m: np.ascontiguousarray(b.T) if transpose else b for m, b in factors.items()})
+        # factors too large for each task meet the blocks by tiles
+        for m in relational.by_shrinkage(t.meta, rank):
+            t = blocks.tiled_product(t, m, _cells(factors[m], t.df.sparkSession, transpose), rank[m])
+        return t
+    return relational.mode_n_products(t, {m: (_cells(b, t.spark, transpose), rank[m]) for m, b in factors.items()})
 
 
 def gram_matrix(t: TensorFrame | BlockFrame, mode: int, local: int = 0) -> np.ndarray:
@@ -46,8 +61,8 @@ def gram_matrix(t: TensorFrame | BlockFrame, mode: int, local: int = 0) -> np.nd
     if t.meta.size <= local:
         m = blocks.unfold_local((t.to_cells() if isinstance(t, BlockFrame) else t).to_numpy(), mode)
         return m @ m.T
-    if n > MOST_ROWS:
-        raise ValueError(f"mode {mode} has {n} slices; the Gram matrix of over {MOST_ROWS} is not fetched")
+    if n * n > GRAM_CELLS:
+        raise ValueError(f"the Gram matrix of mode {mode} has {n} x {n} cells; over {GRAM_CELLS} are not fetched")
     cells = (blocks.gram if isinstance(t, BlockFrame) else relational.gram)(t, mode)
     return relational.factor_matrix(cells.select(F.col("r").alias("i"), F.col("c").alias("r"), "v"), n, n)
 
@@ -64,12 +79,27 @@ def leading(gram: np.ndarray, rank: int, pad: bool = False) -> np.ndarray:
     return np.hstack([out, np.zeros((len(out), rank - out.shape[1]))]) if pad and rank > out.shape[1] else out
 
 
-def extract_basis(t: TensorFrame | BlockFrame, mode: int, rank: int, pad: bool = False, local: int = 0) -> np.ndarray:
-    return leading(gram_matrix(t, mode, local), rank, pad)
-
-
-def converged(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+def extract_basis(t: TensorFrame | BlockFrame, mode: int, rank: int, pad: bool = False, local: int = 0) -> np.ndarray | Wide:
+    """The leading left singular vectors of the mode-n matricization, of a mode of any extent."""
+    n = t.meta.shape[mode]
+    if n * n <= GRAM_CELLS:
+        return leading(gram_matrix(t, mode, local), rank, pad)
+    width = t.meta.size // n
+    if width <= subspace.NARROW:
+        if isinstance(t, BlockFrame):
+            rows = blocks.row_vectors(t, mode).select(F.col("row").alias("k"), F.col("vec").alias("x"))
+        else:
+            rows = subspace.dense_rows(relational.unfold(t, mode), width)
+        found = subspace.by_columns(rows, n, rank, width)
+    else:
+        found = subspace.by_iteration(relational.unfold(t.to_cells() if isinstance(t, BlockFrame) else t, mode), n, rank)
+    return found.local() if found.size <= FACTOR_VALUES else found
+
+
+def converged(a: np.ndarray | Wide, b: np.ndarray | Wide, eps: float) -> bool:
     """Whether every column of a is that of b up to sign: |1 - |<a, b>|| < eps. Not a number is not converged."""
+    if isinstance(a, Wide) or isinstance(b, Wide):
+        return not convergence_table(_cells(a, a.rows.sparkSession), _cells(b, b.rows.sparkSession), eps).where("NOT converged OR isnan(cosine)").limit(1).count()
     return bool(np.all(np.abs(1 - np.abs((a * b).sum(axis=0))) < eps))
 
 
@@ -81,15 +111,23 @@ def _checked(t, modes: Sequence[int], ranks: Sequence[int]) -> dict[int, int]:
     return {m: min(r, t.meta.shape[m]) for m, r in zip(modes, ranks, strict=True)}
 
 
-def hosvd(t: TensorFrame | BlockFrame, ranks: Sequence[int], modes: Sequence[int] | None = None) -> dict[int, np.ndarray]:
+def hosvd(t: TensorFrame | BlockFrame, ranks: Sequence[int], modes: Sequence[int] | None = None) -> dict[int, np.ndarray | Wide]:
     """The leading eigenvectors of each mode's Gram matrix."""
     wanted = _checked(t, modes if modes is not None else range(t.meta.ndim), ranks)
     return {m: extract_basis(t, m, r) for m, r in wanted.items()}
 
 
-def random_bases(t: TensorFrame | BlockFrame, ranks: Mapping[int, int], seed: int) -> dict[int, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return {m: np.linalg.qr(rng.random((t.meta.shape[m], r)))[0] for m, r in ranks.items()}
+def random_bases(t: TensorFrame | BlockFrame, ranks: Mapping[int, int], seed: int) -> dict[int, np.ndarray | Wide]:
+    """Seeded orthonormal columns; those beyond FACTOR_VALUES values are made where they are stored."""
+    rng, out = np.random.default_rng(seed), {}
+    for m, r in ranks.items():
+        n = t.meta.shape[m]
+        if n * r <= FACTOR_VALUES:
+            out[m] = np.linalg.qr(rng.random((n, r)))[0]
+        else:
+            noise = [(F.xxhash64("id", F.lit(j), F.lit(seed)) / float(1 << 63)).alias(f"s{j}") for j in range(r)]
+            out[m] = subspace.by_columns(t.df.sparkSession.range(n).select(F.col("id").alias("k"), F.array(*noise).alias("x")), n, r, r)
+    return out
 
 
 def hooi(t: TensorFrame | BlockFrame, ranks: Sequence[int], modes: Sequence[int] | None = None, max_iter: int = 20, eps: float = 5e-5, init: str = "hosvd", seed: int = 0, keep: bool = True) -> Tucker:
@@ -97,7 +135,7 @@ def hooi(t: TensorFrame | BlockFrame, ranks: Sequence[int], modes: Sequence[int]
 
     Per sweep and mode, the tensor is projected on all other bases and the basis becomes the leading eigenvectors of what
     remains; it ends when every mode's basis has converged in a sweep. What reaches the driver per mode and sweep is one Gram
-    matrix, or a projection of at most LOCAL_CELLS cells. keep: write the input to shared storage first, since every sweep reads it once per mode.
+    matrix or triangle, or a projection of at most LOCAL_CELLS cells, and factors of at most FACTOR_VALUES values. keep: write the input to shared storage first, since every sweep reads it once per mode.
     """
     modes = list(modes) if modes is not None else list(range(t.meta.ndim))
     wanted = _checked(t, modes, ranks)
@@ -122,9 +160,15 @@ def hooi(t: TensorFrame | BlockFrame, ranks: Sequence[int], modes: Sequence[int]
     return Tucker(core, factors, sweeps)
 
 
-def reconstruct(core: TensorFrame | BlockFrame, factors: Mapping[int, np.ndarray]) -> TensorFrame | BlockFrame:
-    """Core times every factor: the approximation of the tensor. Lazy."""
-    return _products(core, {m: np.ascontiguousarray(b.T) for m, b in factors.items()})
+def reconstruct(core: TensorFrame | BlockFrame, factors: Mapping[int, np.ndarray | Wide]) -> TensorFrame | BlockFrame:
+    """Core times every factor: the approximation of the tensor.
+
+    A core in blocks that is small, with factors that are, is sent to the tasks, and each target block is made whole where it belongs: nothing is shuffled or
+    summed. Otherwise contributions of the core's cells or blocks are summed by target. Lazy, but for such a core, which is fetched.
+    """
+    if isinstance(core, BlockFrame) and core.meta.size <= relational.BROADCAST_CELLS and not any(isinstance(b, Wide) for b in factors.values()) and sum(b.size for b in factors.values()) <= relational.BROADCAST_CELLS:
+        return blocks.spread(core.df.sparkSession, core.to_numpy(), core.meta, factors)
+    return _products(core, factors, transpose=True)
 
 
 def convergence_table(a: DataFrame, b: DataFrame, eps: float) -> DataFrame:

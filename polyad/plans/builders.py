@@ -27,6 +27,20 @@ def mat2(spark: SparkSession, sf_dir: str) -> TensorFrame:
     return TensorFrame.build(table(spark, sf_dir, "lineitem"), ["l_partkey % 20", "l_suppkey % 10"], "l_quantity", TensorMeta((20, 10), (8, 4)))
 
 
+def by_order(spark: SparkSession, sf_dir: str) -> TensorFrame:
+    """Order x line number; ordered quantity. As many slices as the table's largest order number says."""
+    lines = table(spark, sf_dir, "lineitem")
+    n = (lines.agg(F.max("l_orderkey")).first()[0] or 0) + 1
+    return TensorFrame.build(lines, ["l_orderkey", "l_linenumber - 1"], "l_quantity", TensorMeta((n, 7), (4096, 7)))
+
+
+def by_part(spark: SparkSession, sf_dir: str) -> TensorFrame:
+    """Part x supplier group; ordered quantity."""
+    lines = table(spark, sf_dir, "lineitem")
+    n = (lines.agg(F.max("l_partkey")).first()[0] or 0) + 1
+    return TensorFrame.build(lines, ["l_partkey", "l_suppkey % 10"], "l_quantity", TensorMeta((n, 10), (4096, 4)))
+
+
 def evt3(spark: SparkSession, sf_dir: str) -> TensorFrame:
     """Day of month x event type x user group; events. Event types are numbered in alphabetical order."""
     events = table(spark, sf_dir, "events")

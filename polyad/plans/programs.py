@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..frame import BlockFrame
 from ..operators import clusterwise as cw
+from ..operators.clusters import gathered
 from ..operators.kmeans import KMeans
-from ..operators.relational import cluster, cluster_meta, cluster_sizes, gather
+from ..operators.relational import cluster_sizes
+from ..operators.subspace import Wide
 from ..operators.tucker import Tucker, hooi, reconstruct
 from ..sources import tensor_dir as td
 from ..storage import materialise
@@ -52,6 +54,7 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--BasisPath", default="")
             s.add_argument("--FinalPath", default="")
             s.add_argument("--KMeansIter", type=int, default=20)
+            s.add_argument("--Dual", type=int, default=0, help="score slices by the row spaces of the cores too")
     return p
 
 
@@ -76,23 +79,26 @@ def run_tucker(spark: SparkSession, a) -> Tucker:
     out = a.ApproxPath or a.OutputPath
     core = BlockFrame(materialise(model.core.df, "core"), model.core.meta)
     td.write_blocks(core, f"{out}/core")
-    td.write_bases(spark, f"{out}/basis", model.factors, t.meta.ndim)
+    td.write_bases(spark, f"{out}/basis", {m: b for m, b in model.factors.items() if not isinstance(b, Wide)}, t.meta.ndim)
+    for m, b in model.factors.items():
+        if isinstance(b, Wide):  # too large for one file
+            b.table().write.mode("overwrite").parquet(f"{out}/basis-{m}")
     if a.DoReconst:
         td.write_blocks(reconstruct(core, model.factors), a.ReconstPath or f"{out}/reconstruction")
     return Tucker(core, model.factors, model.sweeps)
 
 
 def run_kmeans(spark: SparkSession, a, t: BlockFrame | None = None, max_iter: int | None = None):
-    """Returns the tensor, the members, and the clusters' cells; saves each cluster as a tensor directory."""
+    """Returns the tensor, the members, and the clusters' blocks; saves each cluster as a tensor directory."""
     t = t or _load(spark, a)
     given = td.read_centroids(spark, a.CentroidsPath.split(",")) if a.CentroidsInit == "sample" else None
     job = KMeans(a.CluNum, a.MaxIter if max_iter is None else max_iter, "given" if given is not None else a.CentroidsInit)
     members, _ = job.run(t, a.UnfoldDim, given)
-    cells = gather(t.to_cells(), members, a.UnfoldDim)
     sizes = {r["cluster"]: r["size"] for r in cluster_sizes(members, a.CluNum).collect()}
-    td.write_clusters({c: cluster(cells, c, cluster_meta(t.meta, a.UnfoldDim, n)) for c, n in sizes.items() if n}, f"{a.OutputPath}/clusters")
+    held = gathered(t, members, a.UnfoldDim, sizes).stored("clusters")
+    td.write_clusters({c: held.cluster(c) for c in held.metas}, f"{a.OutputPath}/clusters")
     td.write_cluster_cells(members, f"{a.OutputPath}/members")
-    return t, members, cells
+    return t, members, held
 
 
 def run_clusterwise(spark: SparkSession, a) -> cw.Clusterwise:
@@ -105,8 +111,8 @@ def run_clusterwise(spark: SparkSession, a) -> cw.Clusterwise:
     models = None
     if a.CorePath and a.BasisPath:
         factors = td.factors_from_parquet(spark, a.BasisPath)
-        models = {c: Tucker(td.read_tensor(spark, f"{a.CorePath}/{c}"), factors[c], 0) for c in factors}
-    done = cw.refine(t.to_cells(), members, a.CluNum, ranks, a.UnfoldDim, modes, a.MaxIter, eps=a.Epsilon, models=models)
+        models = {c: Tucker(td.read_blocks(spark, f"{a.CorePath}/{c}"), factors[c], 0) for c in factors}
+    done = cw.refine(t, members, a.CluNum, ranks, a.UnfoldDim, modes, a.MaxIter, eps=a.Epsilon, dual=bool(a.Dual), models=models)
     out = a.FinalPath or f"{a.OutputPath}/final"
     td.factors_to_parquet(spark, f"{out}/basis", {c: m.factors for c, m in done.models.items()})
     td.write_clusters({c: m.core for c, m in done.models.items()}, f"{out}/core")

@@ -10,9 +10,11 @@ from ..frame import BlockFrame, TensorFrame
 from ..functions.index import linear, sub_indices
 from ..meta import TensorMeta
 from ..operators import blocks as bl
+from ..operators import clusters as cl
 from ..operators import clusterwise as cw
 from ..operators import kmeans as km
 from ..operators import relational as rel
+from ..operators import subspace
 from ..operators import tucker as tk
 from ..sources import tensor_dir as td
 from ..storage import shared_dir
@@ -486,6 +488,12 @@ def kmeans_lloyd_3(spark, d):
     return km.KMeans(3, 3, early_stop=False).run(b.qty3(spark, d), 0)[0]
 
 
+@query(SQL["kmeans_lloyd_3"])
+def kmeans_blocks(spark, d):
+    """The same rounds on dense blocks, by stripes of columns."""
+    return km.KMeans(3, 3, early_stop=False).run(b.qty3(spark, d).to_blocks(), 0)[0]
+
+
 @query(
     f"""WITH x AS (SELECT vec_id AS "row", unnest(range(64)) AS col, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
 f AS (SELECT DISTINCT "row", row_number() OVER (ORDER BY "row") - 1 AS k FROM (SELECT DISTINCT "row" FROM x)),
@@ -531,6 +539,13 @@ def cluster_members(spark, d):
     return rel.members_of(kmeans_assign(spark, d))
 
 
+@query(SQL["cluster_gather"])
+def cluster_gather_blocks(spark, d):
+    """The same from dense blocks, each cut to the grids of the clusters."""
+    t, m = b.qty3(spark, d).to_blocks(), _members(spark)
+    return cl.gathered(t, m, 0, {r["cluster"]: r["size"] for r in rel.cluster_sizes(m, 3).collect()}).cells()
+
+
 @query(SQL["cluster_gather"])
 def cluster_union(spark, d):
     """Clusters written as tensor directories of their own, read back and united."""
@@ -572,14 +587,67 @@ def slice_reassign(spark, d):
 @query("SELECT DISTINCT l_partkey % 20 AS slice, CAST(l_partkey % 20 * 7 % 3 AS INTEGER) AS cluster FROM lineitem WHERE l_suppkey % 10 % 3 = l_partkey % 20 * 7 % 3")
 def clusterwise_tucker(spark, d):
     """Clusters whose slices hold cells in different columns only, from a start with one slice of each cluster in the next one."""
+    return _apart(spark, d, lambda t: t)
+
+
+def _apart(spark, d, form, dual: bool = False):
     t = b.qty3(spark, d)
     apart = TensorFrame(t.df.where("i1 % 3 = i0 * 7 % 3"), t.meta)
     start = _members(spark).select("slice", F.when(F.col("slice").isin(4, 5, 6), (F.col("cluster") + 1) % 3).otherwise(F.col("cluster")).cast("int").alias("cluster"))
-    return cw.refine(apart, start, 3, (1, 1, 1), max_iter=2, sweeps=2).members.join(apart.df.select(F.col("i0").alias("slice")).distinct(), "slice", "left_semi")
+    return cw.refine(form(apart), start, 3, (1, 1, 1), max_iter=2, sweeps=2, dual=dual).members.join(apart.df.select(F.col("i0").alias("slice")).distinct(), "slice", "left_semi")
+
+
+@query(SQL["clusterwise_tucker"])
+def clusterwise_blocks(spark, d):
+    """The same on dense blocks, scored by the row spaces of the cores."""
+    return _apart(spark, d, lambda t: t.to_blocks(), dual=True)
 
 
-@query(f'WITH {T3} SELECT i0 AS "row", round(sqrt(sum(v * v)), 4) AS score FROM t GROUP BY ALL')
+@query(f'WITH {T3} SELECT i0 AS "row", CAST(i0 * 7 % 3 AS INTEGER) AS cluster, round(sqrt(sum(v * v)), 4) AS score FROM t WHERE i1 % 3 = i0 * 7 % 3 GROUP BY ALL')
 def dual_scores(spark, d):
-    """With bases of full rank nothing is lost in either projection: a slice's score is its norm."""
+    """Three models of full rank, whose slices hold cells in different columns only: a slice scores its norm with its own model, and nothing with the others."""
     t = b.qty3(spark, d)
-    return cw.dual_scores(t, tk.hooi(t, (20, 10, 7), max_iter=1), 0).select("row", F.round("score", 4).alias("score"))
+    apart = TensorFrame(t.df.where("i1 % 3 = i0 * 7 % 3"), t.meta)
+    models = cw.fit_models(apart, _members(spark), 3, 0, (0, 1, 2), (20, 10, 7), 1, 5e-5)
+    return cw.dual_scores(apart, models, 0).select("row", "cluster", F.round("score", 4).alias("score")).where("score > 0")
+
+
+# modes of many slices
+
+
+@query("SELECT l_orderkey AS i0, CAST(l_linenumber - 1 AS BIGINT) AS i1, sum(l_quantity) AS v FROM lineitem GROUP BY ALL")
+def basis_of_many_slices(spark, d):
+    """Orders by line number, whose Gram matrix is too large: the basis of the orders by a tall QR, and the matrix again from its projection."""
+    t = b.by_order(spark, d)
+    basis = subspace.by_columns(subspace.dense_rows(rel.unfold(t, 0), t.meta.shape[1]), t.meta.shape[0], t.meta.shape[1], t.meta.shape[1])
+    core = rel.mode_n_product(t, 0, basis.table(), basis.shape[1])
+    back = rel.mode_n_product(core, 0, rel.transposed(basis.table()), t.meta.shape[0])
+    return back.df.select("i0", "i1", F.round("v", 4).alias("v")).where("v <> 0")
+
+
+@query(SQL["tensor_build_matrix"])
+def basis_by_iteration(spark, d):
+    """Block subspace iteration for all ten directions, and the matrix again from its projection."""
+    t = b.mat2(spark, d)
+    basis = subspace.by_iteration(rel.unfold(t, 0), 20, 10)
+    core = rel.mode_n_product(t, 0, basis.table(), 10)
+    return rel.mode_n_product(core, 0, rel.transposed(basis.table()), 20).df.select("i0", "i1", F.round("v", 4).alias("v")).where("v <> 0")
+
+
+_PARTS = "t AS (SELECT l_partkey AS i0, l_suppkey % 10 AS i1, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+
+
+@query(f"WITH {_PARTS} SELECT a.i0 % 20 AS r, c.i0 % 20 AS c, sum(a.v * c.v) AS v FROM t a JOIN t c ON a.i1 = c.i1 GROUP BY ALL")
+def gram_tiles(spark, d):
+    """Fibres of thousands of parts, cut into tiles; the Gram matrix of the parts, summed by part groups."""
+    t = b.by_part(spark, d)
+    return rel.gram(t, 0).groupBy((F.col("r") % 20).alias("r"), (F.col("c") % 20).alias("c")).agg(F.sum("v").alias("v"))
+
+
+@query(SQL["mode_n_products"])
+def mode_n_products_tiles(spark, d):
+    """Products of blocks with factors that are tables of tiles."""
+    t = b.qty3(spark, d).to_blocks()
+    for m, r in ((0, 5), (1, 4), (2, 3)):
+        t = bl.tiled_product(t, m, b.integer_factor(spark, t.meta.shape[m], r), r)
+    return t.to_cells(zeros=True).df

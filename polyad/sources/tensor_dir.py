@@ -318,10 +318,10 @@ def factors_from_parquet(spark: SparkSession, path: str) -> dict[int, dict[int,
 # clusters
 
 
-def write_clusters(parts: Mapping[int, TensorFrame], path: str) -> None:
+def write_clusters(parts: Mapping[int, TensorFrame | BlockFrame], path: str) -> None:
     """A tensor directory for each cluster: <path>/<cluster>/."""
     for c, t in parts.items():
-        write_tensor(t, f"{path}/{c}")
+        write_blocks(t if isinstance(t, BlockFrame) else t.to_blocks(), f"{path}/{c}")
 
 
 def read_clusters(spark: SparkSession, path: str, k: int, mode: int, block: int | None = None) -> tuple[DataFrame, dict[int, TensorMeta]]:

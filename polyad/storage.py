@@ -52,6 +52,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a stored table. Frames that read it are of no use afterwards."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
+class Rounds:
+    """Stores the states of a loop: of each name the KEEP newest tables stay, an older one goes when the next one is written.
+
+    A state may be read until two newer ones of its name exist, which covers loops that look at the state before.
+    """
+
+    KEEP = 2
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_dir(self.spark, name)
+        store(df, path)
+        held = self.paths.setdefault(name, [])
+        held.append(path)
+        while len(held) > self.KEEP:
+            drop(self.spark, held.pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def free(self) -> None:
+        """Delete all states."""
+        for held in self.paths.values():
+            while held:
+                drop(self.spark, held.pop())
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all that this application has put into shared storage. Frames that read from there are of no use afterwards."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_base(spark))

@@ -3,6 +3,7 @@ import pytest
 
 from polyad.frame import TensorFrame
 from polyad.operators import blocks as bl
+from polyad.operators import clusters as cl
 from polyad.operators import clusterwise as cw
 from polyad.operators import kmeans as km
 from polyad.operators import relational as rel
@@ -169,7 +170,7 @@ def test_gram_of_blocks_passes_sums_on(spark, monkeypatch, held):
 
 
 def test_cluster_grams_are_checked_before_they_are_fetched(spark, monkeypatch):
-    monkeypatch.setattr(cw, "MOST_ROWS", 3)
+    monkeypatch.setattr(cl, "GRAM_CELLS", 9)
     with pytest.raises(ValueError, match="not fetched"):
         cw.grams_by_cluster(None, ["i0"], 0, {0: 3, 1: 1})
 

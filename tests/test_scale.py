@@ -1,0 +1,267 @@
+"""Forms for large data: long modes, hot fibres, tiles, stripes, all clusters at once, states of loops."""
+
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from polyad.frame import BlockFrame, TensorFrame
+from polyad.operators import blocks as bl
+from polyad.operators import clusters as cl
+from polyad.operators import clusterwise as cw
+from polyad.operators import relational as rel
+from polyad.operators import stripes as st
+from polyad.operators import subspace as sub
+from polyad.operators import tucker as tk
+from polyad.operators.kmeans import KMeans
+from polyad.storage import Rounds
+
+from .test_models import lloyd, low_rank
+
+
+def plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def same_space(a, b, atol=1e-8):
+    return np.allclose(a.T @ a, np.eye(a.shape[1]), atol=atol) and np.allclose(a @ (a.T @ b), b, atol=atol)
+
+
+def decaying(n, m, seed=0, rate=0.4):
+    rng = np.random.default_rng(seed)
+    u, v = (np.linalg.qr(rng.normal(size=(k, min(n, m))))[0] for k in (n, m))
+    return (u * rate ** np.arange(min(n, m))) @ v.T
+
+
+# bases
+
+
+@pytest.mark.parametrize("form", ["cells", "blocks"])
+def test_tall_qr_equals_the_gram_route(spark, monkeypatch, form):
+    x = decaying(60, 12).reshape(60, 4, 3)
+    t = TensorFrame.from_numpy(spark, x, (16, 3, 3))
+    t = t.to_blocks() if form == "blocks" else t
+    want = tk.extract_basis(t, 0, 5)
+    monkeypatch.setattr(tk, "GRAM_CELLS", 100)
+    got = tk.extract_basis(t, 0, 5)
+    assert same_space(got, want) and np.allclose(got, want, atol=1e-8)
+
+
+def test_iteration_equals_the_gram_route(spark, monkeypatch):
+    x = decaying(50, 40, seed=1)
+    x[[3, 20]] = 0
+    t = TensorFrame.from_numpy(spark, x)
+    want = tk.extract_basis(t, 0, 4)
+    monkeypatch.setattr(tk, "GRAM_CELLS", 100)
+    monkeypatch.setattr(sub, "NARROW", 10)
+    got = tk.extract_basis(t, 0, 4)
+    assert np.allclose(got, want, atol=1e-8) and np.array_equal(got[[3, 20]], np.zeros((2, 4)))
+
+
+def test_rank_above_that_of_the_matrix(spark):
+    x = np.outer(np.arange(1.0, 9), np.arange(3.0))
+    cells = rel.unfold(TensorFrame.from_numpy(spark, x), 0)
+    for got in (sub.by_iteration(cells, 8, 3).local(), sub.by_columns(sub.dense_rows(cells, 3), 8, 3, 3).local()):
+        assert np.allclose(got @ got.T @ x, x) and np.allclose(got[:, 1:], 0)
+    none = rel.unfold(TensorFrame.from_numpy(spark, np.zeros((4, 3))), 0)
+    assert not sub.by_iteration(none, 4, 2).local().any() and not sub.by_columns(sub.dense_rows(none, 3), 4, 2, 3).local().any()
+
+
+def test_a_mode_of_fifty_thousand_slices(spark):
+    n = 50_000
+    cells = spark.range(n * 3).select(F.floor(F.col("id") / 3).alias("i0"), F.pmod("id", F.lit(3)).alias("i1"), F.expr("cast((id * id + 3 * id) % 101 as double)").alias("v")).where("v <> 0")
+    t = TensorFrame(cells, tk.TensorFrame.from_numpy(spark, np.ones((1, 1))).meta.replace(0, n, 4096).replace(1, 3, 3))
+    i = np.arange(3 * n, dtype=np.int64)
+    x = ((i * i + 3 * i) % 101).astype(float).reshape(n, 3)
+    want = np.linalg.svd(x, full_matrices=False)[0][:, :2]
+    got = tk.extract_basis(t, 0, 2)
+    assert got.shape == (n, 2) and np.allclose(np.abs((got * want).sum(axis=0)), 1, atol=1e-10)
+
+
+@pytest.mark.parametrize("form", ["cells", "blocks"])
+def test_factors_that_stay_tables(spark, monkeypatch, form):
+    x = low_rank((9, 5, 4), (2, 2, 2), noise=0.001)
+    t = TensorFrame.from_numpy(spark, x, (4, 2, 3))
+    t = t.to_blocks() if form == "blocks" else t
+    energy = lambda m: float((m.core.to_numpy() ** 2).sum())
+    want = tk.hooi(t, (2, 2, 2), max_iter=3, eps=1e-6)
+    monkeypatch.setattr(tk, "GRAM_CELLS", 1)
+    monkeypatch.setattr(tk, "FACTOR_VALUES", 1)
+    got = tk.hooi(t, (2, 2, 2), max_iter=3, eps=1e-6)
+    assert all(isinstance(f, sub.Wide) for f in got.factors.values()) and np.isclose(energy(got), energy(want)) and got.sweeps == want.sweeps
+    back = tk.reconstruct(got.core, got.factors)
+    assert np.allclose(back.to_numpy(), tk.reconstruct(want.core, want.factors).to_numpy(), atol=1e-6)
+    assert all(b.shape == (e, 2) for b, e in zip(tk.random_bases(t, {0: 2, 1: 2}, 3).values(), (9, 5), strict=True))
+
+
+# Gram matrices
+
+
+def gram_of(entries, n):
+    out = np.zeros((n, n))
+    for r in entries.collect():
+        out[r["r"], r["c"]] = r["v"]
+    return out
+
+
+def test_a_fibre_with_most_of_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(rel, "TILE", 16)
+    n, rng = 400, np.random.default_rng(0)
+    x = np.zeros((n, 5))
+    x[:, 2] = rng.integers(1, 9, n)
+    x[rng.integers(0, n, 40), rng.integers(0, 5, 40)] = 3
+    t = TensorFrame.from_numpy(spark, x)
+    pairs = rel.tile_pairs(t.df, ["i1"], "i0", n)
+    sizes = pairs.select("i1", (F.size("xs") * F.size("ys")).alias("n")).toPandas()
+    assert sizes.n.max() < 50 * 50 and len(sizes[sizes.i1 == 2]) > 100  # no row does more than a small part
+    assert np.array_equal(gram_of(rel.gram(t, 0), n), x @ x.T)
+    assert "Cartesian" not in plan(rel.gram(t, 0)) and "NestedLoop" not in plan(rel.gram(t, 0))
+
+
+def test_gram_of_a_vector(spark, monkeypatch):
+    x = np.arange(1.0, 40)
+    for tile in (1024, 8):
+        monkeypatch.setattr(rel, "TILE", tile)
+        t = TensorFrame.from_numpy(spark, x, (7,))
+        assert np.array_equal(gram_of(rel.gram(t, 0), 39), np.outer(x, x)) and "Cartesian" not in plan(rel.gram(t, 0))
+    assert np.array_equal(gram_of(bl.gram(t.to_blocks(), 0), 39), np.outer(x, x))
+
+
+def test_block_fibres_in_groups(spark, monkeypatch):
+    x = np.random.default_rng(1).normal(size=(23, 4, 3))
+    t = TensorFrame.from_numpy(spark, x, (3, 4, 2), dense=True).to_blocks()
+    monkeypatch.setattr(bl, "HELD", 50)  # two blocks in a group
+    assert np.allclose(gram_of(bl.gram(t, 0), 23), x.reshape(23, -1) @ x.reshape(23, -1).T)
+
+
+# tiles and targets
+
+
+def test_tiles_equal_the_broadcast_route(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(7, 6, 5))
+    t = TensorFrame.from_numpy(spark, x, (3, 4, 2), dense=True).to_blocks()
+    factors = {m: np.random.default_rng(m).normal(size=(e, e - 2)) for m, e in enumerate(x.shape)}
+    want = tk._products(t, factors).to_numpy()
+    core = tk._products(t, factors)
+    back = tk.reconstruct(core, factors).to_numpy()
+    monkeypatch.setattr(rel, "BROADCAST_CELLS", 1)
+    assert np.allclose(tk._products(t, factors).to_numpy(), want) and np.allclose(tk.reconstruct(core, factors).to_numpy(), back)
+
+
+def test_reconstruction_by_target_block_moves_no_values(spark):
+    x = low_rank((6, 5, 4), (2, 2, 2), noise=0)
+    model = tk.hooi(TensorFrame.from_numpy(spark, x, (4, 2, 3)).to_blocks(), (2, 2), modes=(0, 2), max_iter=2)
+    back = tk.reconstruct(model.core, model.factors)
+    assert np.allclose(back.to_numpy(), x) and "Exchange" not in plan(back.df) and back.meta.block_shape == (4, 2, 3)
+
+
+# stripes
+
+
+def holey(spark, x, block):
+    """Blocks without those of zeros alone."""
+    t = TensorFrame.from_numpy(spark, x, block)
+    return BlockFrame(t.to_blocks().df, t.meta)
+
+
+@pytest.mark.parametrize("mode", [0, 1, 2])
+@pytest.mark.parametrize("init", ["first", "given"])
+def test_kmeans_by_stripes(spark, mode, init):
+    rng = np.random.default_rng(mode)
+    x = rng.integers(0, 9, size=(11, 9, 5)).astype(float)
+    x[:4, :, :2], x[8:] = 0, 0
+    m = bl.unfold_local(x, mode)
+    start = m[:3] if init == "first" else rng.integers(0, 9, size=(3, m.shape[1])).astype(float)
+    given = spark.createDataFrame([(c, v.tolist()) for c, v in enumerate(start)], "cluster int, vec array<double>") if init == "given" else None
+    members, centers = lloyd(m, start, 3)
+    got, found = KMeans(3, 3, init, early_stop=False).run(holey(spark, x, (4, 2, 3)), mode, given)
+    assert [r["cluster"] for r in got.orderBy("slice").collect()] == members.tolist()
+    assert np.allclose(np.array([r["vec"] for r in found.orderBy("cluster").collect()]), centers)
+
+
+def test_long_centroids_of_blocks_are_no_cells(spark, monkeypatch):
+    from polyad.operators import kmeans as km
+
+    monkeypatch.setattr(km, "CENTROID_VALUES", 1)
+    x = np.random.default_rng(0).normal(size=(6, 8)) + 5 * (np.arange(6)[:, None] % 2)
+    t = TensorFrame.from_numpy(spark, x, (2, 3)).to_blocks()
+    start = st.from_slices(t, 0, [0, 1])
+    assert not any(w in plan(st.assigned(t, 0, start, 2)) for w in ("posexplode", "Generate", "Cartesian"))
+    for form in (t, t.to_cells()):
+        members, _ = KMeans(2, 5).run(form, 0)
+        assert [r["cluster"] for r in members.orderBy("slice").collect()] == [0, 1, 0, 1, 0, 1]
+    assert KMeans(2, 0).run(t, 0)[0].count() == 6 and KMeans(9, 1).run(t, 0)[1].count() == 6
+
+
+# all clusters at once
+
+
+@pytest.mark.parametrize("mode", [0, 1])
+def test_gather_of_blocks(spark, mode):
+    x = np.random.default_rng(5).normal(size=(9, 7, 4))
+    t = TensorFrame.from_numpy(spark, x, (4, 3, 3), dense=True).to_blocks()
+    owner = [2, 0, 0, 2, 0, 2, 2, 0, 2][: x.shape[mode]]
+    members = spark.createDataFrame(list(enumerate(owner)), "slice long, cluster int")
+    held = cl.gathered(t, members, mode, {c: owner.count(c) for c in range(3)})
+    arrays = held.arrays()
+    assert set(arrays) == {0, 2}
+    for c, got in arrays.items():
+        own = [i for i, o in enumerate(owner) if o == c]
+        assert np.array_equal(got, np.take(x, own, axis=mode)) and np.array_equal(held.cluster(c).to_numpy(), got)
+
+
+def test_models_on_blocks_are_those_on_cells(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(8, 5, 4))
+    t = TensorFrame.from_numpy(spark, x, (3, 2, 4))
+    members = spark.createDataFrame([(i, i % 3) for i in range(8)], "slice long, cluster int")
+    want = cw.fit_models(t, members, 3, 0, (0, 1, 2), (2, 2, 2), 2, 1e-9)
+    for local in (tk.LOCAL_CELLS, 0):
+        monkeypatch.setattr(cw, "LOCAL_CELLS", local)
+        got = cw.fit_models(t.to_blocks(), members, 3, 0, (0, 1, 2), (2, 2, 2), 2, 1e-9)
+        for c in range(3):
+            assert np.allclose(got[c].core.to_numpy(), want[c].core.to_numpy(), atol=1e-6)
+            assert all(np.allclose(got[c].factors[m], want[c].factors[m], atol=1e-6) for m in range(3))
+    scores = lambda t, models, dual: sorted((r["row"], r["cluster"], round(r["score"], 6)) for r in cw.score_table(t, models, 0, dual).collect())
+    for dual in (False, True):
+        assert scores(t, want, dual) == scores(t.to_blocks(), got, dual)
+
+
+def test_number_of_jobs_does_not_grow_with_clusters(spark):
+    x = np.random.default_rng(4).normal(size=(12, 4, 3))
+    t = TensorFrame.from_numpy(spark, x, (3, 2, 3)).to_blocks()
+    sc, jobs = spark.sparkContext, []
+    for k in (2, 6):
+        members = spark.createDataFrame([(i, i % k) for i in range(12)], "slice long, cluster int")
+        sc.setJobGroup(f"k{k}", "")
+        cw.fit_models(t, members, k, 0, (0, 1, 2), (1, 1, 1), 1, 1e-9)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"k{k}")))
+    sc.setJobGroup("", "")
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_dual_scores_of_several_models(spark):
+    x = np.random.default_rng(6).normal(size=(9, 5, 4))
+    t = TensorFrame.from_numpy(spark, x)
+    members = spark.createDataFrame([(i, i % 3) for i in range(9)], "slice long, cluster int")
+    models = cw.fit_models(t, members, 3, 0, (0, 1, 2), (2, 3, 2), 2, 1e-9)
+    got = {(r["row"], r["cluster"]): r["score"] for r in cw.dual_scores(t, models, 0).collect()}
+    for c, model in models.items():
+        y = np.einsum("abc,bi,cj->aij", x, model.factors[1], model.factors[2]).reshape(9, -1)
+        basis = np.linalg.svd(model.core.to_numpy().reshape(2, -1), full_matrices=False)[2]
+        assert np.allclose([got[i, c] for i in range(9)], np.linalg.norm(y @ basis.T, axis=1))
+
+
+# states of loops
+
+
+def test_states_of_a_loop_are_freed(spark):
+    rounds, sizes = Rounds(spark), []
+    state = rounds.store(spark.range(1000), "state")
+    for _ in range(10):
+        state = rounds.store(state.select((F.col("id") + 1).alias("id")), "state")
+        folders = [p for p in rounds.paths["state"] if os.path.isdir(p.removeprefix("file:"))]
+        sizes.append(len(folders))
+    assert state.agg(F.min("id")).first()[0] == 10 and max(sizes) == Rounds.KEEP
+    rounds.free()
+    assert not rounds.paths["state"]
