@@ -129,7 +129,7 @@ class BlockFrame:
         return out
 
     def lookup(self, block: Sequence[int]) -> DataFrame:
-        """One block by its key: a filter that reaches a Parquet scan."""
+        """One block by its key: a filter that reaches a Parquet scan, and the files and records of a tensor directory."""
         df = self.df
         for k, b in zip(self.keys, block, strict=True):
             df = df.where(F.col(k) == b)

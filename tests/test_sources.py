@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from polyad.frame import TensorFrame
+from polyad.frame import BlockFrame, TensorFrame
 from polyad.meta import TensorMeta
 from polyad.plans import programs
 from polyad.sources import tensor_dir as td
@@ -42,6 +42,87 @@ def test_tensor_directory(spark, tmp_path, shape, block):
     assert np.array_equal(td.read_blocks(spark, f"file://{path}").to_cells().to_numpy(), 2 * x)
 
 
+class Counted:
+    """A file that counts what is read."""
+
+    def __init__(self, source):
+        self.source, self.reads = source, []
+
+    def seek(self, at):
+        self.source.seek(at)
+
+    def read(self, n):
+        self.reads.append(n)
+        return self.source.read(n)
+
+
+def test_a_lookup_opens_one_file_and_reads_one_record(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan
+
+    x = np.random.default_rng(0).normal(size=(12, 10))
+    path = f"{tmp_path}/t"
+    t = TensorFrame.from_numpy(spark, x, (2, 5)).to_blocks()
+    td.write_blocks(BlockFrame(t.df.repartition(6, "b0"), t.meta), path)
+    assert len(td.read_manifest(f"file://{path}")[1]) > 1
+
+    def reader(*filters):
+        out = td.FilteringReader(t.meta, f"file://{path}", 1 << 20)
+        return out, list(out.pushFilters(list(filters)))
+
+    one, left = reader(EqualTo(("b0",), 4), EqualTo(("b1",), 1), EqualTo(("data",), 1))
+    parts = one.partitions()
+    assert len(left) == 1 and len(parts) == 1 and len(parts[0].parts) == 1
+    file, size, start, stop = parts[0].parts[0]
+    fs, _ = td.open_fs(f"file://{path}")
+    with fs.open_input_file(file) as source:
+        counted = Counted(source)
+        got = list(td.read_records(counted, size, t.meta, start, stop, one.wanted, td._index(fs, file)))
+        assert counted.reads == [8 + 8 * 10] and np.array_equal(got[0][1].reshape(2, 5, order="F"), x[8:10, 5:])
+        # without the index, the indices of records before are read, and no cells but those wanted
+        counted = Counted(source)
+        assert len(list(td.read_records(counted, size, t.meta, wanted=one.wanted))) == 1 and sum(n > 8 for n in counted.reads) == 1
+    for filters, want in (((In(("b0",), (1, 3, 99)),), 4), ((GreaterThan(("b0",), 3), LessThan(("b1",), 1)), 2), ((EqualTo(("b0",), 77),), 0)):
+        some, _ = reader(*filters)
+        assert sum(b.num_rows for p in some.partitions() for b in some.read(p)) == want
+    back = td.read_blocks(spark, path)
+    assert [tuple(r)[:2] for r in back.lookup((4, 1)).collect()] == [(4, 1)] and back.stripe(0, 2).count() == 2 and back.edge(1).count() == 6
+
+
+def test_files_of_many_records_are_pruned_by_their_range(spark, tmp_path, monkeypatch):
+    meta, path = TensorMeta((400,), (1,)), f"{tmp_path}/t"
+    t = BlockFrame(spark.range(400).selectExpr("cast(id as int) as b0", "array(cast(id as double)) as data").repartitionByRange(2, "b0"), meta)
+    td.write_blocks(t, path)
+    assert all(e["ids"] is None for e in td.read_manifest(f"file://{path}")[1])
+    reader = td.FilteringReader(meta, f"file://{path}", 1 << 20)
+    assert reader.wanted.take(td.EqualTo(("b0",), 399)) and sum(len(p.parts) for p in reader.partitions()) == 1
+    assert td.read_blocks(spark, path).lookup((399,)).collect()[0]["data"] == [399.0]
+
+
+def test_a_failed_overwrite_leaves_the_old_tensor(spark, tmp_path):
+    x, path = np.arange(12.0).reshape(4, 3) + 1, f"{tmp_path}/t"
+    td.write_tensor(TensorFrame.from_numpy(spark, x, (2, 2)), path)
+    bad = TensorFrame.from_numpy(spark, -np.ones((6, 6)), (3, 3)).to_blocks()
+    broken = BlockFrame(bad.df.selectExpr("b0", "b1", "if(b0 = 1, array(1.0D), data) as data"), bad.meta)
+    with pytest.raises(Exception, match="cells"):
+        td.write_blocks(broken, path)
+    t = td.read_tensor(spark, path)
+    assert t.meta.shape == (4, 3) and np.array_equal(t.to_numpy(), x)
+    td.write_tensor(TensorFrame.from_numpy(spark, 3 * np.ones((6, 6)), (3, 3)), path)
+    assert np.array_equal(td.read_tensor(spark, path).to_numpy(), 3 * np.ones((6, 6)))
+    listed = {e["file"] for e in td.read_manifest(f"file://{path}")[1]}
+    assert {p.name for p in (tmp_path / "t/block").iterdir() if p.name.startswith("part-")} == listed
+
+
+def test_a_directory_without_a_manifest(spark, tmp_path):
+    x, path = np.arange(20.0).reshape(5, 4), tmp_path / "t"
+    td.write_tensor(TensorFrame.from_numpy(spark, x, (2, 4), dense=True), str(path))
+    for p in (path / "block").iterdir():
+        if p.name.startswith(("_", ".")):
+            p.unlink()
+    back = td.read_blocks(spark, str(path))
+    assert np.array_equal(back.to_cells().to_numpy(), x) and back.lookup((2, 0)).collect()[0]["data"] == x[4].tolist()
+
+
 def test_bases(spark, tmp_path):
     factors = {0: np.random.default_rng(0).random((4, 2)), 2: np.random.default_rng(1).random((3, 3))}
     td.write_bases(spark, f"{tmp_path}/b", factors, 3)
