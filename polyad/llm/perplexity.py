@@ -10,8 +10,9 @@ other occurrences, else every rare pair would be sure of itself. Documents outsi
 rejected. A line in 1 / words gives the expected score, another one the variance about it, as short texts scatter more; the limits
 are on the deviation in standard deviations. They come from the documents labelled good that pass the base rules and that `of_band`
 picks (half of them; the other half is left for measuring): their TAIL and 1 - TAIL quantiles, moved outward by MARGIN of their
-distance. A language with fewer than LEAST_GOOD such documents, and any call without labels, takes all its documents that pass: outside
-are those beyond both the quantiles and ROBUST interquartile deviations from the median.
+distance. A second band comes from all of a language's documents that pass: outside are those beyond both the quantiles and ROBUST interquartile
+deviations from the median. What holds lies between the two, by the number n of good documents: n^2 / (n^2 + HALF_GOOD^2) of the first one, and
+all of the second one without labels.
 
 Base rules: fewer than `min_words` words, or over `max_repeat` percent of the words in 5-word windows that recur in the text.
 
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import join_few, materialise, open_fs, put, shared_dir, text_bytes
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
-TAIL, MARGIN, LEAST_GOOD, ROBUST = 0.005, 0.05, 200, 4.0
+TAIL, MARGIN, HALF_GOOD, ROBUST = 0.005, 0.05, 75, 4.0
 #: Words that a task holds before it writes its chunks; keys in a group; bits of a key beyond the number of words, and at least.
 CHUNK_WORDS, GROUP, KEY_BITS, LEAST_BITS, WORD_BITS = 4 << 20, 1 << 20, 7, 38, 48
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
@@ -434,6 +435,11 @@ def _line(x: str, y: str, value: str, slope: str, only: str | None = None) -> li
     return [((sy - steep * sx) / n).alias(value), steep.alias(slope)]
 
 
+def label_weight(n_good):
+    """How much the band of the documents labelled good counts against that of all: from 0 without any towards 1, half at HALF_GOOD. For numbers and columns."""
+    return n_good * n_good / (n_good * n_good + HALF_GOOD * HALF_GOOD)
+
+
 def bands(scored: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Band of each language, from scored (id, slot, n_words, nll): slot, value and slope of the line in 1 / words, var and
     var_slope of the variance about it, and the limits low and high of the deviation over its square root."""
@@ -443,29 +449,32 @@ def bands(scored: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     else:
         good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).where(of_band("id")).distinct()
         at = at.join(good.withColumn("good", F.lit(True)), "id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
-    at = materialise(at.drop("id"), "perplexity-at")
-    # lines through all documents and through the good ones at once; then a language takes the latter if it has enough
-    sums = at.groupBy("slot").agg(F.count_if("good").alias("n_good"), F.struct(*_line("x", "y", "value", "slope")).alias("all"), F.struct(*_line("x", "y", "value", "slope", "good")).alias("some"))
-    by_label = F.col("n_good") >= LEAST_GOOD
-    lines = materialise(sums.select("slot", by_label.alias("by_label"), F.when(by_label, F.col("some")).otherwise(F.col("all")).alias("l")).select("slot", "by_label", "l.*"), "perplexity-lines")
+    # two bands of each language, of all its documents and of the good ones, go through the same steps as "all <slot>" and "good <slot>"
+    kinds = F.when(F.col("good"), F.array(F.lit("all"), F.lit("good"))).otherwise(F.array(F.lit("all")))
+    at = materialise(at.select("slot", "y", "x", F.explode(kinds).alias("kind")).select(F.concat_ws(" ", "kind", "slot").alias("band"), "y", "x"), "perplexity-at")
+    lines = materialise(at.groupBy("band").agg(F.count("*").alias("n"), *_line("x", "y", "value", "slope")), "perplexity-lines")
     r = F.col("y") - F.col("value") - F.col("slope") * F.col("x")
-    apart = join_few(at, lines, "slot").where(~F.col("by_label") | F.col("good"))
-    apart = materialise(apart.select("slot", "x", r.alias("r"), F.round(r * r / UNIT).cast("long").alias("rr")), "perplexity-apart")
-    spread = apart.groupBy("slot").agg(F.avg(F.col("rr").cast("decimal(38,0)")).cast("double").alias("flat"), *_line("x", "rr", "var", "var_slope"))
+    apart = materialise(join_few(at, lines, "band").select("band", "x", r.alias("r"), F.round(r * r / UNIT).cast("long").alias("rr")), "perplexity-apart")
+    spread = apart.groupBy("band").agg(F.avg(F.col("rr").cast("decimal(38,0)")).cast("double").alias("flat"), *_line("x", "rr", "var", "var_slope"))
     # a variance that falls below zero somewhere is no variance: the same for all lengths then
     fits = (F.col("var") > 0) & (F.col("var_slope") >= 0)
-    spread = materialise(spread.select("slot", F.greatest(F.when(fits, F.col("var")).otherwise(F.col("flat")), F.lit(1.0)).alias("var"), F.when(fits, F.col("var_slope")).otherwise(0.0).alias("var_slope")), "perplexity-spread")
+    spread = materialise(spread.select("band", F.greatest(F.when(fits, F.col("var")).otherwise(F.col("flat")), F.lit(1.0)).alias("var"), F.when(fits, F.col("var_slope")).otherwise(0.0).alias("var_slope")), "perplexity-spread")
     z = F.round(F.least(F.greatest(F.col("r") / F.sqrt(UNIT * (F.col("var") + F.col("var_slope") * F.col("x"))), F.lit(-50.0)), F.lit(50.0)), 3)
     # at most 100,001 values a language, so exact quantiles are bounded
-    counted = join_few(apart, spread, "slot").select("slot", z.alias("z")).groupBy("slot", "z").agg(F.count("*").alias("n"))
-    q = counted.groupBy("slot").agg(F.expr(f"percentile(z, array({TAIL}, 0.25D, 0.5D, 0.75D, {1 - TAIL}), n)").alias("q"))
-    q = lines.join(spread, "slot").join(q, "slot")
+    counted = join_few(apart, spread, "band").select("band", z.alias("z")).groupBy("band", "z").agg(F.count("*").alias("n"))
+    q = counted.groupBy("band").agg(F.expr(f"percentile(z, array({TAIL}, 0.25D, 0.5D, 0.75D, {1 - TAIL}), n)").alias("q"))
+    q = lines.join(spread, "band").join(q, "band").withColumns({"by_label": F.col("band").startswith("good "), "slot": F.expr("substr(band, instr(band, ' ') + 1)")})
     Q = lambda i: F.col("q")[i]
     wide, robust = MARGIN * (Q(4) - Q(0)), ROBUST * (Q(3) - Q(1)) / 1.349
     low = F.when(F.col("by_label"), Q(0) - wide).otherwise(F.least(Q(0), Q(2) - robust))
     high = F.when(F.col("by_label"), Q(4) + wide).otherwise(F.greatest(Q(4), Q(2) + robust))
+    names = ["value", "slope", "var", "var_slope", "low", "high"]
     # a language whose documents all score alike rejects none of them
-    return q.select("slot", "value", "slope", "var", "var_slope", (low - 0.001).alias("low"), (high + 0.001).alias("high"))
+    q = q.select("slot", "by_label", "n", *names[:4], (low - 0.001).alias("low"), (high + 0.001).alias("high"))
+    of = lambda name, label: F.max(F.when(F.col("by_label") == label, F.col(name)))
+    both = q.groupBy("slot").agg(F.coalesce(of("n", True), F.lit(0)).cast("double").alias("n"), *[of(c, label).alias(f"{c}_{label}") for c in names for label in (True, False)])
+    w = label_weight(F.col("n"))
+    return both.select("slot", *[(w * F.coalesce(f"{c}_True", F.lit(0.0)) + (1 - w) * F.col(f"{c}_False")).alias(c) for c in names])
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, labels: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ positions lie in exactly one such set, and the sets are closed under complement)
 list of one of 14 keys of 32 bits. Within a list the shared positional bytes of each pair are tallied, pairs with fewer
 than the guaranteed 5 are put aside, and the rest is verified by Hamming distance.
 
-A list of over LIST members is cut into blocks, and each pair of blocks is a list of its own, so no task holds more and no pair is
+A list of over LIST members, or of texts of over LIST_BYTES together, is cut into blocks, and each pair of blocks is a list of its own, so no task holds more and no pair is
 lost. A list yields a spanning forest of its links (found by a search that takes every member out of the rest as soon as it is reached),
 not all pairs; so its output is linear in its length, and so is its time where the members are close to each other. Links of
 different lists are joined into components by alternating large-star and small-star steps over tables.
@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Rounds
 from .common import join_skewed, materialise, text_bytes
 
 SEED, SHINGLE, BITS = 42, 3, 3
@@ -50,6 +51,8 @@ DEVIATIONS, SURE = 3.5, 1.0
 WORD_MEMO = 100_000
 #: Most members of a posting list that are compared in one place.
 LIST = 1 << 16
+#: Most bytes of texts in a list that are compared in one place (a single pair may have more).
+LIST_BYTES = 32 << 20
 SETS = [(a, b, c, a ^ b ^ c) for a in range(8) for b in range(a + 1, 8) for c in range(b + 1, 8) if a ^ b ^ c > c]
 
 
@@ -221,14 +224,14 @@ def part_links(sketches: np.ndarray, parts: np.ndarray, texts: list[bytes], leas
     return out
 
 
-def texts_of(used: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts (node, text) of the nodes in used, one for each."""
-    used = materialise(used.distinct(), "pair-nodes")
+def texts_of(used: DataFrame, texts: DataFrame, held: Rounds) -> DataFrame:
+    """The texts (node, text) of the nodes in used, one for each; stored in held."""
+    used = held.store(used.distinct(), "pair-nodes")
     # a broadcast bit map of at most 2^20 words keeps most other texts out of the shuffle
     word, bit = F.expr("shiftright(pmod(node, 67108864), 6)"), "cast(pmod(node, 64) as int)"
     words = used.groupBy(word.alias("__word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("__bits"))
     texts = texts.withColumn("__word", word).join(F.broadcast(words), "__word").where(f"shiftright(__bits, {bit}) & 1 = 1")
-    return materialise(texts.select("node", "text").dropDuplicates(["node"]).join(used, "node", "left_semi"), "pair-texts")
+    return held.store(texts.select("node", "text").dropDuplicates(["node"]).join(used, "node", "left_semi"), "pair-texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -243,10 +246,13 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
                 keep.append(total > 0 and shared >= similarity * total)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts)
+    held = Rounds(pairs.sparkSession)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, held)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
-    return materialise(both.select("a", "b", "one", "two").mapInArrow(apply, "a long, b long"), "sketch-links")
+    out = materialise(both.select("a", "b", "one", "two").mapInArrow(apply, "a long, b long"), "sketch-links")
+    held.free()
+    return out
 
 
 def sketch_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -259,10 +265,10 @@ def sketch_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILAR
     shared = rows.groupBy("set", "key").count().where("count > 1").drop("count")
     members = materialise(rows.join(shared, ["set", "key"]), "sketch-members")
 
-    def over(rows: DataFrame, work, schema: str, most: int | None = None) -> DataFrame:
+    def over(rows: DataFrame, work, schema: str, most: int | None = None, size: Column | None = None) -> DataFrame:
         """What work(names, members) gives for each list, its members sorted by name: lists of the same members give the same."""
         extra = [c for c in rows.columns if c not in ("node", "set", "key")]
-        lists = postings(rows.withColumnRenamed("node", "fp"), F.struct("fp", *extra), most).select("m.fp", *(f"m.{c}" for c in extra))
+        lists = postings(rows.withColumnRenamed("node", "fp"), F.struct("fp", *extra), most, size).select("m.fp", *(f"m.{c}" for c in extra))
 
         def apply(batches):
             for batch in batches:
@@ -285,20 +291,25 @@ def sketch_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILAR
     parts = nodes.select("node", "sketch").join(member, "node", "left").select("node", "sketch", F.coalesce("part", "node").alias("part"))
     members = members.join(parts, "node")
     left = over(members, lambda names, t, part: [(names[i],) for i in np.flatnonzero(unsettled(t, np.array(part), least))], "node long")
-    members = members.join(texts_of(left, texts), "node")
-    second = over(members, lambda names, t, part, text: [(names[i], names[j]) for i, j in part_links(t, np.array(part), text, least, similarity)], "a long, b long", max(2, LIST // 16))
-    return first.unionByName(materialise(second.distinct(), "sketch-links"))
+    held = Rounds(nodes.sparkSession)
+    members = members.join(texts_of(left, texts, held), "node")
+    second = over(members, lambda names, t, part, text: [(names[i], names[j]) for i, j in part_links(t, np.array(part), text, least, similarity)], "a long, b long", max(2, LIST // 16), F.length("text"))
+    second = materialise(second.distinct(), "sketch-links")
+    held.free()
+    return first.unionByName(second)
 
 
-def postings(rows: DataFrame, member: Column, most: int | None = None) -> DataFrame:
+def postings(rows: DataFrame, member: Column, most: int | None = None, size: Column | None = None) -> DataFrame:
     """Lists m of the members of rows with equal set and key (columns set, key, fp and what member needs), of two or more.
 
-    A longer list comes as the lists of all pairs of its blocks.
+    A list of over `most` members, or of members of over LIST_BYTES bytes (size: those of a row), comes as the lists of all pairs of its blocks.
     """
-    keys, most = ["set", "key"], most or LIST
-    long = materialise(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most), "long-lists")
+    keys, most, size = ["set", "key"], most or LIST, F.lit(0) if size is None else size
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum(size).alias("__bytes"))
+    long = materialise(counted.where((F.col("__n") > most) | ((F.col("__n") > 2) & (F.col("__bytes") > LIST_BYTES))), "long-lists")
     if not long.isEmpty():
-        blocks = F.ceil(F.col("__n") * 2 / most).cast("int")
+        # a block of no more than one member on average is of no use
+        blocks = F.least(F.ceil(F.greatest(F.col("__n") / most, F.col("__bytes") / LIST_BYTES) * 2), F.col("__n")).cast("int")
         own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
         rows = rows.join(long, keys, "left").withColumn("__pair", F.explode(F.coalesce(pairs, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
@@ -321,33 +332,34 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return lists.mapInArrow(apply, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, root) for all nodes of the edges (a, b): alternating large-star and small-star until nothing changes."""
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, root) for all nodes of the edges (a, b): alternating large-star and small-star until nothing changes.
+
+    The steps settle after about log(nodes)^2 rounds at most; a table goes when it is no longer read.
+    """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    edges = materialise(edges.select(high.alias("a"), low.alias("b")).where("a <> b").distinct(), name)
+    held = Rounds(edges.sparkSession)
+    edges = held.store(edges.select(high.alias("a"), low.alias("b")).where("a <> b").distinct(), name)
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    before = state(edges)
-    for _ in range(rounds if before[0] else 0):
+    before, settled = state(edges), False
+    while before[0] and not settled:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # stored, so that the join has an exchange of its own on either side, and a hub's rows can be dealt to several tasks
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
+        least = held.store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.where("a <> b").distinct(), name)
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        large = held.store(large.where("a <> b").distinct(), f"{name}-large")
+        least = held.store(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = materialise(small.where("a <> b").distinct(), name)
+        edges = held.store(small.where("a <> b").distinct(), name)
         after = state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        if before[0]:
-            raise RuntimeError("components did not settle")
+        before, settled = after, after == before
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    out = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), name)
+    held.free()
+    return out
 
 
 def classes(marked: DataFrame, bits: int = BITS, id_col: str = "doc_id", fp_col: str = "fp", sketch_col: str | None = None, similarity: float = SIMILARITY, text_col: str = "text", node_col: str = "node") -> DataFrame:

@@ -64,20 +64,23 @@ def brute_nll(texts):
 def brute_kept(scored, labels=None):
     """doc_id: whether inside the band; scored: (doc_id, n_words, nll) of one language that pass the base rules."""
     good = [r for r in scored if labels is not None and r[0] in labels]
-    by_label = len(good) >= px.LEAST_GOOD
-    of = good if by_label else scored
-    x, y = np.array([1 / r[1] for r in of]), np.array([r[2] for r in of])
     fit = lambda x, y: np.polyfit(x, y, 1) if np.ptp(x) else (0.0, y.mean())
-    slope, value = fit(x, y)
-    r = y - value - slope * x
-    steep, flat = fit(x, r * r)
-    if not (flat > 0 and steep >= 0):
-        steep, flat = 0.0, (r * r).mean()
-    z = lambda x, y: (y - value - slope * x) / np.sqrt(flat + steep * x)
-    q = np.quantile(z(x, y), [px.TAIL, 0.25, 0.5, 0.75, 1 - px.TAIL])
-    far = px.ROBUST * (q[3] - q[1]) / 1.349
-    low, high = (q[0] - px.MARGIN * (q[4] - q[0]), q[4] + px.MARGIN * (q[4] - q[0])) if by_label else (min(q[0], q[2] - far), max(q[4], q[2] + far))
-    return {d: (bool(low <= z(1 / n, s) <= high), min(abs(z(1 / n, s) - low), abs(z(1 / n, s) - high))) for d, n, s in scored}
+
+    def band(of, by_label):
+        x, y = np.array([1 / r[1] for r in of]), np.array([r[2] for r in of])
+        slope, value = fit(x, y)
+        r = y - value - slope * x
+        steep, flat = fit(x, r * r)
+        if not (flat > 0 and steep >= 0):
+            steep, flat = 0.0, (r * r).mean()
+        q = np.quantile(r / np.sqrt(flat + steep * x), [px.TAIL, 0.25, 0.5, 0.75, 1 - px.TAIL])
+        far, wide = px.ROBUST * (q[3] - q[1]) / 1.349, px.MARGIN * (q[4] - q[0])
+        return np.array([value, slope, flat, steep, *((q[0] - wide, q[4] + wide) if by_label else (min(q[0], q[2] - far), max(q[4], q[2] + far)))])
+
+    w = len(good) ** 2 / (len(good) ** 2 + px.HALF_GOOD**2)
+    value, slope, flat, steep, low, high = (w * band(good, True) if good else 0) + (1 - w) * band(scored, False)
+    z = lambda n, s: (s - value - slope / n) / np.sqrt(flat + steep / n)
+    return {d: (bool(low <= z(n, s) <= high), min(abs(z(n, s) - low), abs(z(n, s) - high))) for d, n, s in scored}
 
 
 def test_codec():

@@ -105,9 +105,10 @@ def test_documents_table(spark, sf):
     assert got == {d: (f"{f:016x}", c) for (d, f), c in zip(rows, brute_components(rows), strict=True)}
 
 
-@pytest.mark.parametrize("most", [1 << 16, 3])
-def test_sketches_link_near_copies_and_nothing_else(spark, most, monkeypatch):
+@pytest.mark.parametrize(("most", "most_bytes"), [(1 << 16, 1 << 25), (3, 1 << 25), (1 << 16, 3000)])
+def test_sketches_link_near_copies_and_nothing_else(spark, most, most_bytes, monkeypatch):
     monkeypatch.setattr(sh, "LIST", most)
+    monkeypatch.setattr(sh, "LIST_BYTES", most_bytes)
     rng = random.Random(2)
     vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
     rows, source = [], {}
@@ -189,3 +190,13 @@ def test_texts_of_one_fingerprint_keep_their_own_links(spark, monkeypatch):
     marks = spark.createDataFrame([(d, t, fps[t.encode()], sh.sketch(t.encode()), d) for d, t in rows], "doc_id long, text string, fp long, sketch binary, node long")
     got = sh.classes(marks, sketch_col="sketch").collect()
     assert {r["component_id"] for r in got} == {0} and len(got) == 5
+
+
+def test_lists_are_cut_by_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sh, "LIST_BYTES", 1000)
+    rows = spark.createDataFrame([(i, 1, 1, "x" * 100) for i in range(60)] + [(100 + i, 1, 2, "x" * 900) for i in range(2)], "fp long, set int, key int, text string")
+    lists = [[m["fp"] for m in r["m"]] for r in sh.postings(rows, F.struct("fp", "text"), size=F.length("text")).collect()]
+    met = {frozenset((a, b)) for m in lists for a in m for b in m if a < b}
+    assert met == {frozenset((a, b)) for a in range(60) for b in range(a)} | {frozenset((100, 101))} and max(map(len, lists)) <= 25
