@@ -19,7 +19,7 @@ from ..functions.index import block_modes, modes
 from ..meta import TensorMeta
 from ..storage import materialise
 from . import blocks, relational
-from .tucker import GRAM_CELLS
+from .tucker import GRAM_CELLS, extract_basis, leading
 
 
 def factor_tables(spark: SparkSession, factors: Mapping[int, np.ndarray]) -> DataFrame:
@@ -106,6 +106,12 @@ class ClusterCells:
         _checked(extents, mode)
         return _matrices(self._entries(mode), extents)
 
+    def bases(self, mode: int, ranks: Mapping[int, int]) -> dict[int, np.ndarray]:
+        """The leading vectors of every cluster: by one aggregate while the Gram matrices are few cells, else as for any long mode, a cluster at a time."""
+        if sum(m.shape[mode] ** 2 for m in self.metas.values()) <= GRAM_CELLS:
+            return {c: leading(g, ranks[c]) for c, g in self.grams(mode).items()}
+        return {c: extract_basis(self.cluster(c), mode, ranks[c]) for c in self.metas}
+
     def _entries(self, mode: int) -> DataFrame:
         meta = max(self.metas.values(), key=lambda m: m.shape[mode])
         return relational.gram(TensorFrame(self.df, meta), mode, ("cluster",))

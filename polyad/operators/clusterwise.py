@@ -96,16 +96,16 @@ def fit_models(t: TensorFrame | BlockFrame, members: DataFrame, k: int, mode: in
     rank = {c: {m: min(r, meta.shape[m]) for m, r in zip(modes, ranks, strict=True)} for c, meta in held.metas.items()}
     bases: dict[int, dict[int, np.ndarray]] = {c: {} for c in sizes}
     for m in modes:
-        for c, g in held.grams(m).items():
-            bases[c][m] = leading(g, rank[c][m])
+        for c, found in held.bases(m, {c: r[m] for c, r in rank.items()}).items():
+            bases[c][m] = found
     sweeps, going = dict.fromkeys(sizes, 0), set(sizes)
     for sweep in range(1, max_iter + 1):
         done = dict.fromkeys(going, True)
         for m in modes:
             left = held.only(going).products({c: {o: bases[c][o] for o in modes if o != m} for c in going})
-            grams = _local_grams(left, m) if left.size <= LOCAL_CELLS else left.stored("projected").grams(m)
-            for c, g in grams.items():
-                new = leading(g, rank[c][m])
+            own = {c: rank[c][m] for c in going}
+            found = {c: leading(g, own[c]) for c, g in _local_grams(left, m).items()} if left.size <= LOCAL_CELLS else left.stored("projected").bases(m, own)
+            for c, new in found.items():
                 done[c] &= converged(new, bases[c][m], eps)
                 bases[c][m] = new
         sweeps |= {c: sweep for c in going if done[c]}

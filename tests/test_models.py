@@ -169,10 +169,22 @@ def test_gram_of_blocks_passes_sums_on(spark, monkeypatch, held):
     assert np.allclose(tk.gram_matrix(TensorFrame.from_numpy(spark, x, (2, 2, 2)).to_blocks(), 0), x.reshape(5, -1) @ x.reshape(5, -1).T)
 
 
-def test_cluster_grams_are_checked_before_they_are_fetched(spark, monkeypatch):
+@pytest.mark.parametrize("form", ["cells", "blocks"])
+def test_clusters_with_gram_matrices_too_large_to_fetch(spark, monkeypatch, form):
+    x = np.random.default_rng(4).normal(size=(8, 5, 4))
+    t = TensorFrame.from_numpy(spark, x, (3, 5, 4))
+    t = t.to_blocks() if form == "blocks" else t
+    members = spark.createDataFrame([(i, i % 2) for i in range(8)], "slice long, cluster int")
+    want = cw.fit_models(t, members, 2, 0, (0, 1, 2), (2, 2, 2), 2, 1e-9)
     monkeypatch.setattr(cl, "GRAM_CELLS", 9)
+    held = cl.gathered(t, members, 0, {0: 4, 1: 4})
     with pytest.raises(ValueError, match="not fetched"):
-        cw.grams_by_cluster(None, ["i0"], 0, {0: 3, 1: 1})
+        held.grams(0)
+    monkeypatch.setattr(tk, "GRAM_CELLS", 9)
+    monkeypatch.setattr(cw, "LOCAL_CELLS", 0)
+    got = cw.fit_models(t, members, 2, 0, (0, 1, 2), (2, 2, 2), 2, 1e-9)
+    for c in range(2):
+        assert all(np.allclose(got[c].factors[m], want[c].factors[m], atol=1e-6) for m in range(3))
 
 
 def test_kmeans_inits_empty_clusters_and_inertia(spark):
