@@ -23,7 +23,7 @@ an empty table gives an empty result; the row is kept in a struct, so its column
 How it runs. The texts are read once. Each scan task turns the words of a language into a chunk: a file with the sorted 48-bit hashes of its
 different words and the sequence of their numbers, as compressed byte planes. All later steps read chunks. Twice, chunks send the
 sorted hashes of what they hold with counts as delta-coded arrays, cut by ranges of the hash, to one group per language and range,
-which merges them into the model's sorted hash arrays and returns to each chunk the global values of its own keys: first for word pairs
+which merges them into the model's sorted hash arrays (`Model`, which is stored and scores other documents by searching them) and returns to each chunk the global values of its own keys: first for word pairs
 (counts), then for words (occurrences, followers seen once, twice and more often, different words before). With those and the discounts a chunk scores its documents.
 
 Scale: what is shuffled is a few bytes for each distinct pair of a chunk (at most CHUNK_WORDS words), whatever the keys' frequency, so hot
@@ -37,14 +37,15 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_few, materialise, open_fs, put, shared_dir, text_bytes
+from .common import join_few, materialise, open_fs, put, shared_dir, store, text_bytes
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 TAIL, MARGIN, HALF_GOOD, ROBUST = 0.005, 0.05, 75, 4.0
@@ -111,8 +112,8 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
 
 
-def log_probability(count, total, followers, left, of_pairs, of_words) -> np.ndarray:
-    """Log probability of words after others, by the model of all but one occurrence of each pair.
+def log_probability(count, total, followers, left, of_pairs, of_words, own: int = 1) -> np.ndarray:
+    """Log probability of words after others, by the model of all but one occurrence of each pair; own = 0: by the whole model, for words of other texts.
 
     count: of the pairs; total and followers (n, 3): occurrences of the first words, and how many different words follow them once, twice,
     more often; left: different words before the second words. of_pairs, of_words: n-grams that occur 1 to 4 times, sum, number.
@@ -121,9 +122,10 @@ def log_probability(count, total, followers, left, of_pairs, of_words) -> np.nda
     pairs, words = float(of_words[4]), float(of_words[5])
     rest = d1[1:] @ [of_words[0], of_words[1], words - of_words[0] - of_words[1]] / pairs
     # one occurrence less: the pair moves to the next lower class of followers, and a pair seen once has no first word any more
-    less, left = count - 1, np.maximum(left - (count == 1), 0)
-    total, followers = np.maximum(total - 1, less), followers.astype(float)
-    for i in range(1, 4):
+    less, followers = count - own, followers.astype(float)
+    if own:
+        left, total = np.maximum(left - (count == 1), 0), np.maximum(total - 1, less)
+    for i in range(1, 4) if own else ():
         followers[:, i - 1] += (np.minimum(less, 3) == i).astype(float) - (np.minimum(count, 3) == i)
     p1 = (left - d1[np.minimum(left, 3)]) / pairs + rest / words
     known = total > 0
@@ -263,7 +265,7 @@ def marked(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "
             yield frame.astype({"slot": object, "chunk": object, "place": "Int32"})
         chunks.write()
 
-    row = F.struct(*docs.columns if keep is None else keep)
+    row = F.struct(*docs.columns if keep is None else keep or [F.lit(0).alias("none")])
     return materialise(docs.select(row.alias("row"), mark(language_slots(lang_col), text_bytes(text_col)).alias("mark")), "perplexity-rows")
 
 
@@ -308,7 +310,7 @@ def merged(table: pa.Table) -> pa.Table:
 
 def facts(found: DataFrame, name: str) -> DataFrame:
     """slot and the sums of the facts of all its ranges."""
-    at = found.where("chunk IS NULL").groupBy("slot").agg(*[F.sum(F.col("facts")[i]).alias(f"f{i}") for i in range(6)])
+    at = found.groupBy("slot").agg(*[F.sum(F.col("facts")[i]).alias(f"f{i}") for i in range(6)])
     return at.select("slot", F.array(*[f"f{i}" for i in range(6)]).alias(name))
 
 
@@ -320,8 +322,74 @@ def _answers(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)], np.concatenate(own) if own else np.empty(0, bool)
 
 
-def fit_and_score(rows: DataFrame, path: str) -> DataFrame:
-    """(chunk, slot) of all chunks, after a file with its documents' scores was written for each."""
+@dataclass(frozen=True)
+class Model:
+    """The stored model: rows (slot, part, bits, parts, keys, sums, facts) of the ranges of each language, for word pairs and for words.
+
+    keys are the sorted hashes of a range, sums the arrays beside them: counts of the pairs; of the words their occurrences, how many different words follow them
+    once, twice and more often, and how many different words stand before them.
+    """
+
+    pairs: DataFrame
+    words: DataFrame
+
+    def save(self, path: str) -> None:
+        store(self.pairs, f"{path}/pairs")
+        store(self.words, f"{path}/words")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        return cls(spark.read.parquet(f"{path}/pairs"), spark.read.parquet(f"{path}/words"))
+
+    def score(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+        """row (docs' columns), mark and nll of documents that the model was not made from; null where the base rules fail or the language has no model.
+
+        The documents become chunks; their keys go to the ranges of the model, each is searched in the sorted array, and what stands beside it goes back.
+        A pair or word that the model doesn't know has counts of zero.
+        """
+        spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "perplexity-files")
+        rows = marked(docs, path, text_col, lang_col)
+        sizes = self.pairs.groupBy("slot").agg(F.first("bits").alias("bits"), F.first("parts").alias("parts"))
+        chunks = rows.where("mark.chunk IS NOT NULL").select(F.col("mark.slot").alias("slot"), F.col("mark.chunk").alias("chunk")).distinct()
+        chunks = materialise(chunks.join(sizes, "slot"), "perplexity-asked")
+
+        def ask(of_pairs: bool):
+            def keys(batches):
+                fs, root = open_fs(path)
+                for r in (r for batch in batches for r in batch.to_pylist()):
+                    bits, parts = (r["bits"], r["parts"]) if of_pairs else _of_words(r["bits"], r["parts"])
+                    chunk = read_chunk(fs, root, r["chunk"])
+                    yield _table(_cut(r["slot"], r["chunk"], bits, parts, (chunk.pair_keys if of_pairs else chunk.word_keys)(bits)[0], []), SENT)
+
+            sent = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").mapInArrow(keys, SENT)
+            held = self.pairs if of_pairs else self.words
+            return sent.groupBy("slot", "part").cogroup(held.groupBy("slot", "part")).applyInArrow(_searched, FOUND)
+
+        _scores(chunks, ask(True), ask(False), facts(self.pairs, "of_pairs"), facts(self.words, "of_words"), path, 0)
+        return rows.select("row", "mark", F.when(F.col("mark.slot").isin([r["slot"] for r in sizes.select("slot").collect()]), looked_up(path, ".nll", "<f8", "double")).alias("nll"))
+
+
+def _of_words(bits: int, parts: int) -> tuple[int, int]:
+    """Bits and ranges of the words of a language, from those of its pairs."""
+    return min(bits, WORD_BITS), -(-parts // 8)
+
+
+def _searched(sent: pa.Table, held: pa.Table) -> pa.Table:
+    """For each chunk the sums of its keys in a range of the model, zero for a key that is not there."""
+    model = held.to_pylist()
+    known = expand_sorted(model[0]["keys"]) if model else np.empty(0, np.uint64)
+    sums = [expand(c) for c in model[0]["sums"]] if model else [np.empty(0, np.uint64)] * 5
+    out = []
+    for r in sent.to_pylist():
+        keys = expand_sorted(r["keys"])
+        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        there = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+        out.append((r["slot"], r["part"], r["chunk"], r["bits"], r["parts"], None, [squeeze(np.where(there, c[at], np.uint64(0)) if len(known) else np.zeros(len(keys), np.uint64)) for c in sums], None, None))
+    return pa.Table.from_batches([_table(out, FOUND)])
+
+
+def fit_and_score(rows: DataFrame, path: str) -> tuple[DataFrame, Model]:
+    """(chunk, slot) of all chunks, after a file with its documents' scores was written for each; and the model."""
     spark = rows.sparkSession
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = rows.where("mark.chunk IS NOT NULL").groupBy(F.col("mark.slot").alias("slot"), F.col("mark.chunk").alias("chunk")).agg(F.sum("mark.n_words").alias("n"))
@@ -355,31 +423,39 @@ def fit_and_score(rows: DataFrame, path: str) -> DataFrame:
         keys, at = chunk.word_keys(bits)
         add = lambda words, values: np.bincount(at[words], values, len(keys)).astype(np.int64)
         columns = [add(first, count), *(add(first, c.astype(float)) for c in (count == 1, count == 2, count > 2)), add(second, np.ones(len(second)))]
-        return pa.Table.from_batches([_table(_cut(slot, name, min(bits, WORD_BITS), -(-parts // 8), keys, columns), SENT)])
+        return pa.Table.from_batches([_table(_cut(slot, name, *_of_words(bits, parts), keys, columns), SENT)])
 
     sent = pairs.where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(send_words, SENT)
     words = materialise(sent.groupBy("slot", "part").applyInArrow(merged, FOUND), "perplexity-words")
 
+    model = Model(pairs.where("chunk IS NULL").drop("chunk", "own"), words.where("chunk IS NULL").drop("chunk", "own"))
+    told = lambda of: of.where("chunk IS NOT NULL")
+    return _scores(chunks, told(pairs), told(words), facts(pairs.where("chunk IS NULL"), "of_pairs"), facts(words.where("chunk IS NULL"), "of_words"), path, 1), model
+
+
+def _scores(chunks: DataFrame, pairs: DataFrame, words: DataFrame, of_pairs: DataFrame, of_words: DataFrame, path: str, own: int) -> DataFrame:
+    """(chunk, slot), after a file with its documents' scores was written for each chunk (slot, chunk, bits, parts), from the sums of its keys."""
+
     def score(table: pa.Table) -> pa.Table:
         found = {k: [r for r in table.to_pylist() if r["kind"] == k] for k in range(3)}
         (facts_,) = found[0]
         fs, root = open_fs(path)
         chunk = read_chunk(fs, root, facts_["chunk"])
-        (counts,), _ = _answers(found[1])
+        (counts, *_), _ = _answers(found[1])
         sums, _ = _answers(found[2])
         at = chunk.pair_keys(facts_["bits"])[1]
         word = chunk.word_keys(facts_["bits"])[1]
         first, second = word[chunk.first], word[chunk.second]
-        logp = log_probability(counts[at], sums[0][first], np.stack([s[first] for s in sums[1:4]], 1), sums[4][second], facts_["of_pairs"], facts_["of_words"])
+        logp = log_probability(counts[at], sums[0][first], np.stack([s[first] for s in sums[1:4]], 1), sums[4][second], facts_["of_pairs"], facts_["of_words"], own)
         nll = -np.add.reduceat(logp[chunk.of], chunk.starts) / chunk.lengths
         put(fs, f"{root}/{facts_['chunk']}.nll", nll.astype("<f8").tobytes())
         return pa.Table.from_batches([_table([(facts_["chunk"], facts_["slot"])], "chunk string, slot string")])
 
-    constant = chunks.join(facts(pairs, "of_pairs"), "slot").join(facts(words, "of_words"), "slot")
+    constant = chunks.join(of_pairs, "slot").join(of_words, "slot")
     none = lambda *names: [F.lit(None).cast(kind).alias(name) for name, kind in names]
     parts = constant.select(F.lit(0).alias("kind"), "chunk", "slot", "bits", "of_pairs", "of_words", *none(("part", "int"), ("sums", "array<binary>")))
     for kind, of in ((1, pairs), (2, words)):
-        parts = parts.unionByName(of.where("chunk IS NOT NULL").select(F.lit(kind).alias("kind"), "chunk", "slot", "bits", *none(("of_pairs", "array<bigint>"), ("of_words", "array<bigint>")), "part", "sums"))
+        parts = parts.unionByName(of.select(F.lit(kind).alias("kind"), "chunk", "slot", "bits", *none(("of_pairs", "array<bigint>"), ("of_words", "array<bigint>")), "part", "sums"))
     return materialise(parts.groupBy("chunk").applyInArrow(score, "chunk string, slot string"), "perplexity-scored")
 
 
@@ -477,6 +553,12 @@ def bands(scored: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return both.select("slot", *[(w * F.coalesce(f"{c}_True", F.lit(0.0)) + (1 - w) * F.col(f"{c}_False")).alias(c) for c in names])
 
 
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """The model of all documents that pass the base rules."""
+    path = shared_dir(docs.sparkSession, "perplexity-files")
+    return fit_and_score(marked(docs, path, text_col, lang_col, []), path)[1]
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, labels: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """row (docs' columns, or those in keep), mark (statistics), base_failed, nll (mean negative log probability per word) and kept.
 
@@ -484,7 +566,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
     """
     path = shared_dir(docs.sparkSession, "perplexity-files")
     rows = marked(docs, path, text_col, lang_col, keep)
-    chunks = fit_and_score(rows, path)
+    chunks, _ = fit_and_score(rows, path)
     nll = looked_up(path, ".nll", "<f8", "double")
     scored = rows.where("mark.chunk IS NOT NULL").select(F.col(f"row.{id_col}").cast("long").alias("id"), "mark.slot", "mark.n_words", nll.alias("nll"))
     limits = chunks.join(bands(scored, labels), "slot")

@@ -222,3 +222,36 @@ def test_every_language_has_its_own_model(spark, monkeypatch):
         of = [r for r in rows_ if r[2] == lang and not got[r[0]]["base_failed"]]
         for (d, *_), expected in zip(of, brute_nll([t for _, t, _ in of]), strict=True):
             assert abs(got[d]["nll"] - expected) < 1e-6
+
+
+def test_the_stored_model_scores_other_documents(spark, tmp_path):
+    good, bad = corpus(good=120)
+    rng = random.Random(5)
+    other = [(3000 + i, " ".join(rng.choice("αβγδεζ") * rng.randrange(1, 4) for _ in range(30)), "el") for i in range(20)]
+    docs = spark.createDataFrame([*good, *other, (9, "too few", "en")], "doc_id long, text string, lang string").repartition(3)
+    px.fit(docs).save(f"file://{tmp_path}/model")
+    model = px.Model.load(spark, f"file://{tmp_path}/model")
+    assert model.pairs.where("keys IS NULL").count() == 0 and model.words.count() > 0
+    new = [*bad[:10], (1, good[0][1] + " never seen words at the end", "en"), (2, other[0][1], "el"), (3, "a language without a model " * 2 + "one two three", "xx"), (4, None, "en"), (5, "few", "el")]
+    got = {r["doc_id"]: r["nll"] for r in model.score(spark.createDataFrame([(*r, 1.0) for r in new], "doc_id long, text string, lang string, nll double")).select("row.doc_id", "nll").collect()}
+    for lang, texts in (("en", [t for _, t, _ in good]), ("el", [t for _, t, _ in other])):
+        texts = [t for t in texts if not brute_stats(t)[4] * 100 > 20 * brute_stats(t)[0] and brute_stats(t)[0] >= 10]
+        c2 = Counter(p for t in texts for p in pairs_of(t))
+        c1 = Counter(b for _, b in c2)
+        d2, d1 = brute_discounts(c2), brute_discounts(c1)
+        rest = sum(d1[min(v, 3)] for v in c1.values()) / len(c2) / len(c1)
+        follow: dict = {}
+        for (a, b), n in c2.items():
+            follow.setdefault(a, []).append(n)
+        for d, text, own in new:
+            if own != lang or d in (4, 5):
+                continue
+            total = 0.0
+            for a, b in pairs_of(text):
+                p = (c1[b] - d1[min(c1[b], 3)]) / len(c2) + rest
+                if a in follow:
+                    n = c2[a, b]
+                    p = (n - d2[min(n, 3)]) / sum(follow[a]) + sum(d2[min(x, 3)] for x in follow[a]) / sum(follow[a]) * p
+                total -= math.log(p)
+            assert abs(got[d] - total / len(pairs_of(text))) < 1e-6
+    assert got[3] is None and got[4] is None and got[5] is None
