@@ -44,10 +44,23 @@ def test_a_view_without_confidence_teaches_nothing():
     assert (given["text"] == -1).all() and (given["meta"] == y).mean() > 0.9
 
 
+def brute_words(rows):
+    """Buckets of the largest chi-squared, over labelled rows that train."""
+    own = [(set(np.frombuffer(w, "<u2").tolist()), y) for w, y, h in zip(rows["w"].to_pylist(), rows["y"].to_pylist(), rows["held"].to_pylist(), strict=True) if y is not None and not h]
+    bad, good, scored = sum(not y for _, y in own), sum(bool(y) for _, y in own), []
+    for w in {b for s, _ in own for b in s}:
+        g, b = sum(w in s and y for s, y in own), sum(w in s and not y for s, y in own)
+        left = len(own) - g - b
+        if g + b >= ct.LEAST_SEEN and left >= ct.LEAST_SEEN:
+            scored.append((-((g * bad - b * good) ** 2) * len(own) / ((g + b) * left * bad * good), w))
+    return [w for _, w in sorted(scored)[: ct.SELECTED]]
+
+
 def brute(spark, docs, labels, rounds):
     """Co-training on plain arrays: all rows at once, no samples."""
     found = ct.featured(docs, labels).withColumn("held", ct.held_out()).orderBy("rank", "id").toArrow()
-    x, m = ct.matrices(found)
+    words = np.array(sorted(brute_words(found)), np.int64)
+    x, m = ct.matrices(found, words)
     y = np.array([np.nan if v is None else v for v in found["y"].to_pylist()])
     known, held = ~np.isnan(y), np.array(found["held"].to_pylist())
     train, calibrate, both = known & ~held, known & held, {"text": x, "meta": m}
@@ -62,7 +75,7 @@ def brute(spark, docs, labels, rounds):
                 extra[pupil] = np.concatenate([sure[1], sure[0]]), np.concatenate([np.ones(len(sure[1])), np.zeros(len(sure[0]))])
             taught.append({v: len(extra[v][0]) for v in both})
     logits = np.stack([views["text"].logit(x[calibrate]), views["meta"].logit(m[calibrate])], 1)
-    return ct.CoTrained(views["text"], views["meta"], ct.logistic(logits, y[calibrate], 1e-3), 0.5, taught), x, m
+    return ct.CoTrained(views["text"], views["meta"], ct.logistic(logits, y[calibrate], 1e-3), 0.5, taught, words), x, m
 
 
 def test_rounds_match_brute_force(spark):
@@ -73,7 +86,7 @@ def test_rounds_match_brute_force(spark):
         model = ct.fit(docs, labels, rounds=rounds)
         expected, x, m = brute(spark, docs, labels, rounds)
         assert model.taught == expected.taught and any(t["meta"] for t in model.taught)
-        assert np.allclose(model.scores(x, m), expected.scores(x, m), atol=1e-6)
+        assert model.words.tolist() == expected.words.tolist() and np.allclose(model.scores(x, m), expected.scores(x, m), atol=1e-6)
 
 
 def test_defined_cases(spark):
@@ -120,7 +133,31 @@ def test_a_repeated_id_does_not_reach_the_driver_whole(spark):
 
 
 def test_text_features():
-    f = ct.text_features
+    f = lambda t: ct.text_features(t)[0]
     assert f(b"").sum() == 0 and f("ü b c".encode()).dtype == np.uint8 and len(f(b" ")) == ct.N_TEXT
     words = [f"w{i}".encode() for i in range(300)]
-    assert (f(b" ".join(words)) != f(b" ".join(sorted(words, reverse=True))))[256 + ct.GRAMS : 256 + 2 * ct.GRAMS].any()  # 2-grams see the order
+    assert (f(b" ".join(words)) != f(b" ".join(sorted(words, reverse=True))))[256 : 256 + ct.GRAMS].any()  # 2-grams see the order
+    buckets = ct.text_features(b"one two two three")[1]
+    assert len(buckets) == 3 and buckets.tolist() == sorted(buckets.tolist()) and not len(ct.text_features(b" ")[1])
+    x = ct.with_words(np.zeros((2, 3)), [buckets, np.empty(0, np.uint16)], np.array([int(buckets[1]), 65536]))
+    assert x.tolist() == [[0, 0, 0, 255, 0], [0] * 5]
+
+
+def test_words_tell_where_the_rest_does_not(spark):
+    """Classes that differ in a few words among many, of the same letters and lengths."""
+    rng = random.Random(4)
+    stock = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    data = []
+    for i in range(1200):
+        good = rng.random() < 0.6
+        text = rng.choices(stock[40:], k=60) + rng.choices(stock[:20] if good else stock[20:40], k=3)
+        rng.shuffle(text)
+        data.append((i, " ".join(text), "en", "s", 300, 0.0, False, int(good)))
+    docs = spark.createDataFrame([r[:7] for r in data], SCHEMA)
+    labels = spark.createDataFrame([(r[0], r[7]) for r in data if r[0] % 2], "doc_id long, quality int")
+    right = {}
+    for selected in (0, ct.SELECTED):
+        model = ct.fit(docs, labels, selected=selected)
+        kept = {r["doc_id"]: r["kept"] for r in docs.select("doc_id", model.column().alias("m")).select("doc_id", "m.kept").collect()}
+        right[selected] = np.mean([kept[r[0]] == bool(r[7]) for r in data if r[0] % 2 == 0])
+    assert right[ct.SELECTED] > 0.9 > right[0]
