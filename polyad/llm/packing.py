@@ -9,7 +9,8 @@ overhead per sequence.
 A document longer than the largest length is cut into full pieces and a rest; all other pieces stay whole.
 
 Defined cases: a null or empty text is one piece of its end id; null and repeated doc_ids are packed like others; an empty table
-gives no bin; a piece of exactly a permitted length fills a bin alone.
+gives no bin; a piece of exactly a permitted length fills a bin alone. Pieces of equal length are taken in the order in which a task reads them, and
+of bins that a piece fills equally well the one that was used last, so which of equal pieces share a bin depends on the order of the rows; the cost doesn't.
 
 Scale: no text is shuffled. Each scan task packs what it reads, in windows of at most `window` pieces, so memory is bounded. Bins
 that are full but for `slack` tokens are done; the pieces of all other bins (a few of the last ones of each window) go, as numbers, through a
