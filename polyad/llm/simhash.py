@@ -53,6 +53,8 @@ WORD_MEMO = 100_000
 LIST = 1 << 16
 #: Most bytes of texts in a list that are compared in one place (a single pair may have more).
 LIST_BYTES = 32 << 20
+#: Edges of which the components are found in one task.
+AT_ONCE = 1 << 20
 SETS = [(a, b, c, a ^ b ^ c) for a in range(8) for b in range(a + 1, 8) for c in range(b + 1, 8) if a ^ b ^ c > c]
 
 
@@ -332,10 +334,28 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return lists.mapInArrow(apply, "a long, b long").distinct()
 
 
+def _joined(batches):
+    """node, root of the edges that come: labels sink along edges and jump to the label of their label."""
+    found = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if not found:
+        return
+    nodes, at = np.unique(np.concatenate([x for pair in zip(*found, strict=True) for x in pair]), return_inverse=True)
+    a, b = at[: len(at) // 2], at[len(at) // 2 :]
+    label, last = np.arange(len(nodes)), None
+    while last is None or (label != last).any():
+        last, low = label, np.minimum(label[a], label[b])
+        label = label.copy()
+        for end in (last[a], last[b], a, b):
+            np.minimum.at(label, end, low)
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_pydict({"node": nodes, "root": nodes[label]})
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for all nodes of the edges (a, b): alternating large-star and small-star until nothing changes.
+    """(node, root) for all nodes of the edges (a, b), the root being the least node: alternating large-star and small-star until nothing changes.
 
-    The steps settle after about log(nodes)^2 rounds at most; a table goes when it is no longer read.
+    At most AT_ONCE edges (16 MB) are solved in one task instead, with the same result. The steps settle after about log(nodes)^2 rounds at most; a table goes when it is no longer read.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     held = Rounds(edges.sparkSession)
@@ -345,6 +365,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before, settled = state(edges), False
+    if before[0] <= AT_ONCE:
+        out = materialise(edges.coalesce(1).mapInArrow(_joined, "node long, root long"), name)
+        held.free()
+        return out
     while before[0] and not settled:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # stored, so that the join has an exchange of its own on either side, and a hub's rows can be dealt to several tasks

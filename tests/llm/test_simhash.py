@@ -62,6 +62,7 @@ def test_index_covers_every_pair_of_three_bits():
 @pytest.mark.parametrize(("seed", "most"), [(0, 1 << 16), (1, 1 << 16), (2, 4)])
 def test_components_match_brute_force(spark, seed, most, monkeypatch):
     monkeypatch.setattr(sh, "LIST", most)  # at 4, most lists are cut into blocks
+    monkeypatch.setattr(sh, "AT_ONCE", 0 if most == 4 else 1 << 20)
     rng = random.Random(seed)
     fps = [rng.getrandbits(64) for _ in range(25)]
     for _ in range(120):  # chains and clusters at distances 0 to 5
@@ -76,10 +77,27 @@ def test_components_match_brute_force(spark, seed, most, monkeypatch):
     assert [named[f] for _, f in rows] == brute_components(rows)
 
 
-def test_long_chain_settles(spark):
+@pytest.mark.parametrize("at_once", [0, 1 << 20])
+def test_long_chain_settles(spark, monkeypatch, at_once):
+    monkeypatch.setattr(sh, "AT_ONCE", at_once)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in sh.components(edges).collect()}
-    assert set(got) == {*range(41), 100, 101} and len({got[i] for i in range(41)}) == 1 and got[100] == got[101] != got[0]
+    assert set(got) == {*range(41), 100, 101} and {got[i] for i in range(41)} == {0} and got[100] == got[101] == 100
+
+
+@pytest.mark.parametrize("at_once", [0, 1 << 20])
+def test_components_of_random_edges(spark, monkeypatch, at_once):
+    monkeypatch.setattr(sh, "AT_ONCE", at_once)
+    rng = random.Random(4)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)] + [(500, i) for i in range(501, 540)]
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert {r["node"]: r["root"] for r in sh.components(frame).collect()} == root
+    assert sh.components(frame.limit(0)).count() == 0
 
 
 def test_query_on_rows_of_every_kind(spark):
