@@ -141,8 +141,11 @@ def tile_pairs(cells: DataFrame, others: Sequence[str], mode_col: str, extent: i
     """
     others = list(others)
     cell = F.struct(F.col(mode_col).alias("i"), "v")
+    # the work is the square of the bytes, so partitions must not be put together by their bytes, as adaptive plans do unless told a number
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt_by = lambda df, *keys: df.repartition(tasks, *keys) if keys else df
     if extent <= TILE:
-        packs = cells.groupBy(*others).agg(F.collect_list(cell).alias("xs"))
+        packs = dealt_by(cells, *others).groupBy(*others).agg(F.collect_list(cell).alias("xs"))
         return packs.select(*others, "xs", F.col("xs").alias("ys"), F.lit(True).alias("one"))
     if others:
         long = cells.groupBy(*others).count().where(F.col("count") > TILE).select(*others, F.ceil(F.col("count") / TILE).cast("int").alias("_tiles"))
@@ -152,7 +155,7 @@ def tile_pairs(cells: DataFrame, others: Sequence[str], mode_col: str, extent: i
     packs = dealt.groupBy(*others, "_tiles", F.pmod(F.xxhash64(mode_col), F.col("_tiles")).cast("int").alias("_own")).agg(F.collect_list(cell).alias("xs"))
     sent = packs.select("*", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"))
     keyed = sent.select(*others, F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "xs")
-    met = keyed.groupBy(*others, "_p", "_q").agg(F.max_by("xs", -F.col("_own")).alias("xs"), F.max_by("xs", "_own").alias("ys"), F.count("*").alias("_n"))  # two rows at most
+    met = dealt_by(keyed, *others, "_p", "_q").groupBy(*others, "_p", "_q").agg(F.max_by("xs", -F.col("_own")).alias("xs"), F.max_by("xs", "_own").alias("ys"), F.count("*").alias("_n"))  # two rows at most
     return met.where("_p = _q OR _n = 2").select(*others, "xs", "ys", (F.col("_p") == F.col("_q")).alias("one"))
 
 
