@@ -14,12 +14,12 @@ given to all documents. A quarter of the labelled rows, by hash, only calibrates
 
 Defined cases: a null or empty text has zero features and is scored like any other; null metadata is a value of its own; labels
 that are null are not used, and a document labelled twice counts as good if any label is; of the rows of a labelled id
-the one with the least hash trains, of unlabelled ones all different rows; without labels of both classes among the rows that train and among those that calibrate the score is 0.5 and every document is kept;
+the one with the least hash trains; of unlabelled ones all rows get pseudo-labels, and equal ones train once; without labels of both classes among the rows that train and among those that calibrate the score is 0.5 and every document is kept;
 repeated rows are scored alike; an empty table gives an empty result; other columns are not read.
 
 Scale: the texts are read twice, map-only: for features (a few hundred small numbers and the document's word buckets, stored) and for the final scores. Words are
 counted by bucket and label in each task before they are shuffled, so the exchange is BUCKETS rows a task at most, and SELECTED come to the driver. Labels are joined
-to the features by shuffle; rounds read the features only. Cuts of the hash's range, set by a count, bound what comes to the
+to the features by shuffle; rounds read the features only, twice each (how many are sure, then the rows of least hashes), and store nothing. Cuts of the hash's range, set by a count, bound what comes to the
 driver: so many rows of features whatever the input.
 """
 
@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,7 +220,7 @@ def pseudo_labels(views: dict[str, View], x: np.ndarray, m: np.ndarray, confiden
 
 
 def featured(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text: str = "text", lang: str = "lang", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
-    """The different rows (id, x, w, lang, source, n_chars) of docs, with their label y or null and a rank: a hash in 0 to 1."""
+    """The rows (id, x, w, lang, source, n_chars) of docs, with their label y or null and a rank: a hash in 0 to 1, the same for equal rows."""
 
     @F.pandas_udf("x binary, w binary")
     def features(texts: pd.Series) -> pd.DataFrame:
@@ -231,7 +232,14 @@ def featured(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     rows = rows.select("id", "f.x", "f.w", "lang", "source", "n_chars")
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     rank = (F.xxhash64("id", "x").bitwiseAND(F.lit((1 << 48) - 1)) / float(1 << 48)).alias("rank")
-    return materialise(rows.distinct().join(given, "id", "left").select(*names, "y", rank), "cotrain-features")
+    # by shuffle at any size: a hot or null id is split as a skewed key
+    return materialise(rows.join(given.hint("merge"), "id", "left").select(*names, "y", rank), "cotrain-features")
+
+
+def least_ranked(of: DataFrame, most, *columns: str) -> pa.Table:
+    """The different rows of rank below `most` (a number or column: rows wanted over rows there are), in the order of their ranks."""
+    table = of.where(F.col("rank") < most).select("rank", "id", *columns).distinct().toArrow()
+    return table.sort_by([("rank", "ascending"), ("id", "ascending")])
 
 
 def first_of_id(rows: DataFrame) -> DataFrame:
@@ -249,13 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     rows = featured(docs, labels, id_col, label_col, text, lang, source, n_chars)
     free, known = rows.where("y IS NULL"), first_of_id(rows.where("y IS NOT NULL"))
 
-    def fetched(of: DataFrame, n: int, most: int, *columns: str) -> pa.Table:
-        """Of n rows, those of the least ranks, about `most`, in the order of their ranks."""
-        table = of.where(F.col("rank") < most / max(n, 1)).select("rank", "id", *columns).toArrow()
-        return table.sort_by([("rank", "ascending"), ("id", "ascending")])
-
     known = materialise(known.withColumn("held", held_out()), "cotrain-known")
-    sample = fetched(known, known.count(), most_labels, "x", "w", "lang", "source", "n_chars", "y", "held")
+    sample = least_ranked(known, most_labels / max(known.count(), 1), "x", "w", "lang", "source", "n_chars", "y", "held")
     words = telling_words(known.where("NOT held"), selected)
     x, m = matrices(sample, words)
     y, held = np.array(sample["y"].to_pylist(), float), np.array(sample["held"].to_pylist(), bool)
@@ -268,15 +271,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
             views[v] = View.fit(np.vstack([f[~held], extra[v][0]]), np.concatenate([y[~held], extra[v][1]])).calibrate(f[held], y[held])
         if r == rounds:
             break
-        given = materialise(_taught(free, views, words, confident), "cotrain-taught")
+        given = _taught(free, views, words, confident)
         counts = {(c["view"], c["label"]): c["n"] for c in given.groupBy("view", "label").agg(F.count("*").alias("n")).collect()}
         taught.append({v: sum(n for (w, _), n in counts.items() if w == v) for v in own})
         if not counts:
             break
-        for v in own:
-            parts = [(label, fetched(given.where((F.col("view") == v) & (F.col("label") == label)), counts.get((v, label), 0), most_taught, "x", "w", "lang", "source", "n_chars")) for label in (1, 0)]
-            features = [matrices(t, words)[0 if v == "text" else 1] for _, t in parts]
-            extra[v] = np.vstack(features), np.concatenate([np.full(len(t), float(label)) for label, t in parts])
+        share = F.lit(0.0)
+        for (v, label), n in counts.items():
+            share = F.when((F.col("view") == v) & (F.col("label") == label), most_taught / n).otherwise(share)
+        rows_of = least_ranked(given, share, "view", "label", "x", "w", "lang", "source", "n_chars")
+        for k, v in enumerate(own):
+            parts = [(label, rows_of.filter((pc.field("view") == v) & (pc.field("label") == label))) for label in (1, 0)]
+            extra[v] = np.vstack([matrices(t, words)[k] for _, t in parts]), np.concatenate([np.full(len(t), float(label)) for label, t in parts])
     logits = np.stack([views["text"].logit(x[held]), views["meta"].logit(m[held])], 1)
     return CoTrained(views["text"], views["meta"], logistic(logits, y[held], 1e-3), threshold, taught, words)
 

@@ -125,10 +125,11 @@ def test_a_repeated_id_does_not_reach_the_driver_whole(spark):
         docs = spark.createDataFrame([r[:7] for r in data] + hot, SCHEMA)
         labels = spark.createDataFrame([(r[0], r[7]) for r in data], "doc_id long, quality int")
         features = ct.featured(docs, labels)
-        n = features.count()
-        assert n <= 202 if same else n > 200
         known = ct.first_of_id(features.where("y IS NOT NULL"))
-        assert known.count() == 200 and features.where(F.col("rank") < 100 / n).count() < 200
+        assert features.count() == 3200 and known.count() == 200
+        hot = features.where("id = 7")
+        assert len(ct.least_ranked(hot, 2.0, "x", "w")) == (2 if same else hot.select("x", "w").distinct().count())
+        assert len(ct.least_ranked(features, 100 / 3200, "x", "w")) < 200
         assert ct.fit(docs, labels, most_labels=100, most_taught=20).text is not None
 
 
