@@ -162,6 +162,11 @@ def test_programs(spark, tmp_path):
     run(programs.run_clusterwise, "clusterwise", "--CluNum", "2", "--CoreRank", "2,2,2", "--MaxIter", "1", "--ClustersPath", f"{tmp_path}/out/members")
     done = run(programs.run_clusterwise, "clusterwise", "--CluNum", "2", "--CoreRank", "2,2,2", "--MaxIter", "1", "--ClustersPath", f"{tmp_path}/out/members", "--CorePath", f"{tmp_path}/out/final/core", "--BasisPath", f"{tmp_path}/out/final/basis", "--FinalPath", f"{tmp_path}/again")
     assert spark.read.parquet(f"{tmp_path}/again/members").count() == 6 and done.rounds == 1
+    assert isinstance(done.models[0].core, BlockFrame)  # blocks from end to end
+    run(programs.run_clusterwise, "clusterwise", "--CluNum", "2", "--CoreRank", "6,4,3", "--MaxIter", "1", "--ClustersPath", f"{tmp_path}/out/members", "--Dual", "1", "--DoReconst", "1", "--FinalPath", f"{tmp_path}/dual")
+    kept = spark.read.parquet(f"{tmp_path}/dual/members")
+    own = [r["slice"] for r in kept.where("cluster = 1").orderBy("slice").collect()]
+    assert np.allclose(td.read_tensor(spark, f"{tmp_path}/dual/reconstruction/1").to_numpy(), x[own])
     with pytest.raises(SystemExit):
         run(programs.run_tucker, "tucker", "--CoreRank", "2")
 
