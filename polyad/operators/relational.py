@@ -172,6 +172,16 @@ def gram(t: TensorFrame, mode: int, by: Sequence[str] = ()) -> DataFrame:
     return half.select(*by, F.explode(both).alias("e"), "v").select(*by, "e.r", "e.c", "v")
 
 
+def gram_of_groups(t: TensorFrame, mode: int, group: Column, extent: int) -> DataFrame:
+    """r, c, v: the entries of the mode-n Gram matrix, summed by groups of its rows and columns. group: the group (below extent) of a slice.
+
+    With S the matrix of ones where a slice belongs to a group, S (X X^T) S^T = (S X) (S X)^T: the slices of a group are added up first, so what is
+    shuffled is the cells once, and the square is that of the groups alone.
+    """
+    kept = [group.cast("long").alias(c) if m == mode else F.col(c) for m, c in enumerate(t.index)]
+    return gram(TensorFrame(t.df.groupBy(*kept).agg(F.sum("v").alias("v")), t.meta.replace(mode, extent)), mode)
+
+
 # slices and clusters
 
 

@@ -15,6 +15,7 @@ from polyad.operators import stripes as st
 from polyad.operators import subspace as sub
 from polyad.operators import tucker as tk
 from polyad.operators.kmeans import KMeans
+from polyad.plans.queries import QUERIES
 from polyad.storage import Rounds
 
 from .test_models import lloyd, low_rank
@@ -119,6 +120,32 @@ def test_a_fibre_with_most_of_the_cells(spark, monkeypatch):
     assert "Cartesian" not in plan(rel.gram(t, 0)) and "NestedLoop" not in plan(rel.gram(t, 0))
 
 
+def shuffled(spark, run):
+    """The result of run(), and how many rows its jobs wrote to shuffles."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = written()
+    result = run()
+    return result, sum(n for k, n in written().items() if k not in before)
+
+
+def test_gram_of_groups_shuffles_cells_not_pairs(spark, tmp_path):
+    n = 1500
+    lines = spark.range(2 * n).selectExpr("id % 1500 AS l_partkey", "id % 3 AS l_suppkey", "CAST(id % 7 + 1 AS DOUBLE) AS l_quantity")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got, rows = shuffled(spark, lambda: QUERIES["gram_tiles"](spark, str(tmp_path)).collect())
+    x = np.zeros((20, 10))
+    for i in range(2 * n):
+        x[i % n % 20, i % 3] += i % 7 + 1
+    assert {(r.r, r.c): r.v for r in got} == {(r, c): v for (r, c), v in np.ndenumerate(x @ x.T) if v}
+    assert rows < 20 * n  # its pairs are 375,750
+
+
 def test_gram_of_a_vector(spark, monkeypatch):
     x = np.arange(1.0, 40)
     for tile in (1024, 8):
