@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..frame import TensorFrame
 from ..storage import Rounds, materialise
+from . import relational
 
 #: Triangles that are stacked by one task; columns up to which a matrix is reduced to one triangle; extra columns of the iteration's block.
 FAN, NARROW, EXTRA = 16, 1024, 8
+#: Values of a product that a task makes at once.
+HELD = 1_000_000
 TRIANGLES = "cluster int, part long, width int, r array<double>"
 ROWS = "k long, x array<double>"
 
@@ -150,6 +154,37 @@ def _times(cells: DataFrame, block: DataFrame, on: str, to: str, width: int) ->
     return sums.select(F.col("t").alias("k"), F.array(*[f"s{j}" for j in range(width)]).alias("x"))
 
 
+def projected(t: TensorFrame, mode: int, basis: Wide) -> TensorFrame:
+    """The product in a mode with a factor in rows: a cell meets its slice's whole row, and sums are made by task before they are shuffled."""
+    sums = _times(relational.unfold(t, mode), relational.small(basis.rows, basis.size), "row", "col", basis.shape[1])
+    cells = sums.select(F.col("k").alias("col"), F.posexplode("x").alias("row", "v")).where("v IS NOT NULL")
+    return relational.refold(cells, mode, t.meta.replace(mode, basis.shape[1]))
+
+
+def expanded(core: TensorFrame, mode: int, basis: Wide) -> TensorFrame:
+    """The product in a mode with a factor in rows, transposed: from a core, the tensor of as many slices as the factor has rows.
+
+    A core of at most relational.BROADCAST_CELLS cells (by its extents) is fetched and goes with the function: every row of the factor makes its slice, in the columns where the
+    core has cells, without an exchange or a sum. A larger one is joined.
+    """
+    meta = core.meta.replace(mode, basis.shape[0])
+    if core.meta.size > relational.BROADCAST_CELLS:
+        return relational.mode_n_product(core, mode, relational.transposed(basis.table()), basis.shape[0])
+    found = relational.unfold(core, mode).toArrow()
+    col, place = np.unique(found.column("col").to_numpy(), return_inverse=True)
+    by = np.zeros((basis.shape[1], len(col)))
+    by[found.column("row").to_numpy(), place] = found.column("v").to_numpy()
+    step = max(1, HELD // max(1, len(col)))
+
+    def spread(batches):
+        for batch in batches:
+            for b in (batch.slice(start, step) for start in range(0, len(batch) if len(col) else 0, step)):
+                y = matrix(b.column("x")) @ by
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("k").to_numpy(), len(col))), pa.array(np.tile(col, len(b))), pa.array(y.reshape(-1))], ["row", "col", "v"])
+
+    return relational.refold(basis.rows.select("k", "x").mapInArrow(spread, "row long, col long, v double"), mode, meta)
+
+
 def _residuals(q: DataFrame, y: DataFrame, v: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Norms of G u - value u for the columns u of q v, where y = G q. Formed row by row, so that small ones are exact."""
 

@@ -49,7 +49,12 @@ def _products(t: TensorFrame | BlockFrame, factors: Mapping[int, np.ndarray | Wi
         for m in relational.by_shrinkage(t.meta, rank):
             t = blocks.tiled_product(t, m, _cells(factors[m], t.df.sparkSession, transpose), rank[m])
         return t
-    return relational.mode_n_products(t, {m: (_cells(b, t.spark, transpose), rank[m]) for m, b in factors.items()})
+    for m in relational.by_shrinkage(t.meta, rank):
+        if isinstance(factors[m], Wide):
+            t = (subspace.expanded if transpose else subspace.projected)(t, m, factors[m])
+        else:
+            t = relational.mode_n_product(t, m, _cells(factors[m], t.spark, transpose), rank[m])
+    return t
 
 
 def gram_matrix(t: TensorFrame | BlockFrame, mode: int, local: int = 0) -> np.ndarray:
@@ -164,7 +169,7 @@ def reconstruct(core: TensorFrame | BlockFrame, factors: Mapping[int, np.ndarray
     """Core times every factor: the approximation of the tensor.
 
     A core in blocks that is small, with factors that are, is sent to the tasks, and each target block is made whole where it belongs: nothing is shuffled or
-    summed. Otherwise contributions of the core's cells or blocks are summed by target. Lazy, but for such a core, which is fetched.
+    summed. Otherwise contributions of the core's cells or blocks are summed by target. Lazy, but for such a core, and for a small one in cells that meets a factor in rows, which are fetched.
     """
     if isinstance(core, BlockFrame) and core.meta.size <= relational.BROADCAST_CELLS and not any(isinstance(b, Wide) for b in factors.values()) and sum(b.size for b in factors.values()) <= relational.BROADCAST_CELLS:
         return blocks.spread(core.df.sparkSession, core.to_numpy(), core.meta, factors)

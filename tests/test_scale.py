@@ -96,6 +96,35 @@ def test_factors_that_stay_tables(spark, monkeypatch, form):
     assert all(b.shape == (e, 2) for b, e in zip(tk.random_bases(t, {0: 2, 1: 2}, 3).values(), (9, 5), strict=True))
 
 
+def test_slices_from_a_core_need_no_exchange(spark, sf):
+    for name in ("basis_of_many_slices", "basis_by_iteration"):
+        steps = plan(QUERIES[name](spark, sf))
+        assert "Exchange" not in steps and "Join" not in steps
+
+
+@pytest.mark.parametrize("cells", [2_000_000, 0])
+def test_products_with_a_factor_in_rows(spark, monkeypatch, cells):
+    rng = np.random.default_rng(3)
+    x, b = rng.integers(-3, 4, (7, 4, 3)).astype(float), rng.integers(-3, 4, (7, 2)).astype(float)
+    x[:, 1, 2] = x[5] = b[5] = 0
+    rows = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(b) if k != 5], sub.ROWS)
+    monkeypatch.setattr(rel, "BROADCAST_CELLS", cells)
+    monkeypatch.setattr(sub, "HELD", 25)  # less than three slices at once
+    for mode, t in ((0, x), (1, np.moveaxis(x, 0, 1))):
+        wide, t = sub.Wide(rows, (7, 2)), TensorFrame.from_numpy(spark, t)
+        core = sub.projected(t, mode, wide)
+        want = np.tensordot(b.T, x, 1)
+        assert core.meta.shape == (want if mode == 0 else np.moveaxis(want, 0, 1)).shape
+        assert np.array_equal(core.to_numpy(), want if mode == 0 else np.moveaxis(want, 0, 1))
+        back = sub.expanded(core, mode, wide)
+        assert np.array_equal(back.to_numpy(), np.tensordot(b, want, 1) if mode == 0 else np.moveaxis(np.tensordot(b, want, 1), 0, 1))
+        assert back.df.count() == 6 * 11  # the columns that the core has
+    none = TensorFrame.from_numpy(spark, np.zeros((7, 3)))
+    assert not sub.expanded(sub.projected(none, 0, sub.Wide(rows, (7, 2))), 0, sub.Wide(rows, (7, 2))).df.count()
+    line = sub.projected(TensorFrame.from_numpy(spark, x[:, 0, 0]), 0, sub.Wide(rows, (7, 2)))
+    assert np.array_equal(sub.expanded(line, 0, sub.Wide(rows, (7, 2))).to_numpy(), b @ (b.T @ x[:, 0, 0]))
+
+
 # Gram matrices
 
 
