@@ -15,6 +15,7 @@ from polyad.operators import stripes as st
 from polyad.operators import subspace as sub
 from polyad.operators import tucker as tk
 from polyad.operators.kmeans import KMeans
+from polyad.plans import builders
 from polyad.plans.queries import QUERIES
 from polyad.storage import Rounds
 
@@ -96,6 +97,16 @@ def test_factors_that_stay_tables(spark, monkeypatch, form):
     assert all(b.shape == (e, 2) for b, e in zip(tk.random_bases(t, {0: 2, 1: 2}, 3).values(), (9, 5), strict=True))
 
 
+@pytest.mark.parametrize("form", ["by_order", "by_part"])
+def test_tasks_sum_as_many_lines_at_any_size(spark, sf, monkeypatch, form):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(builders, "DEALT", lines // 9)
+    cells = getattr(builders, form)(spark, sf).df
+    assert plan(cells).count("Exchange hashpartitioning") == 1
+    sizes = [r["n"] for r in cells.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert cells.rdd.getNumPartitions() == 10 and max(sizes) < lines / 4
+
+
 def test_slices_from_a_core_need_no_exchange(spark, sf):
     for name in ("basis_of_many_slices", "basis_by_iteration"):
         steps = plan(QUERIES[name](spark, sf))
